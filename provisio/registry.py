@@ -20,4 +20,4 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-from provisio.plans import features, ledger  # noqa: E402, F401
+from provisio.plans import features, forecast, ledger  # noqa: E402, F401
