@@ -45,7 +45,7 @@ def stable_id(prefix: str, c: Column, n: int = 20) -> Column:
 
 def split_codes(c: Column) -> Column:
     """Trimmed, distinct, non-blank codes of a ;-joined text."""
-    return F.array_distinct(F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), ";"), F.trim), lambda x: x != ""))
+    return F.array_distinct(F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), ";"), lambda x: F.trim(x)), lambda x: x != ""))
 
 
 def join_unique(c: Column, limit: int = 20) -> Column:

@@ -20,4 +20,4 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-from provisio.plans import features, forecast, inventory, ledger, risk  # noqa: E402, F401
+from provisio.plans import analysis, features, forecast, inventory, items, ledger, risk, sources  # noqa: E402, F401
