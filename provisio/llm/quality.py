@@ -19,6 +19,7 @@ Repeated rows count each time. Only doc_id, text, source and lang are read; labe
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -59,7 +60,7 @@ class Hasher:
 
     def __call__(self, words: list[str]) -> np.ndarray:
         known, out = self.known, set()
-        if len(known) > 500_000:
+        if len(known) > 200_000:
             known.clear()
         for w in set(words):
             b = known.get(w)
@@ -75,49 +76,74 @@ def features(text: str | None, hasher: Hasher) -> tuple[list[float], np.ndarray]
     return dense(text, words), hasher(words)
 
 
+def _shares(words: list[np.ndarray]) -> np.ndarray:
+    """A weight for each bag of words: 1 over the number of bags with the same three smallest hashes, so that copies and
+    most near copies of a text count about once."""
+    mixed = (np.arange(BUCKETS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(20)
+    sketch = [tuple(np.sort(mixed[w])[:3].tolist()) for w in words]
+    size = Counter(sketch)
+    return np.array([1.0 / size[k] for k in sketch])
+
+
 class Model:
     """Logistic regression over form features and the presence of hashed words.
 
-    Words weigh log likelihood ratios that are shrunk by pseudo-counts, of which a document's strongest
-    few are summed; the form features and that sum are then fitted by Newton steps with a small penalty.
+    Words that tell the classes apart (a two-proportion score over SCORE) enter a fit with an absolute-value
+    penalty, which leaves few of them; those are fitted once more with a tenth of it. Both are
+    accelerated proximal gradient steps on the bounded sample.
     """
 
-    def __init__(self, forms: np.ndarray, words: list[np.ndarray], y: np.ndarray, least: int = 4, penalty: float = 0.1):
-        self.rate = float((y.sum() + 1) / (len(y) + 2))
-        counts = [np.zeros(BUCKETS) for _ in range(2)]
-        for own, label in zip(words, y, strict=True):
-            counts[int(label)][own] += 1
-        n = [float(max(1, (y == k).sum())) for k in (0, 1)]
-        both = counts[0] + counts[1]
-        share = [(c + 2 * both / max(1, len(y)) + 0.05) / (m + 2 + 0.05) for c, m in zip(counts, n, strict=True)]
-        ratio = np.log(share[1] / share[0])
-        # words that are told from chance: a two-proportion score over 4.5
-        pooled = both / max(1, len(y))
-        z = (counts[1] / n[1] - counts[0] / n[0]) / np.sqrt(np.maximum(pooled * (1 - pooled) * (1 / n[0] + 1 / n[1]), 1e-12))
-        self.words = np.where((both >= least) & (np.abs(z) > 4.5), ratio, 0.0)
-        # each labelled document's own count is taken out of its words' weights
-        x = np.array([[*f, self._sum(w)] for f, w in zip(forms, words, strict=True)]) if len(y) else np.zeros((0, len(DENSE) + 1))
-        beta = np.zeros(len(DENSE) + 1)
-        beta[0] = np.log(self.rate / (1 - self.rate))
-        if 0 < y.sum() < len(y):
-            ridge = np.full(len(beta), penalty)
-            ridge[0] = 1e-3
-            for _ in range(25):
-                p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
-                grad = x.T @ (y - p) - ridge * beta
-                hess = (x * (p * (1 - p))[:, None]).T @ x + np.diag(ridge)
-                step = np.linalg.solve(hess, grad)
-                beta += np.clip(step, -3, 3)
-                if np.abs(step).max() < 1e-6:
-                    break
-        self.beta = beta
-
-    def _sum(self, own: np.ndarray) -> float:
-        w = self.words[own]
-        return float(np.clip(w.sum(), -12, 12))
+    SCORE = 3.5
+
+    def __init__(self, forms: np.ndarray, words: list[np.ndarray], y: np.ndarray, steps: int = 150):
+        self.beta, self.words = np.zeros(len(DENSE)), np.zeros(BUCKETS)
+        share = _shares(words)
+        rate = float((share @ y + 1) / (share.sum() + 2)) if len(y) else 0.5
+        self.beta[0] = np.log(rate / (1 - rate))
+        if not 0 < y.sum() < len(y):
+            return
+        total = share.sum()
+        row, flat = np.repeat(np.arange(len(words)), [len(w) for w in words]), np.concatenate(words)
+        count = [np.bincount(flat, weights=(share * (y == k))[row], minlength=BUCKETS) for k in (0, 1)]
+        n = [float((share * (y == k)).sum()) for k in (0, 1)]
+        pooled = (count[0] + count[1]) / total
+        z = (count[1] / n[1] - count[0] / n[0]) / np.sqrt(np.maximum(pooled * (1 - pooled) * (1 / n[0] + 1 / n[1]), 1e-12))
+        penalty = max(4e-4, 1.5 / total)
+        for strength in (penalty, penalty / 10):
+            chosen = np.flatnonzero((np.abs(z) > self.SCORE) & (count[0] + count[1] >= 3) if strength == penalty else self.words != 0)
+            self.words[:] = 0
+            place = np.full(BUCKETS, -1)
+            place[chosen] = np.arange(len(chosen))
+            used = place[flat] >= 0
+            self._fit(forms, row[used], place[flat[used]], len(chosen), y, share / total, strength, steps, chosen)
+
+    def _fit(self, forms, row, col, n_words, y, share, strength, steps, chosen) -> None:
+        d = forms.shape[1]
+
+        def odds(b: np.ndarray) -> np.ndarray:
+            return forms @ b[:d] + np.bincount(row, weights=b[d:][col], minlength=len(y))
+
+        def gradient(r: np.ndarray) -> np.ndarray:
+            return np.concatenate([forms.T @ r, np.bincount(col, weights=r[row], minlength=n_words)])
+
+        v = np.ones(d + n_words)
+        for _ in range(12):  # the largest curvature, by power iteration
+            v = gradient(share * odds(v))
+            size = np.linalg.norm(v)
+            v /= size
+        rate = 1 / (0.25 * size * 1.05)
+        b = np.concatenate([self.beta, np.zeros(n_words)])
+        ahead, t = b.copy(), 1.0
+        for _ in range(steps * (1 if strength > 2e-4 else 2)):
+            p = 1 / (1 + np.exp(-np.clip(odds(ahead), -30, 30)))
+            new = ahead - rate * gradient(share * (p - y))
+            new[d:] = np.sign(new[d:]) * np.maximum(np.abs(new[d:]) - rate * strength, 0)
+            after = (1 + np.sqrt(1 + 4 * t * t)) / 2
+            ahead, b, t = new + (t - 1) / after * (new - b), new, after
+        self.beta, self.words[chosen] = b[:d], b[d:]
 
     def __call__(self, form: list[float], own: np.ndarray) -> float:
-        return float(np.clip(np.dot(self.beta[:-1], form) + self.beta[-1] * self._sum(own), -20, 20))
+        return float(np.clip(np.dot(self.beta, form) + self.words[own].sum(), -20, 20))
 
 
 def fitted(docs: DataFrame, labels: DataFrame, heads: tuple[str, ...] = ("quality", "toxic"), most: int = LABELLED) -> list[Model]:
@@ -204,13 +230,9 @@ def judged(docs: DataFrame, labels: DataFrame, keep: list[str], host: str = "sou
     """The columns keep of docs with __px_good and __px_toxic (posterior probabilities), a row per row of docs."""
     models = fitted(docs, labels)
     scored = _sited(docs, host, path).withColumn("__px_x", evidence(docs, models, docs["text"]))
-    rows = scored.select(F.col("__px_host").alias("host"), F.col("__px_path").alias("path"), "__px_x")
-    if "text" not in keep:  # small rows: written once and read for both the sums and the result
-        small = written(scored.select(*keep, F.col("__px_host"), F.col("__px_path"), "__px_x"), "evidence")
-        rows, scored = small.select(F.col("__px_host").alias("host"), F.col("__px_path").alias("path"), "__px_x"), small
-    else:  # a second pass scores again, so that texts needn't be written or shuffled
-        rows = written(rows, "evidence")
-    out = scored.select(*(F.col(c) for c in keep), F.col("__px_host").alias("__px_h"), F.col("__px_path").alias("__px_q"), "__px_x")
+    # written once, as the sums and the result both read it
+    out = written(scored.select(*(F.col(c) for c in keep), F.col("__px_host").alias("__px_h"), F.col("__px_path").alias("__px_q"), "__px_x"), "evidence")
+    rows = out.select(F.col("__px_h").alias("host"), F.col("__px_q").alias("path"), "__px_x")
     for i, into in enumerate(("__px_good", "__px_toxic")):
         site, rate = sites(rows.select("host", "path", (1 / (1 + F.exp(-F.col("__px_x")[i]))).alias("p")))
         met = posterior(out.select(F.col("__px_h").alias("host"), F.col("__px_q").alias("path"), F.struct(*out.columns).alias("__px_row")), written(site, "sites"), rate, F.col("__px_row.__px_x")[i], into)
