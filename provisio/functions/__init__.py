@@ -89,8 +89,3 @@ def last_wins(pairs: Sequence[tuple[Column, object]], default: object = None) ->
 def flags(pairs: Sequence[tuple[Column, str]]) -> Column:
     """Labels of the true conditions, in order, as an array."""
     return F.filter(F.array(*(F.when(c, F.lit(v)) for c, v in pairs)), lambda x: x.isNotNull())
-
-
-def average_rank_share(v: Column, window, ties) -> Column:
-    """Average-rank percentile over window (ordered by v), ties partitioned by v, n in the same partition."""
-    return (F.rank().over(window) + (F.count(F.lit(1)).over(ties) - 1) / 2) / F.count(F.lit(1)).over(window.orderBy(F.lit(1)).rowsBetween(-(1 << 62), 1 << 62))

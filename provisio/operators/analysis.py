@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from provisio.functions import ladder
+from provisio.sources import new_path
 
 
 def lead_days(receipt: Column, due: Column, low: int = 0, high: int = 365) -> Column:
@@ -45,20 +46,34 @@ def target_encode(train: DataFrame, apply_to: DataFrame, key: str, target: str,
     return out.withColumn("encoded", F.coalesce((F.col("m") * F.col("n") + F.col("grand") * prior) / (F.col("n") + prior), F.col("grand"))).drop("m", "n", "grand")
 
 
+def running(df: DataFrame, value: str, order: Sequence[Column]) -> DataFrame:
+    """df with __cum (running sum of value in order), __all (its total) and __pos (position).
+
+    Rows are range-partitioned and written once, so no task holds them all: each partition runs on its own, from
+    where the sums of the partitions before it (one row each) leave off.
+    """
+    path = new_path(df.sparkSession, "ranged")
+    df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()).write.parquet(path)
+    rows = df.sparkSession.read.parquet(path)
+    parts = rows.groupBy("__part").agg(F.sum(value).alias("__s"), F.count("*").alias("__c"))
+    before = W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
+    parts = parts.select("__part", F.coalesce(F.sum("__s").over(before), F.lit(0)).alias("__s0"), F.coalesce(F.sum("__c").over(before), F.lit(0)).alias("__c0"), F.sum("__s").over(W.partitionBy()).alias("__all"))
+    w = W.partitionBy("__part").orderBy(*order)
+    out = rows.join(F.broadcast(parts), "__part")  # a row per partition
+    return out.withColumns({"__cum": F.col("__s0") + F.sum(value).over(w), "__pos": F.col("__c0") + F.row_number().over(w)}).drop("__part", "__s0", "__c0")
+
+
 def abc(df: DataFrame, key: str, value: str) -> DataFrame:
-    """Pareto classes of keys by their summed value; the running share is over keys, not rows."""
-    g = df.groupBy(key).agg(F.sum(value).alias("v"))
-    w = W.orderBy(F.desc("v"), key)
-    out = g.withColumns({"share": F.sum("v").over(w) / F.sum("v").over(W.partitionBy()), "rank": F.row_number().over(w)})
-    return out.withColumn("abc", ladder([(F.col("share") <= 0.8, "A"), (F.col("share") <= 0.95, "B")], "C"))
+    """Pareto classes of keys by their summed value."""
+    g = running(df.groupBy(key).agg(F.sum(value).alias("v")), "v", [F.desc("v"), F.col(key)])
+    share = F.col("__cum") / F.col("__all")
+    return g.select(key, "v", share.alias("share"), F.col("__pos").cast("int").alias("rank"), ladder([(share <= 0.8, "A"), (share <= 0.95, "B")], "C").alias("abc"))
 
 
 def average_rank(df: DataFrame, value: str, into: str = "rank_share") -> DataFrame:
-    """Average-rank percentile: values are counted first, so the ordered window is over distinct values."""
-    n = df.groupBy(value).agg(F.count("*").alias("__n"))
-    w = W.orderBy(value)
-    r = n.withColumns({"__before": F.sum("__n").over(w) - F.col("__n"), "__all": F.sum("__n").over(W.partitionBy())})
-    share = (F.col("__before") + (F.col("__n") + 1) / 2) / F.col("__all")
+    """Average-rank percentile: values are counted first, so the running sum is over distinct values."""
+    r = running(df.groupBy(value).agg(F.count("*").alias("__n")), "__n", [F.col(value)])
+    share = (F.col("__cum") - F.col("__n") + (F.col("__n") + 1) / 2) / F.col("__all")
     return df.join(r.select(value, share.alias(into)), value)
 
 

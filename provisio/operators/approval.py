@@ -57,7 +57,7 @@ def latest_keys(df: DataFrame, key: Sequence[str], month: str) -> DataFrame:
 
 def rule_approval(candidates: DataFrame, rules: DataFrame, keys: Sequence[str], gates: Sequence[tuple[Column, str]]) -> DataFrame:
     """Candidates meet rules on their keys; the first failed gate is the reason, none is approval."""
-    j = candidates.join(F.broadcast(rules.withColumn("__rule", F.lit(True))), list(keys), "left")
+    j = candidates.join(rules.withColumn("__rule", F.lit(True)), list(keys), "left")
     bad = flags([(F.col("__rule").isNull(), "NO_RULE"), *gates])
     return j.withColumn("reason", F.coalesce(F.try_element_at(bad, F.lit(1)), F.lit("APPROVED"))).drop("__rule")
 
@@ -88,7 +88,7 @@ def occurrence_size(history: DataFrame, key: Sequence[str], pool: str, value: st
     p = s.groupBy(pool).agg((F.sum("m") / F.sum("n")).alias("p0"), F.var_samp(rate).alias("pv"), (F.sum(F.col("mu") * F.col("m")) / F.sum("m")).alias("m0"), F.avg("s2").alias("inner"), F.var_samp("mu").alias("outer"))
     spread = F.greatest(F.col("p0") * (1 - F.col("p0")) / F.greatest("pv", F.lit(1e-6)) - 1, F.lit(1.0))
     p = p.withColumn("strength", F.least(spread, F.lit(1000.0)))
-    j = s.join(F.broadcast(p), pool)
+    j = s.join(p, pool)
     occurs = (F.col("m") + F.col("p0") * F.col("strength")) / (F.col("n") + F.col("strength"))
     k = F.coalesce(F.try_divide("inner", "outer"), F.lit(1.0))
     size = (F.coalesce("mu", F.lit(0.0)) * F.col("m") + F.col("m0") * k) / (F.col("m") + k)

@@ -119,7 +119,7 @@ def pooled_buffer(errors: DataFrame, value: str, levels: Sequence[Sequence[str]]
     picks = []
     for k, level in enumerate(levels):
         t = higher_quantile_table(errors, level, value, q).withColumnRenamed("buffer", f"b{k}").withColumnRenamed("n", f"n{k}")
-        out = out.join(F.broadcast(t), list(level), "left") if level else out.join(F.broadcast(t), F.lit(True))
+        out = out.join(t, list(level), "left") if level else out.join(F.broadcast(t), F.lit(True))
         picks.append(F.when(F.col(f"n{k}") >= least, F.col(f"b{k}")) if level else F.col(f"b{k}"))
     return out.withColumn("buffer", F.greatest(F.coalesce(*picks), F.lit(0.0))).drop(*(c for k in range(len(levels)) for c in (f"b{k}", f"n{k}")))
 

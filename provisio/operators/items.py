@@ -188,7 +188,7 @@ def recency(date: Column, half_life: float = 14.0) -> Column:
 def article_scores(rows: DataFrame, mapping: DataFrame) -> DataFrame:
     """Articles meet the items of their country's mapping (country, stock_item_key, weight), the best weight of each; scores are geometric means."""
     best = mapping.groupBy("country", "stock_item_key").agg(F.max("weight").alias("weight"))
-    j = rows.where(F.col("event_type").isin("demand_increase", "supply_decrease")).join(F.broadcast(best), "country")
+    j = rows.where(F.col("event_type").isin("demand_increase", "supply_decrease")).join(best, "country")
     return j.withColumn("score", geometric_mean([F.col("severity"), F.col("novelty"), recency(F.col("date")), F.col("weight")]))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from provisio.functions import safe_divide
+from provisio.operators.analysis import running
 
 TOLERANCE = 1e-9
 MOVES = ("purchase_in_qty", "transfer_in_qty", "return_in_qty", "transfer_out_qty", "consumption_qty", "return_out_qty", "disposal_qty", "auto_disposal_adjustment_qty", "correction_out_qty")
@@ -102,12 +103,9 @@ def summary(fact: DataFrame) -> DataFrame:
 
 
 def issue_sizes(rows: DataFrame, qty: str = "consumption_qty") -> DataFrame:
-    """Frequency of positive issue sizes with the running share; one row per size, so the window is over few rows."""
-    from pyspark.sql import Window as W
-
+    """Frequency of positive issue sizes with the running share, a row per size."""
     sizes = rows.where(F.col(qty) > 0).groupBy(F.col(qty).alias("q")).agg(F.count("*").alias("n"))
-    total = F.sum("n").over(W.partitionBy())
-    return sizes.select("q", "n", F.sum("n").over(W.orderBy("q")).alias("cum"), total.alias("total"))
+    return running(sizes, "n", [F.col("q")]).select("q", "n", F.col("__cum").alias("cum"), F.col("__all").alias("total"))
 
 
 __all__ = ["safe_divide", "normalized", "flagged", "monthly", "derived", "summary", "issue_sizes"]

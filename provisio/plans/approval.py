@@ -90,7 +90,7 @@ def cls_mapping(spark, sf):
 @query("cls_forecast_rollup", f"WITH {fo.BASE}, t AS (SELECT p_brand AS item_code, min(p_type) AS subtype FROM part WHERE p_size > 30 GROUP BY 1) SELECT year_month, subtype, round(sum(rolling_mean_3_pred), 4) AS predicted, sum(month_end_stock) AS stock, count(DISTINCT institution_code) AS institutions FROM base JOIN t USING (item_code) GROUP BY 1, 2")
 def cls_rollup(spark, sf):
     t = b.table(spark, sf, "part").where("p_size > 30").groupBy(F.col("p_brand").alias("item_code")).agg(F.min("p_type").alias("subtype"))
-    return fo.base(spark, sf).join(F.broadcast(t), "item_code").groupBy("year_month", "subtype").agg(F.round(F.sum("rolling_mean_3_pred"), 4).alias("predicted"), F.sum("month_end_stock").alias("stock"), F.count_distinct("institution_code").alias("institutions"))
+    return fo.base(spark, sf).join(t, "item_code").groupBy("year_month", "subtype").agg(F.round(F.sum("rolling_mean_3_pred"), 4).alias("predicted"), F.sum("month_end_stock").alias("stock"), F.count_distinct("institution_code").alias("institutions"))
 
 
 @query("cls_policy_sensitivity", f"""WITH {pinv.PRED} SELECT CAST(lv AS DOUBLE) AS level, CAST(m AS DOUBLE) AS multiplier, round(sum(least(greatest(daily * (1 + 0.35 * least(lv * m, 1)) * (30 + lead_days * (1 + 0.5 * least(lv * m, 1)) + 14 * least(lv * m, 1)) * (1.2 + 0.25 * least(lv * m, 1)) - base_stock, 0), 0.75 * protection)) / sum(base_stock), 6) AS uplift
@@ -207,7 +207,7 @@ def for_frame(spark, sf):
 def trd_proxy(spark, sf):
     m = b.table(spark, sf, "part").where("p_size > 45").select(F.col("p_brand").alias("item_code"), F.col("p_type").alias("hs_code")).distinct()
     rate = F.coalesce("stockout_rate", F.lit(0.0))
-    j = fea.fact(spark, sf).join(F.broadcast(m), "item_code")
+    j = fea.fact(spark, sf).join(m, "item_code")
     return j.groupBy(F.add_months("year_month", -1).alias("month"), "hs_code").agg(F.round(0.7 * F.avg((rate > 0).cast("double")) + 0.3 * F.avg(rate), 6).alias("proxy"), F.count_distinct("stock_item_key").alias("series"))
 
 
