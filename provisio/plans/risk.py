@@ -113,7 +113,7 @@ tw AS (SELECT *, CASE WHEN count(import_value) OVER s >= 3 THEN stddev_pop(impor
 ty AS (SELECT t.*, t.import_value / nullif(p.import_value, 0) - 1 AS import_value_yoy, t.unit_value / nullif(p.unit_value, 0) - 1 AS unit_value_yoy FROM tw t LEFT JOIN tt p ON p.hs_code = t.hs_code AND p.month = t.month - INTERVAL 1 YEAR),
 tc AS (SELECT month, hs_code, max(share) AS top1, sum(share * share) AS hhi, count(*) FILTER (WHERE v > 0) AS suppliers, least(sum(v) / nullif(first(total), 0), 1) AS coverage FROM (SELECT month, hs_code, country_code, sum(flows.import_value) AS v, first(tt.import_value) AS total, least(greatest(sum(flows.import_value) / nullif(first(tt.import_value), 0), 0), 1) AS share FROM flows JOIN tt USING (month, hs_code) GROUP BY 1, 2, 3) GROUP BY 1, 2),
 tr AS (SELECT *, CASE WHEN import_value_yoy IS NOT NULL THEN least(greatest(-import_value_yoy / 0.5, 0), 1) END AS fall_risk, least(greatest((hhi - 0.1) / 0.4, 0), 1) AS concentration_risk, CASE WHEN import_cv IS NOT NULL THEN least(greatest(import_cv, 0), 1) END AS volatility_risk, CASE WHEN unit_value_yoy IS NOT NULL THEN least(greatest(unit_value_yoy / 0.5, 0), 1) END AS price_risk, CASE WHEN prior_positive AND zero_streak > 0 THEN 1.0 ELSE 0.0 END AS interruption_risk FROM ty JOIN tc USING (month, hs_code)),
-ts AS (SELECT *, 0.25 * coalesce(fall_risk, 0) + 0.2 * coalesce(concentration_risk, 0) + 0.15 * coalesce(volatility_risk, 0) + 0.2 * coalesce(price_risk, 0) + 0.2 * interruption_risk AS trade_score, 0.25 * CAST(fall_risk IS NOT NULL AS INTEGER) + 0.2 + 0.15 * CAST(volatility_risk IS NOT NULL AS INTEGER) + 0.2 * CAST(price_risk IS NOT NULL AS INTEGER) + 0.2 AS trade_confidence FROM tr)"""
+ts AS (SELECT *, 0.25 * coalesce(fall_risk, 0) + 0.2 * coalesce(concentration_risk, 0) + 0.15 * coalesce(volatility_risk, 0) + 0.2 * coalesce(price_risk, 0) + 0.2 * interruption_risk AS trade_score, CAST(0.25 * CAST(fall_risk IS NOT NULL AS INTEGER) + 0.2 + 0.15 * CAST(volatility_risk IS NOT NULL AS INTEGER) + 0.2 * CAST(price_risk IS NOT NULL AS INTEGER) + 0.2 AS DOUBLE) AS trade_confidence FROM tr)"""
 
 
 def totals(spark, sf):
