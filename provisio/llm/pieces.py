@@ -29,17 +29,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provisio.llm.common import table
+from provisio.llm.common import bounded_batches, table
 
 SEED = 42
 SHIFT = 8.0
 SHARPNESS = 1.0
-SLICE_CHARS = 3_000_000
+SLICE_CHARS = 500_000
 LONG = 64  # longer chunks are filtered in the log domain, one by one
 SCALE = 300.0  # per character; keeps path sums of LONG characters inside doubles
 CHUNKS = re.compile(r"\n| *[^ \n]+| +")
 MASK = (1 << 64) - 1
-KEPT_EDGES = 6_000_000  # of filtered chunks, 16 bytes each, before they are forgotten
+KEPT_EDGES = 3_000_000  # of filtered chunks, 16 bytes each, before they are forgotten
 
 
 def parted(text: str) -> list[str]:
@@ -392,6 +392,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every row stays and gets pieces (array of ids) and decoded_ok, which is true where decoding gives the text back."""
+    bounded_batches(spark)
     model = default_model()
     out = encoded(docs, model=model)
     return out.withColumn("decoded_ok", decoder(model)("pieces").eqNullSafe(F.col("text")))

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from provisio.llm.common import table
+from provisio.llm.common import bounded_batches, table
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "address", "account")
@@ -164,5 +164,6 @@ def _redacted(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data in text is replaced by markers such as <EMAIL>; n_chars counts the new text; every row stays."""
+    bounded_batches(spark)
     out = docs.withColumn("text", _redacted("text"))
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from provisio.llm.common import written
+from provisio.llm.common import bounded_batches, written
 
 DISTANCE = 4
 WIDTHS = (13, 13, 13, 13, 12)
@@ -207,6 +207,7 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays, that with the smallest doc_id; of repeated rows of one doc_id, one. Rows without doc_id stay."""
+    bounded_batches(spark)
     keep = near_duplicates(docs).where("doc_id = component_id").select(F.col("doc_id").alias("__px_id")).distinct()
     named = docs.where(F.col("doc_id").isNotNull())
     kept = named.join(keep, named["doc_id"] == keep["__px_id"], "left_semi").dropDuplicates(["doc_id"])
