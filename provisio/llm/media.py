@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provisio.llm.common import new_path, table
+from provisio.llm.common import new_path, table, written
 from provisio.llm.dom import INLINE, events
 
 WIDTH = 64
@@ -150,8 +150,11 @@ NAMES = ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_
 
 
 def joined(parts: DataFrame, media: DataFrame) -> DataFrame:
-    """parts (one row per part, with digest) with the resolved media of each reference; copies may share a digest, AQE splits those."""
-    return parts.join(resolved(media), "digest", "left")
+    """parts (one row per part, with digest) with the resolved media of each reference.
+
+    What was resolved is written first: both sides of the join are then plain shuffles, in which AQE splits a digest that many copies share.
+    """
+    return parts.join(written(resolved(media), "resolved"), "digest", "left")
 
 
 def page(text: str, digest: str) -> str:
