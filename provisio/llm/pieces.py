@@ -390,9 +390,25 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.mapInArrow(rows, "doc_id long, n_pieces long, pieces_sha256 string, decoded_sha256 string, lossless boolean")
 
 
+def checked_encoder(model: str, seed: int = SEED):
+    """A pandas UDF (key, text) -> (pieces, decoded_ok): both in one worker, which loads the vocabulary once."""
+
+    @F.pandas_udf("pieces array<int>, decoded_ok boolean")
+    def encode(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        found = Lattice.load(model)
+        for keys, texts in parts:
+            out: list = []
+            own, texts = keys.fillna(0).astype("int64").to_numpy(), list(texts)
+            for a, b, ids, counts in _encoded(found, seed, texts, own):
+                for t, x in zip(texts[a:b], np.split(ids, np.cumsum(counts)[:-1]), strict=True):
+                    out.append((None, True) if t is None else (x, found.decode(x) == t))
+            yield pd.DataFrame(out, columns=["pieces", "decoded_ok"])
+
+    return encode
+
+
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every row stays and gets pieces (array of ids) and decoded_ok, which is true where decoding gives the text back."""
     bounded_batches(spark)
-    model = default_model()
-    out = encoded(docs, model=model)
-    return out.withColumn("decoded_ok", decoder(model)("pieces").eqNullSafe(F.col("text")))
+    out = docs.withColumn("__px_p", checked_encoder(default_model())(F.col("doc_id").cast("long"), F.col("text")))
+    return out.withColumns({"pieces": F.col("__px_p.pieces"), "decoded_ok": F.col("__px_p.decoded_ok")}).drop("__px_p")
