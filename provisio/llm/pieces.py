@@ -34,12 +34,12 @@ from provisio.llm.common import bounded_batches, table
 SEED = 42
 SHIFT = 8.0
 SHARPNESS = 1.0
-SLICE_CHARS = 500_000
+SLICE_CHARS = 250_000
 LONG = 64  # longer chunks are filtered in the log domain, one by one
 SCALE = 300.0  # per character; keeps path sums of LONG characters inside doubles
 CHUNKS = re.compile(r"\n| *[^ \n]+| +")
 MASK = (1 << 64) - 1
-KEPT_EDGES = 3_000_000  # of filtered chunks, 16 bytes each, before they are forgotten
+KEPT_EDGES = 1_000_000  # of filtered chunks, 16 bytes each, before they are forgotten
 
 
 def parted(text: str) -> list[str]:
