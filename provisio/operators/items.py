@@ -154,16 +154,18 @@ COUNTRIES = (("us", _word("the")), ("de", _word("der")), ("fr", _word("le")), ("
 EVENTS = (("demand_increase", _word("unter", "have")), ("supply_decrease", _word("she", "nicht", "dans", "para")), ("price", _word("with", "mit", "avec")))
 
 
-def news(docs: DataFrame) -> DataFrame:
-    """Documents as articles: the first 120 characters are the title."""
-    return docs.select(F.col("doc_id").alias("article_id"), F.expr("date_add(date'2024-01-01', cast(doc_id % 366 as int))").alias("date"), F.substring("text", 1, 120).alias("title"), F.expr("substring(text, 121)").alias("summary"), "source", F.col("lang").alias("country"), F.concat(F.lit("http://"), "source", F.lit(".example/"), F.col("doc_id") % 900).alias("url"))
+def news(docs: DataFrame, urls: int | None = 900) -> DataFrame:
+    """Documents as articles: the first 120 characters are the title. A source has so many urls, as the queries' SQL has it, or with None one for each doc_id."""
+    number = F.col("doc_id") if urls is None else F.col("doc_id") % urls
+    return docs.select(F.col("doc_id").alias("article_id"), F.expr("date_add(date'2024-01-01', cast(doc_id % 366 as int))").alias("date"), F.substring("text", 1, 120).alias("title"), F.expr("substring(text, 121)").alias("summary"), "source", F.col("lang").alias("country"), F.concat(F.lit("http://"), "source", F.lit(".example/"), number).alias("url"))
 
 
-def normalized_news(rows: DataFrame) -> DataFrame:
-    """Blank titles and missing dates go; of one identity (url, else date, source and title) the first stays."""
+def normalized_news(rows: DataFrame, keep: Sequence[str] | None = None) -> DataFrame:
+    """Blank titles and missing dates go; of one identity (url, else date, source and title) the first stays. Only the columns to keep are shuffled."""
     rows = rows.where(F.col("date").isNotNull() & (F.trim("title") != ""))
     ident = F.when(F.coalesce(F.col("url"), F.lit("")) != "", F.col("url")).otherwise(F.concat_ws("|", F.col("date").cast("string"), "source", "title"))
-    return rows.withColumn("ident", ident).withColumn("k", F.row_number().over(W.partitionBy("ident").orderBy("date", "article_id"))).where("k = 1").drop("k", "ident")
+    first = F.min_by(F.struct(*(keep or rows.columns)), F.struct("date", "article_id"))
+    return rows.groupBy(ident.alias("ident")).agg(first.alias("first")).select("first.*")
 
 
 def analysed(rows: DataFrame) -> DataFrame:

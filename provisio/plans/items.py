@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from provisio.functions import join_unique, split_codes, stable_id
 from provisio.operators import items as op
 from provisio.plans import bindings as b
-from provisio.registry import query
+from provisio.registry import SQL, query
 
 R = lambda *cs: [F.round(c, 5).alias(c) for c in cs]
 S = lambda *cs: ", ".join(f"round({c}, 5) AS {c}" for c in cs)
@@ -283,8 +283,10 @@ sk AS (SELECT event_type, quantile_cont(s, 0.9) AS scale FROM sm WHERE s > 0 GRO
 sv AS (SELECT month, stock_item_key, coalesce(max(1 - exp(-s / scale)) FILTER (WHERE event_type = 'demand_increase'), 0) AS demand_increase, coalesce(max(1 - exp(-s / scale)) FILTER (WHERE event_type = 'supply_decrease'), 0) AS supply_decrease FROM sm JOIN sk USING (event_type) GROUP BY 1, 2)"""
 
 
-def articles(spark, sf):
-    return op.novelty(op.analysed(op.normalized_news(op.news(b.table(spark, sf, "documents")))))
+def articles(spark, sf, urls=900):
+    """Texts are judged before the shuffle, which then carries none."""
+    rows = op.analysed(op.news(b.table(spark, sf, "documents"), urls))
+    return op.novelty(op.normalized_news(rows, ["article_id", "date", "country", "event_type", "event_country", "severity"]))
 
 
 def mapping(spark, sf):
@@ -292,36 +294,46 @@ def mapping(spark, sf):
 
 
 @query("src_news_normalise", f"WITH {NEWS} SELECT article_id, date, url, length(title) AS title_chars FROM nn")
-def src_news(spark, sf):
-    return op.normalized_news(op.news(b.table(spark, sf, "documents"))).select("article_id", "date", "url", F.length("title").cast("long").alias("title_chars"))
+def src_news(spark, sf, urls=900):
+    rows = op.news(b.table(spark, sf, "documents"), urls).withColumn("title_chars", F.length("title").cast("long"))
+    return op.normalized_news(rows, ["article_id", "date", "url", "title_chars"])
 
 
 @query("news_event_classifier", f"WITH {NEWS} SELECT article_id, event_type, event_country, CAST(severity AS DOUBLE) AS severity FROM na")
-def news_events(spark, sf):
-    return articles(spark, sf).select("article_id", "event_type", "event_country", "severity")
+def news_events(spark, sf, urls=900):
+    return articles(spark, sf, urls).select("article_id", "event_type", "event_country", "severity")
 
 
 @query("news_novelty_recency", f"WITH {NEWS} SELECT article_id, {S('novelty', 'recency')} FROM nv")
-def news_novelty(spark, sf):
-    return articles(spark, sf).select("article_id", *R("novelty"), F.round(op.recency(F.col("date")), 5).alias("recency"))
+def news_novelty(spark, sf, urls=900):
+    return articles(spark, sf, urls).select("article_id", *R("novelty"), F.round(op.recency(F.col("date")), 5).alias("recency"))
 
 
 @query("news_article_scores", f"WITH {NEWS} SELECT article_id, stock_item_key, {S('score')} FROM sc")
-def news_scores(spark, sf):
-    return op.article_scores(articles(spark, sf), mapping(spark, sf)).select("article_id", "stock_item_key", *R("score"))
+def news_scores(spark, sf, urls=900):
+    return op.article_scores(articles(spark, sf, urls), mapping(spark, sf)).select("article_id", "stock_item_key", *R("score"))
 
 
 @query("news_saturating_monthly", f"WITH {NEWS} SELECT month, stock_item_key, {S('demand_increase', 'supply_decrease')} FROM sv")
-def news_monthly(spark, sf):
-    return op.saturated(op.article_scores(articles(spark, sf), mapping(spark, sf))).select("month", "stock_item_key", *R("demand_increase", "supply_decrease"))
+def news_monthly(spark, sf, urls=900):
+    return op.saturated(op.article_scores(articles(spark, sf, urls), mapping(spark, sf))).select("month", "stock_item_key", *R("demand_increase", "supply_decrease"))
 
 
 @query("news_supply_wide", f"WITH {NEWS} SELECT a.month, a.stock_item_key, round(greatest(a.supply_decrease, coalesce(z.supply_decrease, 0)), 5) AS supply_decrease FROM sv a LEFT JOIN sv z ON z.month = a.month AND z.stock_item_key = 'ITEM-0' WHERE a.stock_item_key <> 'ITEM-0'")
-def news_wide(spark, sf):
-    m = op.saturated(op.article_scores(articles(spark, sf), mapping(spark, sf)))
+def news_wide(spark, sf, urls=900):
+    m = op.saturated(op.article_scores(articles(spark, sf, urls), mapping(spark, sf)))
     return op.broadcast_sentinel(m, "stock_item_key", "ITEM-0", ["supply_decrease"]).select("month", "stock_item_key", *R("supply_decrease"))
 
 
+def whole(name, run):
+    """The same query over every document: the url is made of the whole doc_id, so that only true repeats go."""
+    query(f"{name}_whole", SQL[name].replace("(doc_id % 900)", "doc_id"))(lambda spark, sf: run(spark, sf, None))
+
+
+for _name, _run in (("src_news_normalise", src_news), ("news_event_classifier", news_events), ("news_novelty_recency", news_novelty), ("news_article_scores", news_scores), ("news_saturating_monthly", news_monthly), ("news_supply_wide", news_wide)):
+    whole(_name, _run)
+
+
 @query("news_relevance_filter", "SELECT doc_id, regexp_matches(lower(text), 'license|token|theand') AS relevant FROM documents")
 def news_relevant(spark, sf):
     return b.table(spark, sf, "documents").select("doc_id", F.lower("text").rlike("license|token|theand").alias("relevant"))
