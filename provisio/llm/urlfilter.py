@@ -3,9 +3,11 @@
 Two smoothed variable-order Markov models, of accepted and of rejected urls, are counted over all urls that a
 rule decides and that are not in the calibration fold. A character's probability blends orders 0 to ORDER:
 each order's estimate is smoothed towards the next lower one in proportion to how rarely its context was
-seen, so rare contexts fall back. Contexts and pairs are hashed to SLOTS, which bounds what is collected and
-sent. A url's score is the difference of log likelihoods per character; the threshold comes from the
-calibration fold, as the cut with the best balanced accuracy there.
+seen, so rare contexts fall back. Counts are exact: a table of character strings of ORDER + 1 bytes, whose ends
+give the counts of the lower orders. Neither counts nor values are collected or broadcast beyond the two lowest
+orders: urls stand in blocks, the distinct strings of a block meet their values in a join, and a block meets
+its strings again. A url's score is the difference of log likelihoods per character; the threshold comes from
+the calibration fold, as the cut with the best balanced accuracy there.
 
 Defined results: null urls and urls without :// have empty host and path; the model reads the whole url, and
 one without characters scores 0. With one class only, or none, every score is 0. Scores at the threshold are
@@ -22,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provisio.llm.common import Sent, table, written
+from provisio.llm.common import bounded_batches, table, written
 
 # The rules, as (host, path, verdict).
 RULES = (
@@ -33,10 +35,9 @@ RULES = (
     ("com", "/de/", "block"),
 )
 ORDER = 4
-SLOTS = 1 << 16
 STRENGTH = 4.0
 BINS = 1000  # on each side of 0, of width 0.01
-SLICE = 20_000
+BLOCK_BITS = 10  # a block has 1,024 rows at most
 
 
 def split(url: Column) -> tuple[Column, Column]:
@@ -58,50 +59,55 @@ def ruled(pages: DataFrame, rules=RULES) -> DataFrame:
     return rows.withColumns({"rule": rule, "rule_verdict": verdict})
 
 
-def slots(urls: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each order, slots of the contexts and of the pairs (context, character), over all characters; the urls' starts.
+def grams(urls: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """For each character its string, the character as the lowest byte and the ORDER before it above; and its url's number.
 
     A url is read behind ORDER zero bytes, so that contexts at its start are its own.
     """
     sizes = np.fromiter((len(u) for u in urls), np.int64, len(urls))
-    data = np.frombuffer(b"".join(b"\0" * ORDER + u for u in urls), np.uint8).astype(np.uint64)
+    data = np.frombuffer(b"".join(b"\0" * ORDER + u for u in urls), np.uint8).astype(np.int64)
     own = np.ones(len(data), bool)
     starts = np.cumsum(sizes + ORDER) - (sizes + ORDER)
     for k in range(ORDER):
         own[starts + k] = False
     at = np.flatnonzero(own)
-    contexts, pairs, h = [], [], np.zeros(len(at), np.uint64)
-    with np.errstate(over="ignore"):
-        for k in range(ORDER + 1):
-            if k:
-                h = (h ^ (data[at - k] + np.uint64(k << 8))) * np.uint64(0x9E3779B97F4A7C15)
-                h ^= h >> np.uint64(29)
-            pair = (h ^ (data[at] + np.uint64(1 << 16))) * np.uint64(0xBF58476D1CE4E5B9)
-            contexts.append(((h * np.uint64(0x94D049BB133111EB)) >> np.uint64(48)).astype(np.int64))
-            pairs.append((pair >> np.uint64(48)).astype(np.int64))
-    return np.stack(contexts), np.stack(pairs), np.cumsum(sizes) - sizes
+    found = data[at]
+    for k in range(1, ORDER + 1):
+        found |= data[at - k] << 8 * k
+    return found, np.repeat(np.arange(len(urls)), sizes)
 
 
 class Model:
-    """counts: (2 classes, ORDER + 1 orders, contexts or pairs, SLOTS); class 0 is accepted."""
+    """counts: a row per string of a gram, with n0 accepted and n1 rejected."""
 
-    def __init__(self, counts: np.ndarray):
+    def __init__(self, counts: DataFrame):
         self.counts = counts
-        self.whole = bool(counts[0, 0, 0].sum() and counts[1, 0, 0].sum())
+        r = counts.agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).first()
+        self.totals = (r.n0 or 0, r.n1 or 0)
+        self.whole = all(self.totals)
+
+    def valued(self, wanted: DataFrame) -> DataFrame:
+        """wanted (gram) with each one's value, the difference of its log probabilities."""
+        out, p = wanted, [F.lit(1 / 256), F.lit(1 / 256)]
+        for k in range(ORDER + 1):
+            pair, context = f"pair{k}", f"context{k}"
+            pairs = self.counts.groupBy(F.col("gram").bitwiseAND((1 << 8 * (k + 1)) - 1).alias(pair)).agg(*(F.sum(f"n{y}").alias(f"{pair}_{y}") for y in (0, 1)))
+            own = F.col("gram").bitwiseAND((1 << 8 * (k + 1)) - 1)
+            out = out.withColumn(pair, own).join(F.broadcast(pairs) if k < 2 else pairs, pair, "left")  # 65,536 pairs of order 1 at most
+            if k:
+                contexts = pairs.groupBy(F.shiftright(pair, 8).alias(context)).agg(*(F.sum(f"{pair}_{y}").alias(f"{context}_{y}") for y in (0, 1)))
+                out = out.withColumn(context, F.shiftright(pair, 8)).join(F.broadcast(contexts) if k < 3 else contexts, context, "left")
+            seen = [F.coalesce(F.col(f"{context}_{y}"), F.lit(0)) if k else F.lit(self.totals[y]) for y in (0, 1)]
+            blended = [((F.coalesce(F.col(f"{pair}_{y}"), F.lit(0)) + STRENGTH * p[y]) / (seen[y] + STRENGTH)).alias(f"p{y}") for y in (0, 1)]
+            out = out.select("gram", *blended)
+            p = [F.col("p0"), F.col("p1")]
+        return out.select("gram", (F.log("p0") - F.log("p1")).alias("value"))
 
     def scores(self, urls: list[bytes]) -> np.ndarray:
-        contexts, pairs, starts = slots(urls)
-        size = np.fromiter((len(u) for u in urls), np.int64, len(urls))
-        if not self.whole or not len(contexts[0]):
-            return np.zeros(len(urls))
-        logs = []
-        for own in self.counts:
-            p = np.full(len(contexts[0]), 1 / 256)
-            for k in range(ORDER + 1):
-                p = (own[k, 1][pairs[k]] + STRENGTH * p) / (own[k, 0][contexts[k]] + STRENGTH)
-            logs.append(np.log(np.minimum(p, 1.0)))
-        total = np.append(0.0, np.cumsum(logs[0] - logs[1]))
-        return (total[starts + size] - total[starts]) / np.maximum(size, 1)
+        """Scores of a few urls, gathered."""
+        spark = self.counts.sparkSession
+        rows = _scored(spark.createDataFrame(list(enumerate(urls)), "k long, url binary"), self, ["k"])
+        return np.array([r.llr for r in sorted(rows.collect(), key=lambda r: r.k)])
 
 
 def fold(page_id: Column) -> Column:
@@ -110,48 +116,59 @@ def fold(page_id: Column) -> Column:
 
 def learned(rows: DataFrame) -> Model:
     """rows: url (binary), label (0 accepted, 1 rejected)."""
+    bounded_batches(rows.sparkSession)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros((2, ORDER + 1, 2, SLOTS), np.int64)
         for b in batches:
-            urls, labels = b.column(0).to_pylist(), b.column(1).to_numpy()
-            for label in (0, 1):
-                own = [u for u, x in zip(urls, labels, strict=True) if x == label]
-                for a in range(0, len(own), SLICE):
-                    contexts, pairs, _ = slots(own[a : a + SLICE])
-                    for k in range(ORDER + 1):
-                        sums[label, k, 0] += np.bincount(contexts[k], minlength=SLOTS)
-                        sums[label, k, 1] += np.bincount(pairs[k], minlength=SLOTS)
-        flat = sums.ravel()
-        at = np.flatnonzero(flat)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(flat[at])], ["cell", "n"])
-
-    summed = rows.mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
-    parts = summed.groupBy(F.shiftright("cell", 12).alias("part")).agg(F.collect_list(F.struct("cell", "n")).alias("own"))
-    counts = np.zeros(2 * (ORDER + 1) * 2 * SLOTS)
-    for r in parts.toLocalIterator():  # cells have a fixed number
-        cells = np.array([tuple(x) for x in r.own], np.int64)
-        counts[cells[:, 0]] = cells[:, 1]
-    return Model(counts.reshape(2, ORDER + 1, 2, SLOTS))
+            found, at = grams([u or b"" for u in b.column(0).to_pylist()])
+            own, place = np.unique(found, return_inverse=True)
+            label = b.column(1).to_numpy()[at]
+            n = [np.bincount(place[label == y], minlength=len(own)) for y in (0, 1)]
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (own, *n)], ["gram", "n0", "n1"])
+
+    found = rows.select("url", "label").mapInArrow(count, "gram long, n0 long, n1 long")
+    return Model(written(found.groupBy("gram").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")), "url-counts"))
 
 
 def _scored(rows: DataFrame, model: Model, keep: list[str]) -> DataFrame:
-    sent = Sent(rows.sparkSession, model)
+    """The columns to keep of each row, and llr."""
+    bounded_batches(rows.sparkSession)
+    if not model.whole:
+        return rows.select(*keep, F.lit(0.0).alias("llr"))
+    block = F.shiftright(F.monotonically_increasing_id(), BLOCK_BITS)
+    blocks = written(rows.select(F.col("url").cast("binary").alias("__px_url"), *keep).withColumn("__px_block", block), "url-blocks")
     schema = rows.select(*keep).schema
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = sent.get()
+    def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            urls = [u or b"" for u in b.column(0).to_pylist()]
-            got = [own.scores(urls[a : a + SLICE]) for a in range(0, len(urls), SLICE)]
-            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(np.concatenate(got) if got else np.zeros(0))], [*keep, "llr"])
-
-    return rows.select(F.col("url").cast("binary").alias("__px_url"), *keep).mapInArrow(score, schema.add("llr", "double"))
+            found, at = grams([u or b"" for u in b.column(0).to_pylist()])
+            of = b.column(1).to_numpy()[at]
+            for k in np.unique(of):
+                own = np.unique(found[of == k])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), k)), pa.array(own)], ["block", "gram"])
+
+    def score(left: pa.Table, right: pa.Table) -> pa.Table:
+        urls = [u or b"" for u in left.column("__px_url").to_pylist()]
+        found, at = grams(urls)
+        own, value = right.column("gram").to_numpy(), right.column("value").to_numpy()
+        order = np.argsort(own)
+        values = value[order][np.searchsorted(own, found, sorter=order)] if len(found) else np.zeros(0)
+        size = np.bincount(at, minlength=len(urls))
+        return left.select(keep).append_column("llr", pa.array(np.bincount(at, values, len(urls)) / np.maximum(size, 1)))
+
+    asked = blocks.select("__px_url", "__px_block").mapInArrow(strings, "block long, gram long")
+    told = asked.join(model.valued(asked.select("gram").distinct()), "gram").select("block", "gram", "value")
+    return blocks.groupBy("__px_block").cogroup(told.groupBy("block")).applyInArrow(score, schema.add("llr", "double"))
 
 
 def calibrated(rows: DataFrame, model: Model) -> float:
     """The threshold with the best balanced accuracy on rows (url, label); accepted at or above it."""
-    bins = _scored(rows, model, ["label"]).select("label", F.greatest(F.lit(-BINS), F.least(F.lit(BINS), F.round(F.col("llr") * 100))).cast("int").alias("bin"))
+    return cut(_scored(rows, model, ["label"]))
+
+
+def cut(scored: DataFrame) -> float:
+    """The same of rows (label, llr)."""
+    bins = scored.select("label", F.greatest(F.lit(-BINS), F.least(F.lit(BINS), F.round(F.col("llr") * 100))).cast("int").alias("bin"))
     found = np.zeros((2, 2 * BINS + 1))
     for r in bins.groupBy("label", "bin").count().collect():
         found[int(r.label), r.bin + BINS] += r["count"]
@@ -166,10 +183,10 @@ def calibrated(rows: DataFrame, model: Model) -> float:
 def judged(pages: DataFrame, rules=RULES) -> DataFrame:
     """page_id, host, path, rule, verdict, llr: a row per row of pages."""
     rows = ruled(pages.select(F.col("page_id").cast("long"), "url"), rules)
-    told = rows.where("rule_verdict is not null").select(F.col("url").cast("binary").alias("url"), (F.col("rule_verdict") == "block").cast("int").alias("label"), fold(F.col("page_id")).alias("fold"))
-    model = learned(told.where("fold <> 0").select("url", "label"))
-    threshold = calibrated(told.where("fold = 0"), model)
-    scored = _scored(rows, model, ["page_id", "host", "path", "rule", "rule_verdict"])
+    rows = rows.withColumns({"label": (F.col("rule_verdict") == "block").cast("int"), "fold": fold(F.col("page_id"))})
+    model = learned(rows.where("rule_verdict is not null and fold <> 0").select(F.col("url").cast("binary").alias("url"), "label"))
+    scored = written(_scored(rows, model, ["page_id", "host", "path", "rule", "rule_verdict", "label", "fold"]), "url-scores")
+    threshold = cut(scored.where("label is not null and fold = 0"))
     by_model = F.when(F.col("llr") >= threshold, "allow").otherwise("block")
     return scored.select("page_id", "host", "path", "rule", F.coalesce("rule_verdict", by_model).alias("verdict"), "llr")
 
