@@ -60,12 +60,13 @@ def fingerprint(data: bytes | None, width: int = 4) -> int:
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         fps = np.fromiter((fingerprint(t.as_py()) for t in b.column(1)), np.uint64, b.num_rows).view(np.int64)
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64())], ["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([b.column(0), *b.columns[2:], pa.array(fps, pa.int64())], ["doc_id", *b.schema.names[2:], "fp"])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp): a row per row of docs."""
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(_fingerprints, "doc_id long, fp long")
+def fingerprints(docs: DataFrame, *keep: str) -> DataFrame:
+    """(doc_id, the columns to keep, fp): a row per row of docs."""
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary"), *keep)
+    return rows.mapInArrow(_fingerprints, rows.select("doc_id", *keep).schema.add("fp", "long"))
 
 
 def _keys(fp) -> F.Column:
@@ -187,13 +188,18 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     return now.select("u", F.col("v").alias("root"))
 
 
+def grouped(by_row: DataFrame) -> DataFrame:
+    """by_row (doc_id, fp): (fp, least, root), a row per distinct fingerprint."""
+    distinct = written(by_row.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
+    roots = components(links(distinct)).withColumnRenamed("u", "fp")
+    named = distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    return written(named, "named-fingerprints")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, fp, component_id): a row per row of docs."""
     by_doc = written(fingerprints(docs), "fingerprints")
-    distinct = written(by_doc.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
-    roots = components(links(distinct)).withColumnRenamed("u", "fp")
-    named = distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    named = written(named, "named-fingerprints")
+    named = grouped(by_doc)
     ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
     return by_doc.join(named.join(ids, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
@@ -206,9 +212,12 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays, that with the smallest doc_id; of repeated rows of one doc_id, one. Rows without doc_id stay."""
+    """One row of each group stays, that with the smallest doc_id and of these the smallest text digest; of the group's rows without doc_id, one too."""
     bounded_batches(spark)
-    keep = near_duplicates(docs).where("doc_id = component_id").select(F.col("doc_id").alias("__px_id")).distinct()
-    named = docs.where(F.col("doc_id").isNotNull())
-    kept = named.join(keep, named["doc_id"] == keep["__px_id"], "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where(F.col("doc_id").isNull()))
+    key = ["__px_text", "__px_row"]
+    rows = docs.withColumns({"__px_text": F.coalesce(F.md5(F.col("text").cast("binary")), F.lit("")), "__px_row": F.xxhash64(F.col("doc_id").isNull(), *docs.columns)})
+    by_row = written(fingerprints(rows, *key), "fingerprints")
+    least = F.min(F.struct("doc_id", *key)).alias("least")
+    firsts = by_row.groupBy("fp", F.col("doc_id").isNull().alias("nameless")).agg(least)
+    firsts = firsts.join(grouped(by_row).select("fp", "root"), "fp").groupBy("root", "nameless").agg(F.min("least").alias("least"))
+    return rows.join(firsts.select("least.__px_text", "least.__px_row"), key, "left_semi").dropDuplicates(key).drop(*key)
