@@ -1,27 +1,31 @@
 """Main-text extraction: gradient-boosted trees over DOM-node features, decoded down the tree.
 
-Each node gets features of its tag, attribute tokens, depth, siblings and subtree (text, links, density).
-Spark ML's boosted trees give its probability of being main content. Decoding picks the most likely labelling
-in which no kept node stands below a dropped one: from the leaves up, a node's best kept score lets each child
-choose, its best dropped score takes all descendants as dropped; then choices are read from the root down.
-
-There are no labelled pages, so the trees learn from distant labels on a bounded sample of pages
-(TRAIN_PAGES of smallest hash): what stands in an article, main or content block is content, together with
-what holds it; what stands in a menu, header, footer, sidebar, notice, advert, form, script, style or
-comment block isn't. So that all of these are known whatever the sample has, sampled pages are also
-rebuilt with such blocks put beside and into the article.
-
-Without a page that has both kinds (such as in an empty table), names alone decide.
+Each node gets features of its tag, attribute tokens, depth, siblings, neighbours and subtree (text, links, punctuation,
+density, and how it stands to the densest container of prose). Spark ML's boosted trees give its probability of being
+main content. Decoding picks the most likely labelling in which no kept node stands below a dropped one: from
+the leaves up, a node's best kept score lets each child choose, its best dropped score takes all descendants as
+dropped; then choices are read from the root down. The page's frame (html, body) is always kept, what no reader sees
+(scripts, styles, the head, hidden elements) always dropped.
+
+There are no labelled pages, so the trees learn from pages of known construction. The words and articles of
+a bounded sample (TRAIN_PAGES of smallest hash) are put into made layouts: articles of paragraphs,
+headings, lists, tables, quotes and wrappers, among menus, headers, footers, sidebars, notices, adverts, forms and
+comments. Elements carry telling tags or names, names that tell nothing, or none, so neither names nor
+form alone decide; every element's label is known from how it was made. The sampled pages themselves take part too
+where they have an article element.
+
+Without any page (such as in an empty table), names alone decide.
 
 Defined results: null and empty html give the empty text and 0 characters. Markup without any kept node
-gives the empty text. Broken markup is read as far as it goes. Repeated rows repeat. Only page_id, url and
-html are read.
+gives the empty text. Broken markup is read as far as it goes, very long pages are read whole. Repeated rows repeat.
+Only page_id, url and html are read, whatever other columns there are.
 """
 
 from __future__ import annotations
 
 import random
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,24 +39,38 @@ from provisio.llm.common import Sent, table, written
 from provisio.llm.dom import Page
 
 TRAIN_PAGES = 200  # the bound of the sample
-ROUNDS = 12
+MADE = 5  # layouts for each sampled page
+ROUNDS = 18
 DEPTH = 5
 # Tokens of tags, classes, ids and roles.
 NEGATIVE = {
     "menu": {"nav", "menu", "navbar", "navigation", "breadcrumb", "breadcrumbs", "toc", "pagination", "pager", "tabs"},
-    "edge": {"header", "footer", "masthead", "banner", "topbar", "bottom", "copyright", "legal", "contentinfo", "site"},
-    "side": {"aside", "sidebar", "side", "rail", "widget", "related", "recommended", "popular", "trending", "complementary"},
-    "notice": {"notice", "cookie", "cookies", "consent", "gdpr", "alert", "popup", "modal", "overlay", "newsletter", "subscribe", "paywall", "disclaimer", "warning", "message", "toast"},
+    "edge": {"header", "footer", "masthead", "topbar", "copyright", "legal", "contentinfo"},
+    "side": {"aside", "sidebar", "rail", "widget", "related", "recommended", "trending", "complementary"},
+    "notice": {"notice", "cookie", "cookies", "consent", "gdpr", "alert", "popup", "modal", "overlay", "newsletter", "subscribe", "paywall", "disclaimer", "toast"},
     "advert": {"ad", "ads", "advert", "advertisement", "adverts", "sponsor", "sponsored", "promo", "promotion", "banner", "commercial"},
-    "form": {"form", "input", "button", "select", "textarea", "label", "search", "login", "signup", "fieldset", "option"},
-    "reader": {"comment", "comments", "reply", "replies", "respond", "discussion", "disqus", "commentlist", "reader", "responses", "feedback"},
-    "share": {"share", "sharing", "social", "follow", "tags", "meta", "byline", "author", "rating"},
-    "hidden": {"script", "style", "noscript", "template", "iframe", "head", "title", "link", "svg", "canvas", "object", "hidden"},
+    "form": {"form", "input", "button", "select", "textarea", "search", "login", "signup", "fieldset", "option"},
+    "reader": {"comment", "comments", "reply", "replies", "respond", "discussion", "disqus", "commentlist", "responses"},
+    "share": {"share", "sharing", "social"},
 }
-POSITIVE = {"article", "main", "content", "post", "entry", "story", "text", "articlebody", "body", "prose", "maincontent"}
-TEXT_TAGS = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "blockquote", "pre", "td", "figcaption"}
-INNER = {"b", "i", "em", "strong", "span", "br", "a", "u", "code"}
-NAMES = (*NEGATIVE, "positive", "text_tag", "inner_tag", "div_tag", "link_tag", "root_tag", "depth", "siblings", "place", "size", "density", "links", "children", "subtree", "in_positive", "in_negative", "has_positive", "page_positive", "parent_links", "share")
+# Tokens that stand in names of both kinds.
+EITHER = ["bottom", "top", "side", "site", "message", "warning", "tags", "meta", "author", "byline", "label", "popular", "follow", "rating", "reader", "feedback", "box", "block", "inner", "wrap"]
+POSITIVE = {"article", "main", "content", "post", "entry", "story", "text", "articlebody", "prose", "maincontent"}
+UNSEEN = {"script", "style", "noscript", "template", "iframe", "head", "title", "meta", "link", "svg", "canvas", "object"}
+FRAME = {"#root", "html", "body"}
+TEXT_TAGS = {"p", "li", "blockquote", "pre", "td", "th", "dd", "dt", "figcaption"}
+HEADS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+LISTS = {"ul", "ol", "dl", "table", "tbody", "tr"}
+BOXES = {"div", "section", "center", "span"}
+INNER = {"b", "i", "em", "strong", "br", "u", "code", "sup", "sub", "small"}
+CONTROLS = {"input", "button", "select", "textarea", "option", "label"}
+NAMES = (
+    *NEGATIVE, "either", "positive", "in_positive", "in_negative", "unseen", "text_tag", "head_tag", "list_tag", "box_tag", "inner_tag", "link_tag", "control_tag", "frame_tag",
+    "depth", "siblings", "place", "size", "density", "links", "children", "subtree", "parent_links", "share", "parent_share", "punctuation", "parent_punctuation", "prose", "longest", "paragraphs", "heads", "controls",
+    "before", "after", "previous", "next", "same", "in_best", "has_best", "best_share", "mean_words", "link_count",
+)
+COL = {name: k for k, name in enumerate(NAMES)}
+SEP = re.compile(r"[.,;:!?]")
 SPLIT = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[A-Z])")
 
 
@@ -68,110 +86,269 @@ def tokens(tag: str, attrs: dict[str, str]) -> set[str]:
 
 def features(page: Page) -> np.ndarray:
     """A row for each node, columns as in NAMES."""
-    n = len(page.tags)
+    n, parent, tags = len(page.tags), page.parent, page.tags
     x = np.zeros((n, len(NAMES)), np.float32)
-    col = {name: k for k, name in enumerate(NAMES)}
-    own, chars, links, count, kids = [], np.zeros(n), np.zeros(n), np.ones(n), np.zeros(n)
-    for node, text in page.flow:
-        if text:
-            chars[node] += len(text)
-    place, seen = np.zeros(n), {}
+    flag = [[] for _ in range(len(NEGATIVE) + 2)]
+    unseen, place, kids = [False] * n, [0] * n, [0] * n
     for k in range(n):
-        found = tokens(page.tags[k], page.attrs[k])
-        own.append(found)
-        for j, words in enumerate(NEGATIVE.values()):
-            x[k, j] = not words.isdisjoint(found)
-        x[k, col["positive"]] = not POSITIVE.isdisjoint(found) and page.tags[k] != "body"
-        p = page.parent[k]
+        found = tokens(tags[k], page.attrs[k])
+        for j, words in enumerate((*NEGATIVE.values(), EITHER, POSITIVE)):
+            if not found.isdisjoint(words):
+                flag[j].append(k)
+        p = parent[k]
+        unseen[k] = tags[k] in UNSEEN or "hidden" in found or (p >= 0 and unseen[p])
         if p >= 0:
             place[k] = kids[p]
             kids[p] += 1
-    hidden = x[:, col["hidden"]] > 0
-    chars[hidden] = 0
-    for k in range(n):
-        if page.tags[k] == "a":
-            links[k] = -1
-    total, linked, has = chars.copy(), np.where(links < 0, chars, 0), x[:, col["positive"]].copy()
+    for j, nodes in enumerate(flag):
+        x[nodes, j] = 1
+    frame = [t in FRAME for t in tags]
+    x[frame, : len(flag)] = 0
+    total, linked, punct, prose, words, pieces = [0.0] * n, [0.0] * n, [0] * n, [0.0] * n, [0] * n, [0] * n
+    in_link = [False] * n
+    for k in range(1, n):
+        in_link[k] = tags[k] == "a" or in_link[parent[k]]
+    for node, text in page.flow:
+        if text and not unseen[node] and not text.isspace():
+            size, w, s = len(text), text.count(" ") + 1, len(SEP.findall(text))
+            total[node] += size
+            words[node] += w
+            pieces[node] += 1
+            punct[node] += s
+            if in_link[node]:
+                linked[node] += size
+            elif w >= 6 or (s and w >= 3):
+                prose[node] += size
+    own = list(prose)
+    best = [0.0] * n  # prose of the nodes whose container this is
+    for k in range(n - 1, 0, -1):
+        if own[k] and not frame[k]:
+            at, weight = parent[k] if tags[k] not in BOXES and tags[k] != "article" else k, 1.0
+            while at > 0 and tags[at] in INNER | TEXT_TAGS | HEADS:
+                at = parent[at]
+            for _ in range(2):
+                if at < 0 or frame[at]:
+                    break
+                best[at] += own[k] * weight
+                at, weight = parent[at], 0.4
+    count, links, longest, paras, heads, controls = [1] * n, [int(t == "a") for t in tags], list(total), [int(t == "p") for t in tags], [int(t in HEADS) for t in tags], [int(t in CONTROLS) for t in tags]
+    upto = np.cumsum(total)
     for k in range(n - 1, 0, -1):
-        p = page.parent[k]
+        p = parent[k]
         total[p] += total[k]
-        linked[p] += total[k] if links[k] < 0 else linked[k]
+        linked[p] += linked[k]
+        punct[p] += punct[k]
+        prose[p] += prose[k]
+        words[p] += words[k]
+        pieces[p] += pieces[k]
         count[p] += count[k]
-        has[p] = max(has[p], has[k])
-    bad = x[:, : len(NEGATIVE)].max(axis=1)
-    bad[[k for k in range(n) if page.tags[k] in ("html", "body", "#root")]] = 0
+        links[p] += links[k]
+        paras[p] += paras[k]
+        heads[p] += heads[k]
+        controls[p] += controls[k]
+        if longest[k] > longest[p]:
+            longest[p] = longest[k]
+    worth = [b * (1 - linked[k] / max(total[k], 1)) for k, b in enumerate(best)]
+    top = max(range(n), key=worth.__getitem__)
+    in_best, has_best = [False] * n, [False] * n
+    if worth[top] > 0:
+        at = top
+        while at >= 0:
+            has_best[at] = True
+            at = parent[at]
+    for k in range(1, n):
+        in_best[k] = (k == top and worth[top] > 0) or in_best[parent[k]]
+    bad = x[:, : len(NEGATIVE)].max(axis=1) > 0
+    by_parent: dict[int, list[int]] = {}
+    previous, following, same, in_positive, in_negative = [0.0] * n, [0.0] * n, [0.0] * n, [0.0] * n, [0.0] * n
+    positive = x[:, COL["positive"]]
     for k in range(1, n):
-        p = page.parent[k]
-        x[k, col["in_positive"]] = max(x[p, col["in_positive"]], x[p, col["positive"]])
-        x[k, col["in_negative"]] = max(x[p, col["in_negative"]], bad[p])
-    tag = lambda names: np.array([t in names for t in page.tags], np.float32)
-    parent = np.maximum(np.array(page.parent), 0)
+        p = parent[k]
+        by_parent.setdefault(p, []).append(k)
+        in_positive[k] = max(in_positive[p], positive[p])
+        in_negative[k] = max(in_negative[p], float(bad[p]))
+    for own_kids in by_parent.values():
+        kinds: dict[str, int] = {}
+        for k in own_kids:
+            kinds[tags[k]] = kinds.get(tags[k], 0) + 1
+        for a, k in enumerate(own_kids):
+            same[k] = kinds[tags[k]] / len(own_kids)
+            previous[k] = total[own_kids[a - 1]] if a else 0.0
+            following[k] = total[own_kids[a + 1]] if a + 1 < len(own_kids) else 0.0
+    tag = lambda names: np.fromiter((t in names for t in tags), np.float32, n)
+    up = np.maximum(np.array(parent), 0)
+    total, linked, punct, kids, count = (np.array(v, np.float64) for v in (total, linked, punct, kids, count))
+    ratio, dots, whole = linked / np.maximum(total, 1), 100 * punct / np.maximum(total, 1), max(1.0, total[0])
     for name, value in (
-        ("text_tag", tag(TEXT_TAGS)), ("inner_tag", tag(INNER)), ("div_tag", tag({"div", "section"})), ("link_tag", tag({"a"})), ("root_tag", tag({"#root", "html", "body"})),
-        ("depth", np.array(page.depth)), ("siblings", kids[parent]), ("place", place / np.maximum(kids[parent], 1)), ("size", np.log1p(total)), ("density", total / count),
-        ("links", linked / np.maximum(total, 1)), ("children", kids), ("subtree", np.log1p(count)), ("has_positive", has), ("page_positive", np.full(n, has[0])),
-        ("parent_links", (linked / np.maximum(total, 1))[parent]), ("share", total / max(1.0, total[0])),
+        ("in_positive", in_positive), ("in_negative", in_negative), ("unseen", unseen), ("text_tag", tag(TEXT_TAGS)), ("head_tag", tag(HEADS)), ("list_tag", tag(LISTS)), ("box_tag", tag(BOXES)), ("inner_tag", tag(INNER)), ("link_tag", tag({"a"})),
+        ("control_tag", tag(CONTROLS)), ("frame_tag", frame), ("depth", page.depth), ("siblings", kids[up]), ("place", np.array(place) / np.maximum(kids[up], 1)), ("size", np.log1p(total)), ("density", total / count), ("links", ratio),
+        ("children", kids), ("subtree", np.log1p(count)), ("parent_links", ratio[up]), ("share", total / whole), ("parent_share", total / np.maximum(total[up], 1)), ("punctuation", dots), ("parent_punctuation", dots[up]), ("prose", np.log1p(prose)),
+        ("longest", np.log1p(longest)), ("paragraphs", np.log1p(paras)), ("heads", np.log1p(heads)), ("controls", np.log1p(controls)), ("before", (upto - total) / whole), ("after", 1 - upto / whole), ("previous", np.log1p(previous)),
+        ("next", np.log1p(following)), ("same", same), ("in_best", in_best), ("has_best", has_best), ("best_share", np.array(worth) / max(1.0, worth[top])), ("mean_words", np.array(words) / np.maximum(pieces, 1)), ("link_count", np.log1p(links)),
     ):
-        x[:, col[name]] = value
+        x[:, COL[name]] = value
     return x
 
 
-def distant(page: Page, x: np.ndarray) -> np.ndarray:
-    """Labels from tags and names alone; nodes of pages without any content block are not labelled (-1)."""
-    col = {name: k for k, name in enumerate(NAMES)}
-    bad = x[:, : len(NEGATIVE)].max(axis=1) > 0
-    bad &= ~(x[:, col["root_tag"]] > 0) & ~((x[:, col["positive"]] > 0) & np.array([t in ("article", "main") for t in page.tags]))
-    good = np.zeros(len(bad), np.int8)
-    if not x[0, col["page_positive"]]:
-        return np.full(len(bad), -1, np.int8)
-    inside, dropped = np.zeros(len(bad), bool), np.zeros(len(bad), bool)
-    for k in range(len(bad)):
-        p = page.parent[k]
-        dropped[k] = bad[k] or (p >= 0 and dropped[p])
-        inside[k] = not dropped[k] and (x[k, col["positive"]] > 0 or (p >= 0 and inside[p]))
-    good[inside] = 1
-    for k in range(len(bad) - 1, 0, -1):
-        if good[k] and not dropped[page.parent[k]]:
-            good[page.parent[k]] = 1
-    return good
-
-
-def _blocks(rng: random.Random, words: list[str]) -> str:
-    """A made block of a random unwanted kind."""
-    say = lambda n: " ".join(rng.choice(words) for _ in range(n))
-    kind = rng.choice(list(NEGATIVE)[:-1])
-    token = rng.choice(sorted(NEGATIVE[kind] - {"input", "button", "select", "textarea", "label", "option", "site"}))
-    real = {"nav", "aside", "header", "footer", "form", "fieldset", "menu"}
-    tag = token if token in real else rng.choice(["div", "div", "section", "ul", "span"])
-    name = "" if token in real else rng.choice([f' class="{token}"', f' id="{token}"', f' class="{token}-box"', f' class="page-{token}"'])
-    if kind == "menu":
-        body = "<ul>" + "".join(f'<li><a href="/{k}">{say(rng.randint(1, 2))}</a></li>' for k in range(rng.randint(3, 9))) + "</ul>"
-    elif kind == "form":
-        body = f'<label>{say(2)}</label><input name="q"><button>{say(1)}</button>'
-    elif kind == "reader":
-        body = "".join(f"<div class='{rng.choice(['comment', 'reply', 'item'])}'><p>{say(rng.randint(5, 40))}</p></div>" for _ in range(rng.randint(1, 5)))
-    else:
-        body = rng.choice([say(rng.randint(3, 30)), f"<p>{say(rng.randint(3, 40))}</p>", f"<h3>{say(2)}</h3><p>{say(20)}</p><a href='/x'>{say(2)}</a>"])
-    return f"<{tag}{name}>{body}</{tag}>"
-
-
-def rebuilt(source: str, seed: int) -> str:
-    """The page with unwanted blocks put before, after and into its article, and its article under another name."""
+# ---- pages of known construction
+
+MARK = "data-made"  # "1" or "0": the label of an element and, up to the next mark, of what is in it
+
+
+def marked(page: Page) -> np.ndarray:
+    """Labels by MARK; what holds content is content, and so is the frame."""
+    n, y = len(page.tags), np.zeros(len(page.tags), np.int8)
+    for k in range(1, n):
+        own = page.attrs[k].get(MARK)
+        y[k] = int(own) if own else y[page.parent[k]]
+    held = y.copy()
+    for k in range(n - 1, 0, -1):
+        if held[k] and page.attrs[page.parent[k]].get(MARK) != "0":
+            held[page.parent[k]] = 1
+    return held
+
+
+class Maker:
+    """Made pages over some words."""
+
+    def __init__(self, words: list[str], rng: random.Random):
+        self.words, self.rng = words or ["word"], rng
+
+    def say(self, low: int, high: int) -> str:
+        return " ".join(self.rng.choices(self.words, k=self.rng.randint(low, high)))
+
+    def sentence(self, low: int = 4, high: int = 25) -> str:
+        text = self.say(low, high)
+        return text[:1].upper() + text[1:].rstrip(".,;:!?") + self.rng.choice(".....!?")
+
+    def prose(self, low: int = 1, high: int = 6) -> str:
+        return " ".join(self.sentence() for _ in range(self.rng.randint(low, high)))
+
+    def plain(self) -> str:
+        """A name that tells nothing."""
+        return self.rng.choice("abcdefgxyz") + self.rng.choice(["", "1", "7", "-12", "_row", "-col", "x9", "2b"])
+
+    def named(self, tag: str, name: str | None, inner: str, mark: int | None = None) -> str:
+        attr = "" if not name else self.rng.choice([f' class="{name}"', f' id="{name}"', f" class='{name} {self.plain()}'"])
+        return f"<{tag}{attr}{'' if mark is None else f' {MARK}={mark!s}'}>{inner}</{tag}>"
+
+    def inline(self, text: str) -> str:
+        kind = self.rng.random()
+        if kind < 0.1:
+            return f"<b>{text}</b>"
+        words = text.split(" ")
+        if kind < 0.3 and len(words) > 4:
+            a = self.rng.randrange(len(words) - 2)
+            inner = " ".join(words[a : a + 2])
+            return " ".join([*words[:a], self.rng.choice([f"<em>{inner}</em>", f"<a href='/x'>{inner}</a>", f"<code>{inner}</code>", f"{inner}<br>"]), *words[a + 2 :]])
+        return text
+
+    def blocks(self) -> list[str]:
+        """The blocks of an article."""
+        rng, out = self.rng, []
+        if rng.random() < 0.75:
+            out.append(f"<{(h := rng.choice(['h1', 'h1', 'h2']))}>{self.say(2, 9)}</{h}>")
+        for _ in range(rng.choice([1, 2, 2, 3, 4, 6, 9, 20])):
+            kind = rng.random()
+            if kind < 0.66:
+                out.append(f"<p>{self.inline(self.prose(1, rng.choice([1, 2, 8])))}</p>")
+            elif kind < 0.72:
+                out += [f"<h{(k := rng.choice([2, 3]))}>{self.say(1, 6)}</h{k}>", f"<p>{self.prose()}</p>"]
+            elif kind < 0.78:
+                out.append(f"<{(u := rng.choice(['ul', 'ol']))}>" + "".join(f"<li>{self.inline(self.sentence(2, 18))}</li>" for _ in range(rng.randint(2, 6))) + f"</{u}>")
+            elif kind < 0.82:
+                out.append(f"<blockquote>{rng.choice(['{}', '<p>{}</p>']).format(self.prose())}</blockquote>")
+            elif kind < 0.86:
+                out.append("<table>" + "".join("<tr>" + "".join(f"<td>{self.say(1, 4)}</td>" for _ in range(3)) + "</tr>" for _ in range(rng.randint(2, 5))) + "</table>")
+            elif kind < 0.89:
+                out.append(f"<pre>{self.say(5, 30)}</pre>")
+            elif kind < 0.95:
+                name = rng.choice([None, self.plain(), f"{rng.choice(['text', 'par', 'p', 'sec'])}-{rng.choice(EITHER)}", rng.choice(EITHER)])
+                out.append(self.named(rng.choice(["div", "section"]), name, rng.choice(["<p>{}</p>", "<p>{}</p>", "{}"]).format(self.prose(1, 3))))
+            else:
+                out.append(f"<figure><img src='x.png'><figcaption>{self.sentence(3, 9)}</figcaption></figure>")
+        return out
+
+    def links(self, low: int, high: int) -> str:
+        rng, items = self.rng, [f'<a href="/{k}">{self.say(1, 3)}</a>' for k in range(self.rng.randint(low, high))]
+        return rng.choice([lambda: "<ul>" + "".join(f"<li>{i}</li>" for i in items) + "</ul>", lambda: " | ".join(items), lambda: "".join(items), lambda: "".join(f"<div>{i}</div>" for i in items), lambda: "<p>" + " ".join(items) + "</p>"])()
+
+    def junk(self) -> str:
+        """A block of an unwanted kind. Some kinds can be told without names (links, controls, short lines), others seldom are."""
+        rng = self.rng
+        kind = rng.choice(["menu", "menu", "edge", "edge", "side", "notice", "advert", "form", "reader", "share"])
+        if kind == "menu":
+            inner = self.links(3, 9) if rng.random() < 0.8 else self.say(1, 4)
+        elif kind == "edge":
+            inner = rng.choice([f"&copy; {self.say(1, 3)} &middot; {self.say(1, 14)}.", f"&copy; 2024 {self.say(1, 4)}", self.say(1, 3), f"<a href='/'>{self.say(1, 2)}</a> {self.say(1, 4)}", f"<p>{self.say(1, 3)}</p>{self.links(2, 5)}"])
+        elif kind == "side":
+            inner = f"<h3>{self.say(1, 3)}</h3>" + rng.choice([self.links(3, 7), "".join(f"<div><a href='/{k}'>{self.say(3, 8)}</a><span>{self.say(1, 2)}</span></div>" for k in range(rng.randint(2, 6)))])
+        elif kind == "notice":
+            inner = f"{rng.choice(['<p>{}</p>', '{}', '<span>{}</span>']).format(self.prose(1, 2))}{rng.choice(['', '<button>{}</button>', '<a href=/p>{}</a>']).format(self.say(1, 2))}"
+        elif kind == "advert":
+            inner = rng.choice([self.sentence(3, 20), f"<a href='/ad'>{self.say(3, 12)}</a>", f"<p>{self.sentence()}</p><a href='/buy'>{self.say(1, 3)}</a>"])
+        elif kind == "form":
+            inner = f"<label>{self.say(1, 3)}</label><input name=q><button>{self.say(1, 1)}</button>" + rng.choice(["", f"<select><option>{self.say(1, 2)}</option></select>", f"<textarea>{self.say(1, 5)}</textarea>"])
+        elif kind == "reader":
+            each = rng.choice(["<div class='comment'><b>{}</b><p>{}</p></div>", "<li>{} <p>{}</p></li>", "<div><span>{}</span><div>{}</div><a href='/r'>reply</a></div>"])
+            inner = rng.choice(["", f"<h3>{self.say(1, 2)}</h3>"]) + "".join(each.format(self.say(1, 2), self.prose(1, 2)) for _ in range(rng.randint(1, 6)))
+        else:
+            inner = "".join(f"<a href='/s'>{self.say(1, 1)}</a>" for _ in range(rng.randint(2, 5)))
+        tags = {"menu": ["nav", "menu"], "edge": ["header", "footer"], "side": ["aside"], "form": ["form", "fieldset"]}.get(kind, [])
+        bare = {"menu": 0.5, "edge": 0.45, "side": 0.5, "form": 0.4, "share": 0.5, "reader": 0.2, "advert": 0.35, "notice": 0.25}[kind]
+        if rng.random() < bare:
+            return self.named(rng.choice(["div", "div", "section", "ul" if inner.startswith("<li") else "div", "p" if "<" not in inner else "div"]), rng.choice([None, self.plain(), self.plain(), rng.choice(EITHER)]), inner, 0)
+        token = rng.choice(sorted(NEGATIVE[kind] - {"input", "button", "select", "textarea", "option"} - set(tags)))
+        if tags and rng.random() < 0.5:
+            return self.named(rng.choice(tags), rng.choice([None, self.plain(), token]), inner, 0)
+        return self.named(rng.choice(["div", "div", "section", "ul" if inner.startswith("<li") else "div"]), rng.choice([token, f"{token}-{self.plain()}", f"{rng.choice(['page', 'main', 'x', 'top'])}-{token}", f"{token}_{rng.choice(EITHER)}"]), inner, 0)
+
+    def page(self, inner: str | None = None) -> str:
+        """A page around the given inner html of an article, or around made blocks."""
+        rng = self.rng
+        if rng.random() < 0.05:  # nothing but a text
+            return rng.choice(["{}", "<html><body>{}</body></html>"]).format(self.named(rng.choice(["div", "p", "span", "td"]), rng.choice([None, self.plain()]), rng.choice([self.say(1, 30), self.prose()]), 1))
+        blocks = re.split(r"(?=<p>)", inner) if inner else self.blocks()
+        blocks = [f"<div {MARK}=1>{b}</div>" if rng.random() < 0.03 else b for b in blocks]
+        for _ in range(rng.choice([0, 0, 0, 1, 2])):
+            blocks.insert(rng.randint(1, len(blocks)), self.junk())
+        how = rng.random()
+        if how < 0.15 and not inner:  # no container: the blocks stand among the rest
+            core = "".join(re.sub(r"^<(\w+)", rf"<\1 {MARK}=1", b, count=1) if MARK not in b[:60] else b for b in blocks)
+        else:
+            tag, name = rng.choice([("article", None), ("article", self.plain()), ("main", None), ("div", rng.choice(["content", "main", "post-content", "entry", "story-text", "articlebody"])), ("section", "story"), ("div", self.plain()), ("div", self.plain()), ("div", self.plain()), ("div", None), ("section", None), ("td", None)])
+            body = "".join(blocks)
+            for _ in range(rng.choice([0, 0, 1, 2])):
+                body = self.named("div", rng.choice([None, self.plain(), rng.choice(EITHER)]), body)
+            core = self.named(tag, name, body, 1)
+            core = f"<table><tr>{rng.choice(['', f'<td {MARK}=0>{self.links(3, 6)}</td>'])}{core}</tr></table>" if tag == "td" else core
+        around = [self.junk() for _ in range(rng.choice([0, 1, 2, 3, 4, 6]))]
+        cut = rng.randint(0, len(around))
+        body = "".join(around[:cut]) + core + "".join(around[cut:])
+        for _ in range(rng.choice([0, 0, 1, 2])):
+            body = self.named("div", rng.choice([None, self.plain(), "page", "wrap"]), body)
+        if rng.random() < 0.07:
+            body = f"<form id='{self.plain()}'>{body}</form>"
+        if rng.random() < 0.15:
+            return body
+        return f"<!DOCTYPE html><html><head><meta charset=utf-8><title>{self.say(2, 6)}</title><style>p{{margin:0}}</style><script>var t='{self.say(1, 5)}';</script></head><body>{body}</body></html>"
+
+
+def training(source: str, seed: int) -> Iterator[tuple[Page, np.ndarray]]:
+    """Pages with labels: the sampled page where it has an article element, and made ones over its words."""
     rng = random.Random(seed)
-    words = re.findall(r"\w+", re.sub(r"<[^>]*>", " ", source))[:400] or ["word"]
     m = re.search(r"<article[^>]*>(.*?)</article>", source, re.S)
-    if not m:
-        return source
-    inner = m.group(1)
-    parts = re.split(r"(?=<p>)", inner)
-    for _ in range(rng.randint(0, 3)):
-        parts.insert(rng.randint(1, len(parts)), _blocks(rng, words))
-    name = rng.choice(["article", "article", "main", 'div class="content"', 'div id="main"', 'div class="post-content"', 'div class="entry"', 'section class="story"'])
-    around = [_blocks(rng, words) for _ in range(rng.randint(1, 4))]
-    cut = rng.randint(0, len(around))
-    wrap = rng.choice(["{}", '<div class="wrap">{}</div>', '<div id="page"><div>{}</div></div>'])
-    body = "".join(around[:cut]) + f"<{name}>{''.join(parts)}</{name.split()[0]}>" + "".join(around[cut:])
-    return source[: m.start()] + wrap.format(body) + source[m.end() :]
+    if m:
+        page = Page(re.sub(r"<(nav|aside|header|footer|form|div class=\"ads?\")(?=[\s>])", rf"<\1 {MARK}=0", source[: m.start()] + source[m.start() : m.end()].replace("<article", f"<article {MARK}=1", 1) + source[m.end() :]))
+        yield page, marked(page)
+    words = re.findall(r"[^\s<>&\"']+", re.sub(r"<[^>]*>", " ", m.group(1) if m else source))[:400]
+    for k in range(MADE):
+        made = Maker(words, rng)
+        page = Page(made.page(m.group(1) if m and k < 2 else None))
+        yield page, marked(page)
+
+
+SURE = 1e3
 
 
 class Trees:
@@ -195,9 +372,7 @@ class Trees:
 
     def __call__(self, x: np.ndarray) -> np.ndarray:
         """Log odds of being content; without trees, by names alone."""
-        if not self.trees:
-            return np.where(x[:, : len(NEGATIVE)].max(axis=1) > 0, -1.0, 1.0)
-        total = np.zeros(len(x))
+        total = np.zeros(len(x)) if self.trees else np.where(x[:, : len(NEGATIVE)].max(axis=1) > 0, -0.5, 0.5)
         for weight, t in zip(self.weights, self.trees, strict=True):
             at = np.zeros(len(x), np.int64)
             for _ in range(DEPTH):
@@ -205,7 +380,7 @@ class Trees:
                 go = np.where(x[np.arange(len(x)), np.maximum(f, 0)] <= t[at, 1], t[at, 2], t[at, 3])
                 at = np.where(f >= 0, go, at).astype(np.int64)
             total += weight * t[at, 4]
-        return 2 * total
+        return np.where(x[:, COL["frame_tag"]] > 0, SURE, np.where(x[:, COL["unseen"]] > 0, -SURE, 2 * total))
 
 
 def decode(parent: list[int], odds: np.ndarray) -> np.ndarray:
@@ -228,19 +403,14 @@ def fitted(pages: DataFrame, most: int = TRAIN_PAGES) -> Trees:
 
     def nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            xs, ys = [], []
             for t in b.column(0).to_pylist():
-                for source in (t, *(rebuilt(t, seed) for seed in range(3))):
-                    page = Page(source)
+                for page, y in training(t, zlib.crc32(t.encode("utf-8", "replace"))):
                     x = features(page)
-                    y = distant(page, x)
-                    xs.append(x[y >= 0])
-                    ys.append(y[y >= 0])
-            if xs:
-                x, y = np.concatenate(xs), np.concatenate(ys)
-                yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.float64).tolist(), pa.list_(pa.float64())), pa.array(y.astype(np.float64))], ["x", "label"])
-
-    rows = written(sample.repartition(4).mapInArrow(nodes, "x array<double>, label double"), "nodes")
+                    used = (x[:, COL["frame_tag"]] == 0) & (x[:, COL["unseen"]] == 0)
+                    if used.any():
+                        yield pa.RecordBatch.from_arrays([pa.array(x[used].astype(np.float64).tolist(), pa.list_(pa.float64())), pa.array(y[used].astype(np.float64))], ["x", "label"])
+
+    rows = written(sample.repartition(8).mapInArrow(nodes, "x array<double>, label double"), "nodes")
     if rows.select("label").distinct().count() < 2:
         return Trees()
     data = rows.select(array_to_vector("x").alias("features"), "label")
