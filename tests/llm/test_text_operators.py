@@ -247,18 +247,45 @@ def test_decontamination_equals_brute_force(spark, make):
     assert sorted((str(r.doc_id), *r[1:]) for r in got) == sorted(want)
 
 
-def test_decontamination_in_blocks_and_of_nothing(spark, make):
+def test_decontamination_with_a_full_filter_and_of_nothing(spark, make):
     items = [(k, f"alpha beta gamma delta {k}") for k in range(30)]
-    docs = spark.createDataFrame([(1, "x alpha beta gamma delta 3 alpha beta gamma delta 4 y")], "doc_id long, text string")
+    docs = spark.createDataFrame([(1, "x alpha beta gamma delta 3 alpha beta gamma delta 4 y"), (2, "alpha beta")], "doc_id long, text string")
     bench = spark.createDataFrame(items, "item_id long, text string")
-    for size in (1 << 20, 200):
-        m = decontam.matched(docs, bench, size).first()["__px_m"]
-        assert (m.n_words, m.n_hit, m["items"]) == (12, 10, ["3", "4"])
+    for bits in (decontam.FILTER_BITS, 64):  # 64 bits let nearly all shingles through to the join
+        rows, found = decontam.matches(docs, bench, bits)
+        (m,) = found.collect()
+        assert (m.n_hit, m["items"]) == (10, ["3", "4"])
+        assert [(r.doc_id, r.n_words, r.digest == m.digest) for r in rows.orderBy("doc_id").collect()] == [(1, 12, True), (2, 2, False)]
     sf = make(documents=ODD)
     got = registry.QUERIES["op10_prefix_decontamination"](spark, sf).collect()
     assert len(got) == len(ODD) and not any(r.contaminated for r in got)
 
 
+def test_decontamination_of_one_repeated_word(spark):
+    docs = spark.createDataFrame([(1, "w " * 4000), (2, "w " * 12), (3, "v " + "w " * 13)], "doc_id long, text string")
+    bench = spark.createDataFrame([("a", "w " * 2000), ("b", "w " * 13), ("c", "w " * 12)], "item_id string, text string")
+    rows, found = decontam.matches(docs, bench)
+    got = {r.doc_id: (r.n_words, r.n_hit, r["items"]) for r in rows.join(found, "digest").collect()}
+    assert got == {1: (4000, 4000, ["a", "b", "c"]), 2: (12, 12, ["c"]), 3: (14, 13, ["a", "b", "c"])}
+
+
+def test_word_grid_in_segments(monkeypatch):
+    rng = random.Random(8)
+    texts = [" ".join(rng.choice(["a", "Bc", "é!", "x" * 30]) for _ in range(rng.randint(0, 60))).encode() for _ in range(20)] + [b"", b"..", b"word"]
+    whole = decontam.Grid(texts)
+    for k, t in enumerate(texts):
+        own = [w for w in t.translate(decontam.WORD_BYTES).split()]
+        assert whole.n_words[k] == len(own) and whole.text(whole.bounds[k], whole.bounds[k + 1]) == b" ".join(own)
+    first, hashed = whole.hashes(3)
+    by_text = {}
+    for p, h in zip(first, hashed, strict=True):
+        assert by_text.setdefault(whole.text(p, p + 3), h) == h
+    assert len(set(by_text.values())) == len(by_text)
+    monkeypatch.setattr(decontam, "SEGMENT_BYTES", 100)
+    again, same = whole.hashes(3)
+    assert np.array_equal(first, again) and np.array_equal(hashed, same)
+
+
 # ---- op8, op5
 
 
