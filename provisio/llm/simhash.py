@@ -5,16 +5,19 @@ DISTANCE bits, the pigeonring principle gives a segment from which every chain o
 keeps its cumulative difference within its share DISTANCE * length / SEGMENTS of the budget.
 With 5 segments and 4 bits: the first segment is equal, the first two differ in at most 1 bit, the
 first three in at most 2, the first four in at most 3. The first two conditions make the join key (the
-first segment and one half of the second, as one bit can spoil only one half); the longer chains prune
-what meets there, and the whole Hamming distance is checked last.
+first segment and one half of the second, as one bit can spoil only one half); in every bucket the longer
+chains prune what meets there, and the whole Hamming distance is checked last.
 
 Distinct fingerprints meet in buckets; a bucket returns a spanning forest of its links, never its
-pairs. Buckets over BLOCK rows are dealt out as pairs of blocks. Components are found by alternating
-large-star and small-star steps on the forests' edges.
+pairs. In buckets over BLOCK rows the chain of three segments joins the key (two bits spoil at most two of the
+third segment's three parts); what is still over BLOCK then is dealt out as pairs of blocks. Components are
+found by alternating large-star and small-star steps on the forests' edges. The smallest neighbours of a step are
+written before they are joined, so that AQE splits the node that a large component hangs on.
 
 Defined results: a null or blank text has fingerprint 0, linked like any other. A null doc_id has its
-fingerprint; it names no component but still belongs to one. Repeated rows repeat in the result.
-An empty table gives an empty result. Only doc_id and text are read.
+fingerprint; it names no component but still belongs to one. Repeated rows repeat in the result. Very long texts
+are hashed in chunks and count whole. An empty table gives an empty result. Only doc_id and text are read, whatever
+other columns there are.
 """
 
 from __future__ import annotations
@@ -28,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from provisio.llm.common import bounded_batches, written
+from provisio.llm.common import bounded_batches, dropped, written
 
 DISTANCE = 4
 WIDTHS = (13, 13, 13, 13, 12)
@@ -81,31 +84,60 @@ def _keys(fp) -> F.Column:
     return F.array(*out)
 
 
+def _sub_keys(key: F.Column, fp: F.Column) -> F.Column:
+    """Three longer keys for a key: with each third of the segment after its two."""
+    third = _third(fp, key)
+    parts = ((0, 4), (4, 4), (8, 5))
+    return F.array(*(F.shiftleft(key, 8).bitwiseOR(F.lit(k << 5)).bitwiseOR(F.shiftright(third, at).bitwiseAND((1 << n) - 1)) for k, (at, n) in enumerate(parts)))
+
+
+def _third(fp: F.Column, key: F.Column) -> F.Column:
+    """The third segment of the chain that a key starts."""
+    start, out = F.shiftright(key, 27), F.lit(0).cast("long")
+    for i in range(SEGMENTS):
+        j = (i + 2) % SEGMENTS
+        out = F.when(start == i, F.shiftrightunsigned(fp, STARTS[j]).bitwiseAND(F.lit((1 << WIDTHS[j]) - 1))).otherwise(out)
+    return out
+
+
+WHOLE = 0x7F  # the low byte of a key that has no third part
+MASKS = np.array([((1 << w) - 1) << s for w, s in zip(WIDTHS, STARTS, strict=True)], np.uint64)
+
+
 def _within(x: np.ndarray, key: np.ndarray) -> np.ndarray:
     """Which differences x keep every budget of the chain that key names, and the whole distance."""
     ok = np.ones(len(x), bool)
-    start = (key >> 27).astype(np.int64)
-    masks = np.array([((1 << w) - 1) << s for w, s in zip(WIDTHS, STARTS, strict=True)], np.uint64)
+    start = (key >> 35).astype(np.int64)
     total = np.zeros(len(x), np.int64)
     for k in range(SEGMENTS):
-        total += np.bitwise_count(x & masks[(start + k) % SEGMENTS])
+        total += np.bitwise_count(x & MASKS[(start + k) % SEGMENTS])
         ok &= total * SEGMENTS <= DISTANCE * (k + 1)
     return ok
 
 
-def _forest(fps: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Edges of a spanning forest over all links within fps, one row of distances at a time."""
+def _forest(fps: np.ndarray, start: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Edges of a spanning forest over the links within fps whose chains from start keep their budgets.
+
+    A link that breaks a budget here keeps them from another start, whose bucket has it.
+    """
     left, out = fps, []
     while len(left) > 1:
         queue, left = [left[0]], left[1:]
         while queue and len(left):
             a = queue.pop()
-            near = np.bitwise_count(left ^ a) <= DISTANCE
-            if near.any():
+            x, near, total = left ^ a, None, 0
+            for k in range(1, SEGMENTS):  # chains of 2 segments and more; the first segment is equal
+                total = total + np.bitwise_count(x & MASKS[(start + k) % SEGMENTS]).astype(np.int64)
+                ok = np.flatnonzero(total * SEGMENTS <= DISTANCE * (k + 1))
+                near = ok if near is None else near[ok]
+                x, total = x[ok], total[ok]
+                if not len(ok):
+                    break
+            if len(near):
                 found = left[near]
                 out.append((np.full(len(found), a), found))
                 queue.extend(found)
-                left = left[~near]
+                left = np.delete(left, near)
     return out
 
 
@@ -116,7 +148,7 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # same: whether a row has the key of the one before it
         first = np.flatnonzero(~same)
         size = np.diff(np.append(first, len(fp)))
-        pairs = [p for f, n in zip(first[size > SMALL], size[size > SMALL], strict=True) for p in _forest(np.unique(fp[f : f + n]))]
+        pairs = [p for f, n in zip(first[size > SMALL], size[size > SMALL], strict=True) for p in _forest(np.unique(fp[f : f + n]), int(key[f]) >> 35)]
         group = np.repeat(np.arange(len(first)), size)
         few = np.repeat(size <= SMALL, size)
         for d in range(1, min(SMALL, int(size.max(initial=1)))):
@@ -149,7 +181,12 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def links(fps: DataFrame) -> DataFrame:
     """fps: distinct fingerprints (fp). Edges (u, v), u < v, that connect exactly what pairs within DISTANCE connect."""
     rows = fps.select(F.explode(_keys(F.col("fp"))).alias("key"), "fp")
-    large = rows.groupBy("key").count().where(F.col("count") > BLOCK).select("key", F.ceil(F.col("count") / BLOCK).cast("long").alias("n"))
+    # hot and large are written, so that Spark sees their size: as a rule few keys or none, and then no shuffle
+    hot = written(rows.groupBy("key").count().where(F.col("count") > BLOCK).select("key", F.lit(True).alias("hot")), "hot-keys")
+    parts = rows.join(hot, "key").select(F.explode(_sub_keys(F.col("key"), F.col("fp"))).alias("key"))
+    large = written(parts.groupBy("key").count().where(F.col("count") > BLOCK).select("key", F.ceil(F.col("count") / BLOCK).cast("long").alias("n")), "large-keys")
+    keys = F.when(F.col("hot"), _sub_keys(F.col("key"), F.col("fp"))).otherwise(F.array(F.shiftleft("key", 8).bitwiseOR(F.lit(WHOLE))))
+    rows = rows.join(hot, "key", "left").select(F.explode(keys).alias("key"), "fp")
     rows = rows.join(large, "key", "left").withColumn("b", F.when(F.col("n").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("fp"), F.col("n"))))
     rows = rows.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(F.col("n") - 1, F.lit(0)))))
     rows = rows.select("key", F.least("b", "o").cast("long").alias("b1"), F.greatest("b", "o").cast("long").alias("b2"), "fp")
@@ -165,14 +202,18 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     edges = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
     def large(e: DataFrame) -> DataFrame:
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        m = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        return both.join(m, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        down = e.select(F.col("v").alias("u"), F.col("u").alias("v"))
+        m = written(e.unionByName(down).groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")), f"{name}-least")
+        out = written(down.join(m, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), name)
+        dropped(m)
+        return out
 
     def small(e: DataFrame) -> DataFrame:
-        m = e.groupBy("u").agg(F.min("v").alias("m"))
+        m = written(e.groupBy("u").agg(F.min("v").alias("m")), f"{name}-least")
         moved = e.join(m, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        return moved.unionByName(m.select("u", F.col("m").alias("v"))).distinct()
+        out = written(moved.unionByName(m.select("u", F.col("m").alias("v"))).distinct(), name)
+        dropped(m)
+        return out
 
     def state(e: DataFrame):
         return e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
@@ -180,8 +221,11 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     now = written(edges, name)
     before = state(now)
     while before[0]:
-        now = written(small(large(now)), name)
-        after = state(now)
+        between = large(now)
+        after_step = small(between)
+        dropped(now)
+        dropped(between)
+        now, after = after_step, state(after_step)
         if after == before:
             break
         before = after
@@ -200,7 +244,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, fp, component_id): a row per row of docs."""
     by_doc = written(fingerprints(docs), "fingerprints")
     named = grouped(by_doc)
-    ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    ids = written(named.groupBy("root").agg(F.min("least").alias("component_id")), "component-ids")  # written, so that AQE splits a large component in the join
     return by_doc.join(named.join(ids, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
