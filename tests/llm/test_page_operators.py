@@ -72,11 +72,21 @@ def test_warc_matches_sql(spark, make):
     assert registry.QUERIES["op2_arc_to_warc"](spark, make()).count() == 0
 
 
+def test_warc_files_hold_records_of_like_size(spark, make, monkeypatch):
+    monkeypatch.setattr(warc, "CLASSES", ((300, 3), (5000, 2), (1 << 62, 1)))
+    texts = ["a" * 10, "b" * 150, "b" * 150, "c" * 3000, "d" * 20000, "c" * 3000, None, "e" * 120]
+    sf = make(pages=[(k, f"http://x/{k}", t) for k, t in enumerate(texts)])
+    got = {r.page_id: (r.payload_bytes, r.record_type, r.refers_to) for r in registry.QUERIES["op2_arc_to_warc"](spark, sf).collect()}
+    assert got == {0: (10, "response", None), 1: (150, "response", None), 2: (150, "revisit", 1), 3: (3000, "response", None), 4: (20000, "response", None), 5: (3000, "revisit", 3), 6: (0, "response", None), 7: (120, "response", None)}
+
+
 def test_arc_round_trip():
     records = [warc.ArcRecord(f"http://a/{k}", "192.0.2.1", "20240102030405", "text/html", warc.http(len(b), {"X-Page-Id": k}) + b) for k, b in enumerate([b"", b"x\n\ny", "é\r\n\r\n".encode()])]
     for version in (1, 2):
         assert list(warc.read_arc(warc.arc_segment(records, version, "a.arc"))) == records
     data = b"".join(warc.to_warc(r) + b"\r\n\r\n" for r in records)
+    (fields,) = [f for f, _ in warc.read_warc(warc.to_warc(records[1], ("0", "http://a/0", "20240102030404")) + b"\r\n\r\n")]
+    assert fields["warc-type"] == "revisit" and fields["warc-refers-to-target-uri"] == "http://a/0" and fields["warc-refers-to-date"] == "2024-01-02T03:04:04Z"
     back = list(warc.read_warc(data))
     assert [b for _, b in back] == [r.body for r in records]
     assert back[0][0]["warc-date"] == "2024-01-02T03:04:05Z" and len({f["warc-record-id"] for f, _ in back}) == 3
