@@ -3,12 +3,20 @@
 An Aho-Corasick automaton finds anchors: at-signs, scheme separators, digits' cues and words that name an
 identifier. From each anchor a deterministic local parser grows left and right and validates what it
 has. The base kinds (email, ip, card, phone) follow the contract's expressions; parsing from anchors
-gives the same leftmost, non-overlapping matches, as every match holds its anchor. The method adds:
-address (scheme://authority, from the scheme to the authority's end, where a user part or a dotted host
-stands) and account (the value that follows an identifier cue: at least 6 characters, with a digit).
+gives the same leftmost, non-overlapping matches, as every match holds its anchor (ip and card are anchored at runs
+of digits, which one scan finds).
+
+The method adds two kinds. address is scheme://authority, where a user part, a dotted name or an IPv4
+address stands; punctuation and brackets that close the sentence around it are left outside, a port counts up to
+65535. account is the value behind an identifier cue, taken by the cue's own parser: an IBAN (with or without spaces) whose
+check digits hold, a social security number of allowed groups, a passport or account number of 6 to 20 characters and
+5 digits at least, a login of letters and digits behind a sign of assignment, a key or token with
+letters and digits of 8 characters at least behind one, or of 20 without. Cues are met in any case and are whole words; dates
+are no values.
 
 Defined results: null and empty texts have no spans. Offsets count code points, ends are exclusive. Ties
-in start sort by end. Repeated rows repeat. Only doc_id and text are read.
+in start sort by end. Repeated rows repeat, very long texts are read whole, an empty table gives an empty result.
+Only doc_id and text are read, whatever other columns there are.
 """
 
 from __future__ import annotations
@@ -28,7 +36,14 @@ from provisio.llm.common import bounded_batches, table
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "address", "account")
-CUES = ("iban", "ssn", "account", "acct", "passport", "konto", "compte", "cuenta", "user id", "userid", "login", "token", "api_key", "apikey", "secret", "password")
+# Cues by the parser of what follows them.
+CUES = {
+    "iban": ("iban",),
+    "ssn": ("ssn", "social security number", "social security"),
+    "number": ("account", "acct", "passport", "konto", "kontonummer", "compte", "cuenta", "policy number"),
+    "login": ("user id", "userid", "user_id", "username", "login"),
+    "key": ("token", "api_key", "apikey", "api key", "api-key", "access key", "secret", "secret key", "password", "passwd", "bearer"),
+}
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
@@ -36,22 +51,40 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGITS = re.compile(r"[0-9]+")
 SCHEME = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*\Z")
 AUTHORITY = re.compile(r"[A-Za-z0-9._~%!$&'()*+,;=:@\[\]-]+")
-ACCOUNT = re.compile(r"""[\x20"':=#.]{0,4}(?:(?:is|no|nr|number)\b[\x20"':=#.]{0,4})?([A-Za-z0-9][A-Za-z0-9_-]{5,})""", re.I)
+GAP = re.compile(r"""[^\w\n]{0,10}(?:(?:is|of|no|nr|number|nummer)\b[^\w\n]{0,4}){0,2}""", re.I)
+ASSIGNED = re.compile(r"[:=#]|\b(?:is|no|nr|number)\b", re.I)
+IBAN = re.compile(r"[A-Za-z]{2}[0-9]{2}(?:\x20?[A-Za-z0-9]){11,30}(?![A-Za-z0-9])")
+SSN = re.compile(r"(?!000|666|9)[0-9]{3}([-\x20]?)(?!00)[0-9]{2}\1(?!0000)[0-9]{4}(?![A-Za-z0-9])")
+NUMBER = re.compile(r"[A-Za-z]{0,4}[0-9](?:-?[A-Za-z0-9]){4,20}(?![A-Za-z0-9])")
+WORD = re.compile(r"[A-Za-z0-9](?:[A-Za-z0-9_.+/-]*[A-Za-z0-9_+/=-])?(?![A-Za-z0-9])")
+DATE = re.compile(r"[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}[-/.][0-9]{1,2}[-/.][0-9]{2,4}")
+LETTER = re.compile(r"[A-Za-z]")
+HOST = re.compile(r"(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z][A-Za-z0-9-]*[A-Za-z0-9]\.?\Z|[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+\Z")
 NOT_DIGIT = re.compile(r"[^0-9]")
 
 LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 
 
 def automaton() -> ahocorasick.Automaton:
+    """Anchors in lower case, each with its kind and length."""
     found = ahocorasick.Automaton()
-    for kind, words in (("@", ("@",)), ("+", ("+",)), ("s", ("://",)), ("c", CUES)):
+    cues = [(kind, words) for kind, words in CUES.items()]
+    for kind, words in (("@", ("@",)), ("+", ("+",)), ("s", ("://",)), *cues):
         for w in words:
-            for form in {w, w.upper(), w.capitalize()}:
-                found.add_word(form, (kind, len(form)))
+            found.add_word(w, (kind, len(w)))
     found.make_automaton()
     return found
 
 
+def lowered(text: str) -> str:
+    """text in lower case, character by character."""
+    low = text.lower()
+    return low if len(low) == len(text) else text.translate(UPPER)
+
+
+UPPER = {c: c + 32 for c in range(65, 91)}
+
+
 def luhn(digits: str) -> bool:
     total = 0
     for k, d in enumerate(map(int, reversed(digits))):
@@ -82,33 +115,83 @@ def _digits(text: str) -> Iterator[tuple[str, int, int]]:
                 yield "card", at, card
 
 
+def _address(text: str, at: int, after: int, floor: int) -> tuple[int, int] | None:
+    """at: where the colon of :// stands, after: where the authority starts."""
+    scheme, found = SCHEME.search(text[max(floor, at - 16) : at]), AUTHORITY.match(text, after)
+    if not scheme or not found:
+        return None
+    own = found.group()
+    while own and (own[-1] in ".,;:!?'*&" or (own[-1] == ")" and own.count(")") > own.count("(")) or (own[-1] == "]" and own.count("]") > own.count("["))):
+        own = own[:-1]
+    user, _, place = own.rpartition("@")
+    host, colon, port = place.partition(":")
+    if colon and not (port.isascii() and port.isdigit() and int(port[:6]) <= 65535):
+        if user or not HOST.match(host):
+            return None
+        own = host  # what stands behind the colon is no port
+    ok = HOST.match(host) and (not host[-1].isdigit() or all(int(p[:4]) <= 255 for p in host.split(".")))
+    return (at - len(scheme.group()), after + len(own)) if ok or (user and host) else None
+
+
+def iban_ok(code: str) -> bool:
+    code = code.replace(" ", "").upper()
+    return 15 <= len(code) <= 34 and int("".join(str(int(c, 36)) for c in code[4:] + code[:4])) % 97 == 1
+
+
+def _account(text: str, kind: str, after: int) -> tuple[int, int] | None:
+    """The value behind a cue that ends at after."""
+    if text[after : after + 1].isalnum() or text[after : after + 1] == "_":
+        return None
+    gap = GAP.match(text, after)
+    at, assigned = gap.end(), bool(ASSIGNED.search(gap.group()))
+    if kind == "iban":
+        m = IBAN.match(text, at)
+        end = m.end() if m else at
+        while m and end - at >= 15:
+            if text[end - 1] != " " and not text[end : end + 1].isalnum() and iban_ok(text[at:end]):
+                return at, end
+            end -= 1
+        return None
+    if kind == "ssn":
+        m = SSN.match(text, at)
+        return m and m.span()
+    m = (NUMBER if kind == "number" else WORD).match(text, at)
+    if not m or DATE.fullmatch(m.group()):
+        return None
+    digits, size, lettered = len(DIGITS.findall(m.group())) and sum(map(str.isdigit, m.group())), m.end() - m.start(), bool(LETTER.search(m.group()))
+    if kind == "number":
+        ok = digits >= 5 and 6 <= size <= 24
+    elif kind == "login":
+        ok = assigned and digits and size >= 4
+    else:
+        ok = digits and ((assigned and size >= 8) or (size >= 20 and lettered)) and (lettered or size >= 12)
+    return m.span() if ok else None
+
+
 def spans(text: str | None, anchors: ahocorasick.Automaton) -> list[tuple[str, int, int]]:
     """All spans, by kind as in KINDS, then start."""
     if not text:
         return []
     out = list(_digits(text))
-    floor = {"@": 0, "+": 0, "s": 0, "c": 0}
-    for last, (kind, size) in anchors.iter(text):
+    mail = phone = address = account = 0
+    for last, (kind, size) in anchors.iter(lowered(text)):
         at = last - size + 1
-        if kind == "@" and at >= floor[kind]:
-            if found := _email(text, at, floor[kind]):
+        if kind == "@":
+            if at >= mail and (found := _email(text, at, mail)):
                 out.append(("email", *found))
-                floor[kind] = found[1]
-        elif kind == "+" and at >= floor[kind]:
-            if m := PHONE.match(text, at):
-                floor[kind] = m.end()
+                mail = found[1]
+        elif kind == "+":
+            if at >= phone and (m := PHONE.match(text, at)):
+                phone = m.end()
                 if 8 <= len(NOT_DIGIT.sub("", m.group())) <= 15:
                     out.append(("phone", at, m.end()))
-        elif kind == "s" and at >= floor[kind]:
-            scheme, host = SCHEME.search(text[max(floor[kind], at - 16) : at]), AUTHORITY.match(text, last + 1)
-            if scheme and host and re.search(r"@|[A-Za-z0-9]\.[A-Za-z0-9]", host.group()):
-                floor[kind] = host.end()
-                out.append(("address", at - len(scheme.group()), host.end()))
-        elif kind == "c" and at >= floor[kind] and not text[at - 1 : at].isalnum():
-            m = ACCOUNT.match(text, last + 1)
-            if m and DIGITS.search(m.group(1)):
-                floor[kind] = m.end()
-                out.append(("account", *m.span(1)))
+        elif kind == "s":
+            if at >= address and (found := _address(text, at, last + 1, address)):
+                out.append(("address", *found))
+                address = found[1]
+        elif at >= account and not text[at - 1 : at].isalnum() and (found := _account(text, kind, last + 1)):
+            out.append(("account", *found))
+            account = found[1]
     return sorted(out, key=lambda s: (KINDS.index(s[0]), s[1], s[2]))
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import html
+import random
 import re
 import zlib
 
@@ -23,18 +24,66 @@ def trees(spark):
 
 def test_main_text_of_given_pages(trees, sample):
     for p in sample["pages"]:
-        inner = re.search(r"<article>(.*?)(</article>|$)", p["html"], re.S).group(1)
-        bare = re.sub(r"<[^>]+>", "", re.sub(r"<(p|br|h1|/p|/h1)\b[^>]*>", "\n", inner))
-        assert html_extract.main_text(p["html"], trees) == " ".join(html.unescape(bare).split())
+        assert html_extract.main_text(p["html"], trees) == article(p["html"])
 
 
-def test_unwanted_blocks_go(trees, sample):
+def article(source):
+    """The text of a given page's article."""
+    inner = re.search(r"<article>(.*?)(</article>|$)", source, re.S).group(1)
+    bare = re.sub(r"<[^>]+>", "", re.sub(r"<(p|br|h1|/p|/h1)\b[^>]*>", "\n", inner))
+    return " ".join(html.unescape(bare).split())
+
+
+def test_names_are_not_needed(trees, sample):
+    rng = random.Random(4)
     right = 0
-    for k, p in enumerate(sample["pages"][:60]):
-        page = Page(html_extract.rebuilt(p["html"], 5000 + k))
+    for p in sample["pages"]:
+        source = p["html"]
+        for tag in ("article", "nav", "footer"):
+            source = source.replace(f"<{tag}>", f'<div class="{rng.choice("abcxyz")}{rng.randint(1, 99)}">').replace(f"</{tag}>", "</div>")
+        source = source.replace('class="ad"', f'class="k{rng.randint(1, 99)}"')
+        right += html_extract.main_text(source, trees) == article(p["html"])
+    assert right >= 0.95 * len(sample["pages"])
+
+
+SENTENCES = " ".join(f"This is sentence number {k}, and it says a little." for k in range(6))
+LAYOUTS = [
+    ("<div class='a1'>menu</div><div class='b2'><h1>The title</h1>" + f"<p>{SENTENCES}</p>" * 20 + "</div><div class='c3'>links</div>", "The title" + f" {SENTENCES}" * 20),
+    ("<p>Just a paragraph.</p><p>And another.</p>", "Just a paragraph. And another."),
+    ("plain &amp; simple", "plain & simple"),
+    ("<article><h1>T</h1><p>Body text of the article, with words.</p><div class='text-bottom'><p>Closing paragraph of the text.</p></div></article>", "T Body text of the article, with words. Closing paragraph of the text."),
+    (f"<html><body><nav><a href='/'>Home</a></nav><div><div><div><h2>Nested</h2><p>{SENTENCES}</p><ul><li>First point of it.</li><li>Second point of it.</li></ul></div></div></div><footer>&copy; 2024 x</footer></body></html>", f"Nested {SENTENCES} First point of it. Second point of it."),
+    (f"<body><div id='q7'><a href='/1'>One</a> | <a href='/2'>Two</a> | <a href='/3'>Three</a></div><div id='q8'><p>{SENTENCES}</p><table><tr><td>Year</td><td>Sum</td></tr></table><p>{SENTENCES}</p></div><div class='cookie-notice'><p>We use cookies.</p><button>Accept</button></div></body>", f"{SENTENCES} Year Sum {SENTENCES}"),
+    (f"<main><p>{SENTENCES}</p></main><section class='comments'><div class='comment'><b>Ann</b><p>I liked this one, thanks.</p></div></section><form><label>Name</label><input><button>Send</button></form>", SENTENCES),
+    ("<html><head><title>t</title><script>var a = '<p>no</p>';</script></head><body><p>Seen text, only this.</p><p hidden>Unseen.</p></body></html>", "Seen text, only this."),
+]
+
+
+@pytest.mark.parametrize("source, want", LAYOUTS)
+def test_known_layouts(trees, source, want):
+    assert html_extract.main_text(source, trees) == want
+
+
+def test_made_pages_and_what_they_need(trees, sample):
+    """Held-out made pages: most texts come out whole, and neither names nor form alone would do."""
+    words = [w for p in sample["pages"][:20] for w in re.findall(r"[^\s<>&\"']+", re.sub(r"<[^>]*>", " ", p["html"]))]
+    form = [html_extract.COL[n] for n in ("size", "density", "links", "prose", "punctuation", "longest", "in_best", "best_share", "share", "parent_share")]
+    names = list(range(len(html_extract.NEGATIVE) + 4))
+    exact = {"all": 0, "no names": 0, "no form": 0}
+    empty, n = 0, 300
+    for k in range(n):
+        rng = random.Random(10_000 + k)
+        page = Page(html_extract.Maker(rng.sample(words, 300), rng).page())
+        want = page.text(html_extract.marked(page) == 1)
         x = html_extract.features(page)
-        right += page.text(html_extract.decode(page.parent, trees(x))) == page.text(html_extract.distant(page, x) == 1)
-    assert right >= 0.9 * len(sample["pages"][:60])
+        for name, columns in (("all", []), ("no names", names), ("no form", form)):
+            less = x.copy()
+            less[:, columns] = 0
+            got = page.text(html_extract.decode(page.parent, trees(less)))
+            exact[name] += got == want
+            empty += name == "all" and not got
+    assert exact["all"] >= 0.7 * n and empty <= 0.05 * n
+    assert exact["all"] > exact["no names"] + 0.05 * n and exact["all"] > exact["no form"] + 0.1 * n
 
 
 def test_no_kept_node_below_a_dropped_one():

@@ -122,6 +122,26 @@ def test_added_kinds_and_redaction():
     assert pii.redact(None, anchors) is None and pii.redact("clean text 12", anchors) == "clean text 12"
 
 
+def test_added_kinds_keep_their_boundaries():
+    anchors = pii.automaton()
+    found = lambda t: [(k, t[a:b]) for k, a, b in pii.spans(t, anchors) if k in ("address", "account")]
+    for text, want in (
+        ("see https://a.org, and (https://b.org). end", [("address", "https://a.org"), ("address", "https://b.org")]),
+        ("[ftp://me:pw@host/x] http://1.2.3.4:8080/ http://1.2.3.400/ http://localhost/ s3://bucket", [("address", "ftp://me:pw@host"), ("address", "http://1.2.3.4:8080")]),
+        ("http://a.org:99999/x http://a.org: then", [("address", "http://a.org"), ("address", "http://a.org")]),
+        ("account2024summary and the token 2024-01-15 expired", []),
+        ("User ID: ab123456, Api_Key=\"Zx81kk22\" pass", [("account", "ab123456"), ("account", "Zx81kk22")]),
+        ("iban of DE89 3704 0044 0532 0130 00 now", [("account", "DE89 3704 0044 0532 0130 00")]),
+        ("IBAN DE89 3704 0044 0532 0130 01", []),
+        ("SSN 123-45-6789, ssn: 000-45-6789, SSN is 987-65-4321", [("account", "123-45-6789")]),
+        ("Konto Nr. 1234567 and compte 12 and passport no. X1234567.", [("account", "1234567"), ("account", "X1234567")]),
+        ("the secret of 20 years; password = hunter2024!", [("account", "hunter2024")]),
+        ("a subtoken=abcd12345 İ my_token=abcd12345", [("account", "abcd12345")]),
+        ("TOKEN!! =!! \"9c8b45435718dcc700c1\"", [("account", "9c8b45435718dcc700c1")]),
+    ):
+        assert found(text) == want, text
+
+
 def test_pii_query(spark, make):
     docs = [*ODD, (9, "write a.b@c.de or +49 30 1234567 from 10.0.0.1")]
     got = {(r.doc_id, r.spans): r for r in registry.QUERIES["op6_anchored_pii"](spark, make(documents=docs, extra=True)).collect()}
