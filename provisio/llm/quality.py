@@ -8,12 +8,15 @@ the global rate. A document's log odds are its own plus what its path's posterio
 from the global rate. Two heads are fitted: good quality and toxic; a document is accepted when it is
 rather good than not and rather not toxic.
 
-Documents here have no url: host is source, path is lang. Sites join back by broadcast while there are at
-most SITES_BROADCAST of them, else by a shuffled join on salted keys.
+Documents here have no url: host is source, path is lang. Both heads share one grouped pass and one join.
+Sites join back by broadcast while there are at most SITES_BROADCAST of them, else by a shuffled join on salted keys.
 
 Defined results: a null or empty text has the evidence of no words and only its model's intercept and site.
 Null host or path count as the empty string. Without labels of both classes the model says the prior rate.
-Repeated rows count each time. Only doc_id, text, source and lang are read; labels with a null label don't count.
+Repeated rows count each time; a document that is labelled several times has the rounded mean of its labels. A
+probability of exactly EDGE is good for quality and toxic for toxicity. Very long texts are read whole. An empty table
+gives an empty result. Only doc_id, text, source and lang are read, whatever other columns there are; labels with a null
+label don't count.
 """
 
 from __future__ import annotations
@@ -76,11 +79,12 @@ def features(text: str | None, hasher: Hasher) -> tuple[list[float], np.ndarray]
     return dense(text, words), hasher(words)
 
 
-def _shares(words: list[np.ndarray]) -> np.ndarray:
-    """A weight for each bag of words: 1 over the number of bags with the same three smallest hashes, so that copies and
-    most near copies of a text count about once."""
+def _shares(flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """A weight for each bag of words (flat, end to end): 1 over the number of bags with the same three smallest hashes, so that
+    copies and most near copies of a text count about once."""
     mixed = (np.arange(BUCKETS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(20)
-    sketch = [tuple(np.sort(mixed[w])[:3].tolist()) for w in words]
+    ends = np.cumsum(sizes)
+    sketch = [tuple(np.sort(mixed[flat[e - n : e]])[:3].tolist()) for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
     size = Counter(sketch)
     return np.array([1.0 / size[k] for k in sketch])
 
@@ -95,15 +99,15 @@ class Model:
 
     SCORE = 3.5
 
-    def __init__(self, forms: np.ndarray, words: list[np.ndarray], y: np.ndarray, steps: int = 150):
+    def __init__(self, forms: np.ndarray, flat: np.ndarray, sizes: np.ndarray, share: np.ndarray, y: np.ndarray, steps: int = 150):
+        """A row of forms and a bag of sizes words (flat, end to end) for each text, with its weight and label."""
         self.beta, self.words = np.zeros(len(DENSE)), np.zeros(BUCKETS)
-        share = _shares(words)
         rate = float((share @ y + 1) / (share.sum() + 2)) if len(y) else 0.5
         self.beta[0] = np.log(rate / (1 - rate))
         if not 0 < y.sum() < len(y):
             return
         total = share.sum()
-        row, flat = np.repeat(np.arange(len(words)), [len(w) for w in words]), np.concatenate(words)
+        row = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
         count = [np.bincount(flat, weights=(share * (y == k))[row], minlength=BUCKETS) for k in (0, 1)]
         n = [float((share * (y == k)).sum()) for k in (0, 1)]
         pooled = (count[0] + count[1]) / total
@@ -147,21 +151,29 @@ class Model:
 
 
 def fitted(docs: DataFrame, labels: DataFrame, heads: tuple[str, ...] = ("quality", "toxic"), most: int = LABELLED) -> list[Model]:
-    """A model for each label column, on the most labelled documents of smallest hash."""
-    labels = labels.select(F.col("doc_id").alias("__px_id"), *(F.col(h).cast("double").alias(h) for h in heads)).dropna().dropDuplicates(["__px_id"])
+    """A model for each label column, on the most labelled documents of smallest hash (of one doc_id, those of smallest text digest)."""
+    own = [F.col(h).cast("double").alias(h) for h in heads]
+    labels = labels.select(F.col("doc_id").alias("__px_id"), *own).dropna().groupBy("__px_id").agg(*(F.round(F.avg(h)).alias(h) for h in heads))
     sample = labels.orderBy(F.xxhash64("__px_id"), "__px_id").limit(most)
-    rows = docs.select(F.col("doc_id").alias("__px_id"), "text").join(F.broadcast(sample), "__px_id").select("text", *heads)
+    rows = docs.select(F.col("doc_id").alias("__px_id"), "text").join(F.broadcast(sample), "__px_id").select(F.xxhash64("__px_id").alias("h"), F.md5(F.col("text").cast("binary")).alias("d"), "text", *heads)
 
     def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
         for b in batches:
-            found = [features(t, hasher) for t in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([f for f, _ in found], pa.list_(pa.float64())), pa.array([w.astype("<i4").tobytes() for _, w in found], pa.binary()), *b.columns[1:]], ["form", "words", *heads])
-
-    got = rows.mapInArrow(bags, f"form array<double>, words binary, {', '.join(f'{h} double' for h in heads)}").limit(2 * most).collect()
-    got = sorted(got, key=lambda r: (bytes(r.words), r.form))  # the same sum in any order of arrival
-    forms, words = np.array([r.form for r in got]), [np.frombuffer(bytes(r.words), "<i4").astype(np.int64) for r in got]
-    return [Model(forms, words, np.array([r[h] for r in got])) for h in heads]
+            found = [features(t, hasher) for t in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array([f for f, _ in found], pa.list_(pa.float64())), pa.array([np.sort(w).astype("<u2").tobytes() for _, w in found], pa.binary()), *b.columns[3:]], ["h", "d", "form", "words", *heads])
+
+    found = rows.mapInArrow(bags, f"h long, d string, form array<double>, words binary, {', '.join(f'{h} double' for h in heads)}")
+    got = found.orderBy("h", "d", *heads).limit(most).drop("h", "d").toArrow()  # at most LABELLED rows of 2 * BUCKETS bytes
+    n = got.num_rows
+    forms = got.column("form").combine_chunks().flatten().to_numpy().reshape(n, -1) if n else np.zeros((0, len(DENSE)))
+    bags_ = got.column("words").to_pylist()
+    sizes = np.fromiter((len(w) // 2 for w in bags_), np.int64, n)
+    flat = np.frombuffer(b"".join(bags_), "<u2")
+    y = [got.column(h).to_numpy() for h in heads]
+    del got, bags_
+    share = _shares(flat, sizes)
+    return [Model(forms, flat, sizes, share, own) for own in y]
 
 
 def evidence(docs: DataFrame, models: list[Model], text: Column) -> Column:
@@ -178,48 +190,58 @@ def evidence(docs: DataFrame, models: list[Model], text: Column) -> Column:
     return score(text)
 
 
-def _strength(groups: DataFrame, prior: str) -> float:
-    """Documents that the prior of a level is worth, from how far groups' rates spread beyond sampling noise."""
-    r = groups.select((F.col("k") / F.col("n")).alias("r"), "n", F.col(prior).alias("p")).agg(
-        F.sum(F.col("n") * (F.col("r") - F.col("p")) ** 2).alias("spread"), F.sum(F.col("p") * (1 - F.col("p"))).alias("noise"),
-        F.sum(F.col("n") * F.col("p") * (1 - F.col("p"))).alias("scale"), F.sum("n").alias("n"), F.count("*").alias("groups")).first()
-    if not r.groups or not r.scale:
-        return 1.0
-    # E[n (r - p)^2] = p (1 - p) (1 + (n - 1) rho), rho = 1 / (strength + 1)
-    rho = (r.spread - r.noise) / max(r.scale - r.noise, 1e-9)
-    return float(np.clip(1 / max(rho, 1e-4) - 1, 1.0, 10_000.0))
+def _strengths(groups: DataFrame, heads: int) -> list[float]:
+    """groups: n, k and prior mean p of each head. Documents that the prior of a level is worth, from how far groups' rates spread beyond sampling noise."""
+    wanted = [F.sum("n").alias("n")]
+    for i in range(heads):
+        n, p = F.col("n"), F.col("p")[i]
+        wanted += [F.sum(n * (F.col("k")[i] / n - p) ** 2).alias(f"spread{i}"), F.sum(p * (1 - p)).alias(f"noise{i}"), F.sum(n * p * (1 - p)).alias(f"scale{i}")]
+    r = groups.agg(*wanted).first()
+    out = []
+    for i in range(heads):
+        spread, noise, scale = r[f"spread{i}"], r[f"noise{i}"], r[f"scale{i}"]
+        # E[n (r - p)^2] = p (1 - p) (1 + (n - 1) rho), rho = 1 / (strength + 1)
+        out.append(float(np.clip(1 / max((spread - noise) / max(scale - noise, 1e-9), 1e-4) - 1, 1.0, 10_000.0)) if scale else 1.0)
+    return out
+
+
+def _array(columns: list[Column]) -> Column:
+    return F.array(*(F.lit(c) if isinstance(c, float) else c for c in columns))
 
 
-def sites(scored: DataFrame) -> tuple[DataFrame, float]:
-    """scored: host, path, p. (host, path, k, n, prior mean and strength of the path's own posterior), and the global rate."""
-    paths = written(scored.groupBy("host", "path").agg(F.sum("p").alias("k"), F.count("*").alias("n")), "paths")
-    hosts = paths.groupBy("host").agg(F.sum("k").alias("k"), F.sum("n").alias("n"))
-    total = hosts.agg(F.sum("k"), F.sum("n")).first()
-    rate = float((total[0] or 0.0) + 0.5) / float((total[1] or 0) + 1)
-    hosts = hosts.withColumn("prior", F.lit(rate))
-    strength = _strength(hosts, "prior")
-    hosts = hosts.select("host", ((F.col("k") + strength * rate) / (F.col("n") + strength)).alias("mean"))
-    both = paths.join(hosts, "host")
-    return both.withColumn("strength", F.lit(_strength(both, "mean"))), rate
+def sites(scored: DataFrame, heads: int = 2) -> tuple[DataFrame, list[float]]:
+    """scored: host, path, p (an array with each head's probability). (host, path, n, and of each head in arrays k, the prior mean and the strength of the path's own posterior), and the global rates."""
+    sums = lambda column: [F.sum(column[i]).alias(f"k{i}") for i in range(heads)]
+    ks = F.array(*(F.col(f"k{i}") for i in range(heads))).alias("k")
+    paths = written(scored.groupBy("host", "path").agg(*sums(F.col("p")), F.count("*").alias("n")).select("host", "path", ks, "n"), "paths")
+    hosts = written(paths.groupBy("host").agg(*sums(F.col("k")), F.sum("n").alias("n")).select("host", ks, "n"), "hosts")
+    total = hosts.agg(*sums(F.col("k")), F.sum("n").alias("n")).first()
+    rates = [float((total[f"k{i}"] or 0.0) + 0.5) / float((total["n"] or 0) + 1) for i in range(heads)]
+    strength = _strengths(hosts.withColumn("p", _array(rates)), heads)
+    hosts = hosts.select("host", _array([(F.col("k")[i] + strength[i] * rates[i]) / (F.col("n") + strength[i]) for i in range(heads)]).alias("mean"))
+    both = written(paths.join(hosts, "host"), "paths-of-hosts")
+    return both.withColumn("strength", _array(_strengths(both.withColumn("p", F.col("mean")), heads))), rates
 
 
 def _logit(p: Column) -> Column:
     return F.log(p / (1 - p))
 
 
-def posterior(rows: DataFrame, site: DataFrame, rate: float, own: Column, into: str) -> DataFrame:
-    """rows (host, path, ...) with the posterior probability from own log odds and the site without the row itself."""
-    p = 1 / (1 + F.exp(-own))
+def posterior(rows: DataFrame, site: DataFrame, rates: list[float], own: list[Column], into: list[str]) -> DataFrame:
+    """rows (host, path, ...) with the posterior probabilities from own log odds and the site without the row itself."""
     site = site.select("host", "path", F.col("k").alias("__px_k"), F.col("n").alias("__px_n"), F.col("mean").alias("__px_mean"), F.col("strength").alias("__px_s"))
     if site.limit(SITES_BROADCAST + 1).count() <= SITES_BROADCAST:
         met = rows.join(F.broadcast(site), ["host", "path"], "left")
     else:
         salt = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("__px_salt")
         met = rows.withColumn("__px_salt", (F.rand(1) * SALTS).cast("int")).join(site.select("*", salt), ["host", "path", "__px_salt"], "left")
-    k, n = F.greatest(F.col("__px_k") - p, F.lit(0.0)), F.greatest(F.col("__px_n") - 1, F.lit(0))
-    mean = (k + F.col("__px_s") * F.col("__px_mean")) / (n + F.col("__px_s"))
-    mean = F.least(F.greatest(mean, F.lit(1e-6)), F.lit(1 - 1e-6))
-    return met.withColumn(into, 1 / (1 + F.exp(-(own + _logit(mean) - _logit(F.lit(rate)))))).drop("__px_k", "__px_n", "__px_mean", "__px_s", "__px_salt")
+    out = {}
+    for i, (x, rate, name) in enumerate(zip(own, rates, into, strict=True)):
+        p, s = 1 / (1 + F.exp(-x)), F.col("__px_s")[i]
+        k, n = F.greatest(F.col("__px_k")[i] - p, F.lit(0.0)), F.greatest(F.col("__px_n") - 1, F.lit(0))
+        mean = F.least(F.greatest((k + s * F.col("__px_mean")[i]) / (n + s), F.lit(1e-6)), F.lit(1 - 1e-6))
+        out[name] = 1 / (1 + F.exp(-(x + _logit(mean) - _logit(F.lit(rate)))))
+    return met.withColumns(out).drop("__px_k", "__px_n", "__px_mean", "__px_s", "__px_salt")
 
 
 def _sited(docs: DataFrame, host: str, path: str) -> DataFrame:
@@ -231,13 +253,11 @@ def judged(docs: DataFrame, labels: DataFrame, keep: list[str], host: str = "sou
     models = fitted(docs, labels)
     scored = _sited(docs, host, path).withColumn("__px_x", evidence(docs, models, docs["text"]))
     # written once, as the sums and the result both read it
-    out = written(scored.select(*(F.col(c) for c in keep), F.col("__px_host").alias("__px_h"), F.col("__px_path").alias("__px_q"), "__px_x"), "evidence")
-    rows = out.select(F.col("__px_h").alias("host"), F.col("__px_q").alias("path"), "__px_x")
-    for i, into in enumerate(("__px_good", "__px_toxic")):
-        site, rate = sites(rows.select("host", "path", (1 / (1 + F.exp(-F.col("__px_x")[i]))).alias("p")))
-        met = posterior(out.select(F.col("__px_h").alias("host"), F.col("__px_q").alias("path"), F.struct(*out.columns).alias("__px_row")), written(site, "sites"), rate, F.col("__px_row.__px_x")[i], into)
-        out = met.select("__px_row.*", into)
-    return out.drop("__px_h", "__px_q", "__px_x")
+    own = written(scored.select(F.struct(*(F.col(c) for c in keep)).alias("__px_row"), F.col("__px_host").alias("host"), F.col("__px_path").alias("path"), "__px_x"), "evidence")
+    x = [F.col("__px_x")[i] for i in range(len(models))]
+    site, rates = sites(own.select("host", "path", F.array(*(1 / (1 + F.exp(-c)) for c in x)).alias("p")), len(models))
+    met = posterior(own, written(site, "sites"), rates, x, ["__px_good", "__px_toxic"])
+    return met.select("__px_row.*", "__px_good", "__px_toxic")
 
 
 ACCEPTED = f"__px_good >= {EDGE} and __px_toxic < {EDGE}"

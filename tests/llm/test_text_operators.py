@@ -12,6 +12,7 @@ from collections import Counter
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from provisio.llm import decontam, langid, pieces, pii, quality, registry, simhash
 
@@ -347,13 +348,67 @@ def test_quality_held_out(spark):
     assert sum(found[r.doc_id]["__px_toxic"] < 0.5 for r in clean) / len(clean) > 0.97
 
 
+def plain_posteriors(rows):
+    """rows (host, path, x): each row's posterior by the docstring's rules, in plain Python."""
+    p = [1 / (1 + math.exp(-x)) for _, _, x in rows]
+
+    def summed(key):
+        k, n = Counter(), Counter()
+        for r, own in zip(rows, p, strict=True):
+            k[key(r)] += own
+            n[key(r)] += 1
+        return k, n
+
+    def strength(k, n, prior):
+        spread = sum(n[g] * (k[g] / n[g] - prior(g)) ** 2 for g in n)
+        noise = sum(prior(g) * (1 - prior(g)) for g in n)
+        scale = sum(n[g] * prior(g) * (1 - prior(g)) for g in n)
+        rho = max((spread - noise) / max(scale - noise, 1e-9), 1e-4)
+        return min(max(1 / rho - 1, 1.0), 10_000.0)
+
+    rate = (sum(p) + 0.5) / (len(p) + 1)
+    hk, hn = summed(lambda r: r[0])
+    hs = strength(hk, hn, lambda g: rate)
+    mean = {h: (hk[h] + hs * rate) / (hn[h] + hs) for h in hn}
+    pk, pn = summed(lambda r: r[:2])
+    ps = strength(pk, pn, lambda g: mean[g[0]])
+    out = []
+    for (h, q, x), own in zip(rows, p, strict=True):
+        m = (max(pk[h, q] - own, 0) + ps * mean[h]) / (pn[h, q] - 1 + ps)
+        out.append(1 / (1 + math.exp(-(x + math.log(m / (1 - m)) - math.log(rate / (1 - rate))))))
+    return out
+
+
+@pytest.mark.parametrize("most", [100_000, 1])
+def test_posteriors_equal_plain_sums(spark, monkeypatch, most):
+    monkeypatch.setattr(quality, "SITES_BROADCAST", most)
+    rng = random.Random(6)
+    rows = [(h, q, rng.gauss(mu, 1.5), rng.gauss(-mu, 1)) for h, q, mu, n in (("a", "x", 1, 80), ("a", "y", -1, 60), ("b", "x", 2, 40), ("c", "z", -3, 1), ("", "", 0, 3), ("d", "x", 0, 2)) for _ in range(n)]
+    rows += rows[:3]
+    own = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "k long, host string, path string, x double, z double")
+    both = [F.col("x"), F.col("z")]
+    site, rates = quality.sites(own.select("host", "path", F.array(*(1 / (1 + F.exp(-c)) for c in both)).alias("p")))
+    got = quality.posterior(own, site, rates, both, ["gx", "gz"]).orderBy("k").collect()
+    assert len(got) == len(rows)
+    for column, at in (("gx", 2), ("gz", 3)):
+        assert [r[column] for r in got] == pytest.approx(plain_posteriors([(r[0], r[1], r[at]) for r in rows]))
+
+
 def test_sparse_sites_shrink(spark):
-    rows = [("big", "a", 0.9)] * 200 + [("big", "b", 0.1)] * 200 + [("tiny", "a", 0.0)]
-    site, rate = quality.sites(spark.createDataFrame(rows, "host string, path string, p double"))
-    means = {(r.host, r.path): (r.k + r.strength * r["mean"]) / (r.n + r.strength) for r in site.collect()}
+    rows = [("big", "a", [0.9])] * 200 + [("big", "b", [0.1])] * 200 + [("tiny", "a", [0.0])]
+    site, (rate,) = quality.sites(spark.createDataFrame(rows, "host string, path string, p array<double>"), 1)
+    means = {(r.host, r.path): (r.k[0] + r.strength[0] * r["mean"][0]) / (r.n + r.strength[0]) for r in site.collect()}
     assert means["big", "a"] > 0.85 and means["big", "b"] < 0.15 and 0.0 < means["tiny", "a"] < rate
 
 
+def test_labels_given_twice(spark):
+    docs = spark.createDataFrame([(k, "good words here" if k % 2 else "bad stuff there") for k in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2, 0) for k in range(40)] + [(k, 1 - k % 2, 0) for k in range(0, 40, 7)] + [(1, None, 0)], "doc_id long, quality int, toxic int")
+    first, again = (quality.fitted(docs, x)[0] for x in (labels, labels.orderBy(F.desc("quality"))))
+    assert np.array_equal(first.words, again.words) and np.array_equal(first.beta, again.beta)
+    assert len(quality.fitted(docs, labels, most=5)) == 2
+
+
 def test_quality_cases(spark, make):
     got = registry.QUERIES["op5_site_quality"](spark, make(documents=ODD, labels=[(4, 1, 0), (7, 0, None)], extra=True)).collect()
     assert len(got) == len(ODD) and all(0 <= r.good <= 1 and 0 <= r.toxic <= 1 for r in got)
