@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 cloudpickle.register_pickle_by_value(sys.modules[__name__.rpartition(".")[0]])
 
 
-BATCH_ROWS = 1000
+BATCH_ROWS = 500
 
 
 def bounded_batches(spark: SparkSession) -> None:

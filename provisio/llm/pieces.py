@@ -12,8 +12,11 @@ come from a counter-based hash of (seed, row key, chunk number, step): the same
 in any batch, partition or retry. Texts are never cut short; memory is bounded by a slice of characters,
 and by one text's own size beyond that.
 
+The vocabulary is read where the driver runs and sent to the tasks, so executors need no file of it.
+
 Defined results: null text gives null pieces and decodes to null; the empty text gives no pieces.
-Row keys that repeat repeat their draws; a null key counts as 0. Only the key and the text are read.
+Row keys that repeat repeat their draws; a null key counts as 0. An empty table gives an empty result. Only the key
+and the text are read; the stage replaces columns pieces and decoded_ok where they are there.
 """
 
 from __future__ import annotations
@@ -22,14 +25,14 @@ import hashlib
 import math
 import re
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provisio.llm.common import bounded_batches, table
+from provisio.llm.common import Sent, bounded_batches, table
 
 SEED = 42
 SHIFT = 8.0
@@ -132,10 +135,11 @@ class Lattice:
         self.nodes = 0
 
     @classmethod
-    def load(cls, path: str) -> Lattice:
+    def load(cls, model: str | bytes) -> Lattice:
+        """From a model file or its bytes."""
         import sentencepiece
 
-        sp = sentencepiece.SentencePieceProcessor(model_file=path)
+        sp = sentencepiece.SentencePieceProcessor(model_proto=model if isinstance(model, bytes) else Path(model).read_bytes())
         size = sp.get_piece_size()
         kinds = [(k, sp.id_to_piece(k)) for k in range(size) if not (sp.is_byte(k) or sp.is_control(k) or sp.is_unknown(k) or sp.is_unused(k))]
         return cls([(k, t.replace("▁", " ")) for k, t in kinds], sp.piece_to_id("<0x00>"), size)
@@ -329,38 +333,59 @@ def _encoded(found: Lattice, seed: int, texts: list[str | None], keys: np.ndarra
         yield a, b, *found.encode([t or "" for t in texts[a:b]], keys[a:b], seed)
 
 
-def encoder(model: str, seed: int = SEED):
-    """A pandas UDF (key, text) -> array<int>."""
+def sent_model(spark: SparkSession, model: str | None = None) -> Sent:
+    return Sent(spark, Path(model or default_model()).read_bytes())
+
+
+def _lists(found: Lattice, seed: int, keys: pa.Array, texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray, list[str | None]]]:
+    """(ids, counts, texts) of each slice."""
+    own = _keys(keys)
+    for a, b, ids, counts in _encoded(found, seed, texts, own):
+        yield ids, counts, texts[a:b]
+
+
+def _list_array(ids: list[np.ndarray], counts: list[np.ndarray], texts: list[str | None]) -> pa.Array:
+    n = np.concatenate([np.zeros(1, np.int64), *counts]).cumsum()
+    missing = pa.array([t is None for t in texts], pa.bool_())
+    return pa.ListArray.from_arrays(pa.array(n.astype(np.int32)), pa.array(np.concatenate([np.zeros(0, np.int32), *ids])), mask=missing)
+
+
+def encoder(model: Sent, seed: int = SEED):
+    """An Arrow UDF (key, text) -> (pieces, decoded_ok): encoding and the check of decoding share a worker and its vocabulary."""
 
-    @F.pandas_udf("array<int>")
-    def encode(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        found = Lattice.load(model)
+    @F.arrow_udf("pieces array<int>, decoded_ok boolean")
+    def encode(parts: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        found = Lattice.load(model.get())
         for keys, texts in parts:
-            out: list = []
-            own, texts = keys.fillna(0).astype("int64").to_numpy(), list(texts)
-            for a, b, ids, counts in _encoded(found, seed, texts, own):
-                out += [None if t is None else x for t, x in zip(texts[a:b], np.split(ids, np.cumsum(counts)[:-1]), strict=True)]
-            yield pd.Series(out, dtype=object)
+            texts, ids, counts, ok = texts.to_pylist(), [], [], []
+            for own, n, some in _lists(found, seed, keys, texts):
+                ids.append(own)
+                counts.append(n)
+                for t, x in zip(some, np.split(own, np.cumsum(n)[:-1]), strict=True):
+                    ok.append(t is None or found.decode(x) == t)
+            yield pa.StructArray.from_arrays([_list_array(ids, counts, texts), pa.array(ok, pa.bool_())], ["pieces", "decoded_ok"])
 
     return encode
 
 
-def decoder(model: str):
-    """A pandas UDF array<int> -> text."""
+def decoder(model: Sent):
+    """An Arrow UDF array<int> -> text."""
 
-    @F.pandas_udf("string")
-    def decode(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        found = Lattice.load(model)
+    @F.arrow_udf("string")
+    def decode(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        found = Lattice.load(model.get())
         for ids in parts:
-            yield pd.Series([None if i is None else found.decode(i) for i in ids], dtype=object)
+            yield pa.array([None if i is None else found.decode(np.array(i, np.int64)) for i in ids.to_pylist()], pa.string())
 
     return decode
 
 
-def encoded(docs: DataFrame, key: Column | str = "doc_id", text: Column | str = "text", into: str = "pieces", model: str | None = None, seed: int = SEED) -> DataFrame:
-    """docs with the sampled piece ids; a column of that name is replaced."""
+def encoded(docs: DataFrame, key: Column | str = "doc_id", text: Column | str = "text", into: str = "pieces", checked: str | None = None, model: str | None = None, seed: int = SEED) -> DataFrame:
+    """docs with the sampled piece ids, and under the name checked whether decoding gives the text back; columns of those names are replaced."""
+    bounded_batches(docs.sparkSession)
     key, text = (F.col(c) if isinstance(c, str) else c for c in (key, text))
-    return docs.withColumn(into, encoder(model or default_model(), seed)(key.cast("long"), text))
+    out = docs.withColumn("__px_p", encoder(sent_model(docs.sparkSession, model), seed)(key.cast("long"), text))
+    return out.withColumns({into: F.col("__px_p.pieces")} | ({checked: F.col("__px_p.decoded_ok")} if checked else {})).drop("__px_p")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -368,10 +393,10 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Encoding and decoding happen in one pass, so that piece lists needn't go through the JVM only to be digested.
     """
-    model = default_model()
+    model = sent_model(spark)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = Lattice.load(model)
+        found = Lattice.load(model.get())
         for batch in batches:
             texts, out = batch.column(1).to_pylist(), []
             for a, b, ids, counts in _encoded(found, SEED, texts, _keys(batch.column(0))):
@@ -390,25 +415,6 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.mapInArrow(rows, "doc_id long, n_pieces long, pieces_sha256 string, decoded_sha256 string, lossless boolean")
 
 
-def checked_encoder(model: str, seed: int = SEED):
-    """A pandas UDF (key, text) -> (pieces, decoded_ok): both in one worker, which loads the vocabulary once."""
-
-    @F.pandas_udf("pieces array<int>, decoded_ok boolean")
-    def encode(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        found = Lattice.load(model)
-        for keys, texts in parts:
-            out: list = []
-            own, texts = keys.fillna(0).astype("int64").to_numpy(), list(texts)
-            for a, b, ids, counts in _encoded(found, seed, texts, own):
-                for t, x in zip(texts[a:b], np.split(ids, np.cumsum(counts)[:-1]), strict=True):
-                    out.append((None, True) if t is None else (x, found.decode(x) == t))
-            yield pd.DataFrame(out, columns=["pieces", "decoded_ok"])
-
-    return encode
-
-
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every row stays and gets pieces (array of ids) and decoded_ok, which is true where decoding gives the text back."""
-    bounded_batches(spark)
-    out = docs.withColumn("__px_p", checked_encoder(default_model())(F.col("doc_id").cast("long"), F.col("text")))
-    return out.withColumns({"pieces": F.col("__px_p.pieces"), "decoded_ok": F.col("__px_p.decoded_ok")}).drop("__px_p")
+    return encoded(docs, checked="decoded_ok")

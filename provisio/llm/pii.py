@@ -26,7 +26,6 @@ import re
 from collections.abc import Iterator
 
 import ahocorasick
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -238,11 +237,11 @@ def redact(text: str | None, anchors: ahocorasick.Automaton) -> str | None:
     return "".join([*out, text[at:]])
 
 
-@F.pandas_udf(T.StringType())
-def _redacted(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+@F.arrow_udf(T.StringType())
+def _redacted(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
     anchors = automaton()
     for texts in parts:
-        yield pd.Series([redact(t, anchors) for t in texts], dtype=object)
+        yield pa.array([redact(t.as_py(), anchors) for t in texts], pa.string())
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

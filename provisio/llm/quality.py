@@ -26,7 +26,6 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -180,12 +179,12 @@ def evidence(docs: DataFrame, models: list[Model], text: Column) -> Column:
     """array<double>: each head's log odds."""
     sent = Sent(docs.sparkSession, models)
 
-    @F.pandas_udf("array<double>")
-    def score(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("array<double>")
+    def score(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         hasher, known = Hasher(), sent.get()
         for texts in parts:
-            found = (features(t, hasher) for t in texts)
-            yield pd.Series([[m(f, w) for m in known] for f, w in found], dtype=object)
+            found = (features(t.as_py(), hasher) for t in texts)
+            yield pa.array([[m(f, w) for m in known] for f, w in found], pa.list_(pa.float64()))
 
     return score(text)
 

@@ -46,6 +46,10 @@ def test_stages_on_odd_rows(spark, make):
     rows = spark.read.parquet(f"{sf}/documents.parquet")
     for name, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, rows, sf).columns == rows.columns, name
+    last = corpus_pipeline.STAGES[-1][1](spark, rows, sf)
+    assert set(last.columns) == {*rows.columns, "pieces", "decoded_ok"}
+    got = sorted((str(r.doc_id), r.pieces, r.decoded_ok) for r in last.collect())
+    assert len(got) == len(docs) and all(r[2] for r in got) and got[0][:2] == ("1", None) and got[1][:2] == ("2", []) and got[2] == got[3]
     from provisio.llm import simhash
 
     left = simhash.stage(spark, rows, sf).collect()
