@@ -7,6 +7,7 @@ import itertools
 import math
 import random
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -318,17 +319,52 @@ def test_language_held_out(spark):
     assert all(0 <= r.score <= 1 for r in got)
 
 
-def test_language_scores_equal_plain_sums(spark):
-    docs = spark.createDataFrame([(k, t, lang, "s", 0) for k, (t, lang) in enumerate([("the cat", "en"), ("die katze", "de"), ("der hund", "de"), ("the dog", "en")] * 5)], "doc_id long, text string, lang string, source string, n_chars long")
-    model, known = langid.learned(docs), langid.letters()
-    for text in ("the cat dog", "KATZE 12 hund"):
-        plain = model.prior.copy()
-        g, starts, _ = langid.grams([text], known)
-        for b in g.ravel():
-            plain = plain + model.logp[:, b]
-        want = np.exp(plain - plain.max()) / np.exp(plain - plain.max()).sum()
-        ((lang, score),) = model.predict([text], known)
-        assert lang == model.langs[int(plain.argmax())] and score == pytest.approx(want.max())
+def plain_buckets(text):
+    """The buckets of all 2- and 3-grams, in plain integers."""
+    c = [32, 32, *(ord(x.lower()[0]) if x.isalpha() else 32 for x in text), 32, 32]
+    mask = (1 << 32) - 1
+
+    def bucket(h, m):
+        h = (h ^ (h >> 15)) & mask
+        return (h * m & mask) >> 16
+
+    out = []
+    for k in range(len(c) - 2):
+        two = (c[k] * 0x9E3779B1 + c[k + 1] * 0x85EBCA77) & mask
+        out += [bucket(two, 0x2C1B3C6D), bucket((two + c[k + 2] * 0xC2B2AE3D) & mask, 0x297A2D39)]
+    return out
+
+
+def plain_prediction(docs, text):
+    """Multinomial naive Bayes by its definition."""
+    counts, n = {}, Counter()
+    for d, t, lang in docs:
+        if d is None or t is None or lang is None or zlib.crc32(str(d).encode()) % 5 == 0:
+            continue
+        n[lang] += 1
+        counts.setdefault(lang, Counter()).update(plain_buckets(t))
+    if not any(x.isalpha() for x in text or "") or not n:
+        return "und", 0.0
+    own = plain_buckets(text)
+    score = {k: math.log(n[k] / sum(n.values())) + sum(math.log((c[b] + 0.5) / (c.total() + 0.5 * 65536)) for b in own) for k, c in counts.items()}
+    best = min(score, key=lambda k: (-score[k], k))
+    return best, 1 / sum(math.exp(v - score[best]) for v in score.values())
+
+
+@pytest.mark.parametrize("most", [64, 2])
+def test_language_scores_equal_plain_sums(spark, make, monkeypatch, most):
+    monkeypatch.setattr(langid, "LANGUAGES", most)
+    monkeypatch.setattr(langid, "HELD_CHARS", 50)
+    rng = random.Random(1)
+    made = [(k, " ".join(rng.choice(w.split()) for _ in range(rng.randint(0, 8))), lang) for k, (lang, w) in enumerate([("en", "the cat dog and"), ("de", "die Katze Hund und"), ("fr", "le chat chien et"), ("es", "el gato perro y"), ("it", "il gatto CANE e"), ("xx", "ÄÖ 日本 😀 𝒜b"), ("yy", "ÄÖ 日本 😀 𝒜b")] * 12)]
+    docs = [*made, (None, "the cat", "en"), (901, None, "en"), (902, "the", None), (903, "12 34", "en"), (904, "zzz", "en"), (904, "zzz", "en")]
+    sf = make(documents=[(d, t, lang, "s", 0) for d, t, lang in docs])
+    rows = spark.read.parquet(f"{sf}/documents.parquet")
+    models = langid.learned(rows, most)
+    assert len(models) == (1 if most == 64 else 4)
+    got = langid.identified(rows, models).collect()
+    want = [(str(d), *plain_prediction(docs, t)) for d, t, _ in docs]
+    assert sorted((str(r.doc_id), r.lang_pred, round(r.score, 9)) for r in got) == sorted((d, lang, round(s, 9)) for d, lang, s in want)
 
 
 def test_language_cases(spark, make):
