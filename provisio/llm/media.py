@@ -6,11 +6,13 @@ stored losslessly as 8-bit grey samples in PNG files, 64 samples wide. A digest
 with what was computed from the stored bytes read back, so positions and captions stay with their media.
 
 The query renders each text as such a page: its text, then a figure that refers to the text's own payload
-(UTF-8 bytes, zeros up to a positive multiple of 64). Pages are parsed again, media tables are written to the
-shared folder and read back. Equal texts have one digest and so equal values.
+(UTF-8 bytes, zeros up to a positive multiple of 64). Pages are parsed again, and the parsed text is compared with the
+document's (aligned). Media tables are written to the shared folder and read back. Equal texts have one digest and so equal
+values.
 
 Defined results: null text counts as empty, whose payload is 64 zero bytes. References that no media row
-answers keep null media columns. Repeated rows repeat. Only doc_id and text are read.
+answers keep null media columns. Repeated rows repeat. Very long texts are stored whole. An empty table gives an empty
+result. Only doc_id and text are read, whatever other columns there are.
 """
 
 from __future__ import annotations
@@ -67,18 +69,19 @@ def from_png(data: bytes) -> bytes:
     return rows[:, 1:].tobytes()
 
 
-def sequence(source: str) -> list[tuple[int, str, str | None, str | None, str | None]]:
-    """(position, kind, text, digest, caption) in page order; kind is text or media. A figure's caption goes with its media."""
+def sequence(source: str, spaces: bool = False) -> list[tuple[int, str, str | None, str | None, str | None]]:
+    """(position, kind, text, digest, caption) in page order; kind is text or media. A figure's caption goes with its media.
+    Texts keep their outer white space where spaces are asked for; those of nothing else are no parts."""
     out: list[list] = []
     text: list[str] = []
     figure: int | None = None
     caption: list[str] | None = None
 
     def flush() -> None:
-        whole = "".join(text).strip()
+        whole = "".join(text)
         text.clear()
-        if whole:
-            out.append([len(out), "text", whole, None, None])
+        if bare := whole.strip():
+            out.append([len(out), "text", whole if spaces else bare, None, None])
 
     for kind, what, more in events(source):
         if kind == "text":
@@ -171,21 +174,22 @@ def _rendered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             data = t.encode()
             payload = padded(data)
             digest = hashlib.sha256(payload).hexdigest()
-            found = sequence(page(t, digest))
+            found = sequence(page(t, digest), spaces=True)
+            aligned = "".join(p[2] for p in found if p[1] == "text") == (t if t.strip() else "")
             position, _, _, ref, caption = next(p for p in found if p[1] == "media")
-            out.append((len(data), len(found), position, ref, caption, None if digest in seen else to_png(payload)))
+            out.append((len(data), len(found), position, ref, caption, aligned, None if digest in seen else to_png(payload)))
             seen.add(digest)
-        cols = list(zip(*out, strict=True)) or [()] * 6
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary())
-        yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], ["doc_id", "n_bytes", "n_parts", "position", "digest", "caption", "media"])
+        cols = list(zip(*out, strict=True)) or [()] * 7
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.bool_(), pa.binary())
+        yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], ["doc_id", "n_bytes", "n_parts", "position", "digest", "caption", "aligned", "media"])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, and the reference's position and caption."""
+    """doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, the reference's position and caption, and whether the parsed text is the document's."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long"), "text")
-    rows = docs.mapInArrow(_rendered, "doc_id long, n_bytes long, n_parts long, position long, digest string, caption string, media binary")
+    rows = docs.mapInArrow(_rendered, "doc_id long, n_bytes long, n_parts long, position long, digest string, caption string, aligned boolean, media binary")
     path = new_path(spark, "media")
     rows.write.option("compression", "zstd").parquet(path)
     stored = spark.read.schema(rows.schema).parquet(path)
     met = joined(stored.drop("media"), stored.where("media is not null"))
-    return met.select("doc_id", "n_bytes", *NAMES, "n_parts", "position", "caption")
+    return met.select("doc_id", "n_bytes", *NAMES, "n_parts", "position", "caption", "aligned")

@@ -14,7 +14,7 @@ SCHEMAS = {
 
 @pytest.fixture
 def make(tmp_path):
-    """make(documents=[...], pages=[...]): a folder of tables; missing ones are empty. extra adds a clashing column to documents."""
+    """make(documents=[...], pages=[...]): a folder of tables; missing ones are empty. extra adds clashing columns to each."""
 
     def build(extra: bool = False, **rows) -> str:
         for name, schema in SCHEMAS.items():
@@ -22,9 +22,8 @@ def make(tmp_path):
             if name == "documents":
                 got = [r if len(r) == 5 else (r[0], r[1], "en", "src0", len(r[1] or "")) for r in got]
             table = pa.table({f.name: pa.array([r[k] for r in got], f.type) for k, f in enumerate(schema)}, schema=schema)
-            if extra and name == "documents":
-                for clash in ("pieces", "fp", "host", "score", "component_id", "first", "label"):
-                    table = table.append_column(clash, pa.array(["kept"] * table.num_rows))
+            for clash in ("pieces", "fp", "host", "path", "score", "component_id", "first", "label", "digest", "hash", "window", "size", "page", "h", "d", "n", "n_hit", "fold", "found") if extra else ():
+                table = table.append_column(clash, pa.array(["kept"] * table.num_rows))
             pq.write_table(table, tmp_path / f"{name}.parquet")
         return str(tmp_path)
 

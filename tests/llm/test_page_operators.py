@@ -10,6 +10,7 @@ import zlib
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from provisio.llm import html_extract, media, registry, urlfilter, warc
 from provisio.llm.dom import Page
@@ -102,7 +103,7 @@ def test_no_kept_node_below_a_dropped_one():
 
 
 def test_html_cases(spark, make):
-    got = {(r.page_id, r.text): r for r in registry.QUERIES["op1_main_text"](spark, make(pages=PAGES)).collect()}
+    got = {(r.page_id, r.text): r for r in registry.QUERIES["op1_main_text"](spark, make(pages=PAGES, extra=True)).collect()}
     assert {r.text for r in got.values() if r.page_id in (1, 2)} == {""} and all(r.n_chars == len(r.text) for r in got.values())
     assert registry.QUERIES["op1_main_text"](spark, make()).count() == 0
 
@@ -111,7 +112,7 @@ def test_html_cases(spark, make):
 
 
 def test_warc_matches_sql(spark, make):
-    sf = make(pages=PAGES)
+    sf = make(pages=PAGES, extra=True)
     con = duckdb.connect()
     con.execute(f"create view pages as select * from '{sf}/pages.parquet'")
     got = registry.QUERIES["op2_arc_to_warc"](spark, sf).collect()
@@ -158,7 +159,7 @@ def test_media_round_trip(spark, make):
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
         assert (r.media_bytes, r.media_sha256) == (len(png), hashlib.sha256(png).hexdigest()) and media.from_png(png) == payload
         assert r.caption == f"payload of {len(t or '')} characters" and r.position == (1 if (t or "").strip() else 0)
-    assert len({tuple(r)[1:] for r in got if r.doc_id in (3, 6)}) == 1
+    assert len({tuple(r)[1:] for r in got if r.doc_id in (3, 6)}) == 1 and all(r.aligned for r in got)
     assert registry.QUERIES["op3_media_sequences"](spark, make()).count() == 0
 
 
@@ -169,6 +170,25 @@ def test_sequences_keep_order_and_captions(spark):
     assert [p.kind for p in r[0].parts] == ["text", "text", "media", "text", "media"] and r[1].parts == []
 
 
+def test_interleaved_documents_resolve_by_digest(spark):
+    payloads = {d: media.padded(d.encode() * 40) for d in ("p1", "p2")}
+    stored = spark.createDataFrame([(d, media.to_png(p)) for d, p in payloads.items()] + [("p1", media.to_png(payloads["p1"]))], "digest string, media binary")
+    pages = [
+        (1, "<p>a</p><figure><img data-digest=p1><figcaption>one</figcaption></figure><p>b</p><figure><img data-digest=p2><figcaption>two</figcaption></figure><p>c</p>"),
+        (2, "<img data-digest=p1 alt='again'><p> x <b>y</b> </p><img data-digest=gone><img src='http://no.digest/x.png'>"),
+        (2, "<img data-digest=p1 alt='again'>"),
+        (3, ""),
+    ]
+    parts = media.sequences(spark.createDataFrame(pages, "page_id long, html string")).select("page_id", F.explode("parts").alias("p")).select("page_id", "p.*")
+    got = sorted((r.page_id, r.position, r.kind, r.text or r.caption, r.digest, r.payload_sha256) for r in media.joined(parts, stored).collect())
+    sha = {d: hashlib.sha256(p).hexdigest() for d, p in payloads.items()}
+    want = [
+        (1, 0, "text", "a", None, None), (1, 1, "media", "one", "p1", sha["p1"]), (1, 2, "text", "b", None, None), (1, 3, "media", "two", "p2", sha["p2"]), (1, 4, "text", "c", None, None),
+        (2, 0, "media", "again", "p1", sha["p1"]), (2, 0, "media", "again", "p1", sha["p1"]), (2, 1, "text", "x y", None, None), (2, 2, "media", None, "gone", None), (2, 3, "media", None, "http://no.digest/x.png", None),
+    ]
+    assert got == sorted(want, key=lambda r: r[:2])
+
+
 # ---- op7
 
 
@@ -186,7 +206,7 @@ def brute_rule(url):
 def test_url_rules(spark, make, sample):
     urls = ["http://example.org/es/x", "http://www.example.org/es", "http://a.Example.ORG/en/12?q#x", "http://notexample.org/es/", "http://example.org", "http://x.com/fr/", "http://com/de/1", "x://y.com/de/", "://z.org/", "", None, "nothing"]
     pages = [(k, u, "") for k, u in enumerate([*urls, *(p["url"] for p in sample["pages"])])]
-    got = {r.page_id: r for r in registry.QUERIES["op7_url_models"](spark, make(pages=pages)).collect()}
+    got = {r.page_id: r for r in registry.QUERIES["op7_url_models"](spark, make(pages=pages, extra=True)).collect()}
     for k, u, _ in pages:
         host, path, rule, verdict = brute_rule(u)
         assert (got[k].host, got[k].path, got[k].rule) == (host, path, rule) and got[k].verdict == (verdict or got[k].verdict)
