@@ -56,7 +56,7 @@ def join_unique(c: Column, limit: int = 20) -> Column:
 def single_or_blank(c: Column) -> Column:
     """Aggregate: the one distinct non-blank value, else the empty string."""
     v = blank_to_null(c)
-    return F.when(F.count_distinct(v) == 1, F.min(v)).otherwise(F.lit(""))
+    return F.when(F.min(v) == F.max(v), F.min(v)).otherwise(F.lit(""))
 
 
 def geometric_mean(parts: Sequence[Column]) -> Column:

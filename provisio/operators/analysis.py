@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from provisio.functions import ladder
-from provisio.sources import new_path
+from provisio.operators.ordered import running
 
 
 def lead_days(receipt: Column, due: Column, low: int = 0, high: int = 365) -> Column:
@@ -46,23 +46,6 @@ def target_encode(train: DataFrame, apply_to: DataFrame, key: str, target: str,
     return out.withColumn("encoded", F.coalesce((F.col("m") * F.col("n") + F.col("grand") * prior) / (F.col("n") + prior), F.col("grand"))).drop("m", "n", "grand")
 
 
-def running(df: DataFrame, value: str, order: Sequence[Column]) -> DataFrame:
-    """df with __cum (running sum of value in order), __all (its total) and __pos (position).
-
-    Rows are range-partitioned and written once, so no task holds them all: each partition runs on its own, from
-    where the sums of the partitions before it (one row each) leave off.
-    """
-    path = new_path(df.sparkSession, "ranged")
-    df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()).write.parquet(path)
-    rows = df.sparkSession.read.parquet(path)
-    parts = rows.groupBy("__part").agg(F.sum(value).alias("__s"), F.count("*").alias("__c"))
-    before = W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
-    parts = parts.select("__part", F.coalesce(F.sum("__s").over(before), F.lit(0)).alias("__s0"), F.coalesce(F.sum("__c").over(before), F.lit(0)).alias("__c0"), F.sum("__s").over(W.partitionBy()).alias("__all"))
-    w = W.partitionBy("__part").orderBy(*order)
-    out = rows.join(F.broadcast(parts), "__part")  # a row per partition
-    return out.withColumns({"__cum": F.col("__s0") + F.sum(value).over(w), "__pos": F.col("__c0") + F.row_number().over(w)}).drop("__part", "__s0", "__c0")
-
-
 def abc(df: DataFrame, key: str, value: str) -> DataFrame:
     """Pareto classes of keys by their summed value."""
     g = running(df.groupBy(key).agg(F.sum(value).alias("v")), "v", [F.desc("v"), F.col(key)])
@@ -79,12 +62,12 @@ def average_rank(df: DataFrame, value: str, into: str = "rank_share") -> DataFra
 
 def stratified(df: DataFrame, stratum: str, order: Sequence[Column], k: int, total: int) -> DataFrame:
     """k of each stratum in order, then the best of the rest up to total."""
-    out = df.withColumn("__k", F.row_number().over(W.partitionBy(stratum).orderBy(*order)))
+    out = df.withColumn("__k", F.row_number().over(W.partitionBy(stratum).orderBy(*order))).where(F.col("__k") <= k + total)  # no more of a stratum can be chosen
     return out.orderBy((F.col("__k") > k).cast("int"), *order).limit(total).drop("__k")
 
 
 def round_robin(df: DataFrame, stratum: str, order: Sequence[Column], total: int) -> DataFrame:
-    out = df.withColumn("__k", F.row_number().over(W.partitionBy(stratum).orderBy(*order)))
+    out = df.withColumn("__k", F.row_number().over(W.partitionBy(stratum).orderBy(*order))).where(F.col("__k") <= total)
     return out.orderBy("__k", stratum).limit(total).drop("__k")
 
 

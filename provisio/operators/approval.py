@@ -48,7 +48,8 @@ def bulk_classified(df: DataFrame, key: str) -> DataFrame:
 def taxonomy(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Generated rows are replaced by the new ones; of one key the last stays."""
     both = old.where("not generated").withColumn("__o", F.lit(0)).unionByName(new.withColumn("__o", F.lit(1)))
-    return both.withColumn("__k", F.row_number().over(W.partitionBy(*keys).orderBy(F.desc("__o")))).where("__k = 1").drop("__k", "__o")
+    rest = F.struct(*(c for c in old.columns if c not in keys))  # of one key and load, the greatest row
+    return both.withColumn("__k", F.row_number().over(W.partitionBy(*keys).orderBy(F.desc("__o"), F.desc(rest)))).where("__k = 1").drop("__k", "__o")
 
 
 def latest_keys(df: DataFrame, key: Sequence[str], month: str) -> DataFrame:

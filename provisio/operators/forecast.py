@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from provisio.operators.ordered import higher_quantiles
 from provisio.functions import ladder
 
 BASELINES = {"last_month_pred": "demand_lag_1", "rolling_mean_3_pred": "rolling_mean_3", "rolling_median_3_pred": "rolling_median_3", "rolling_mean_6_pred": "rolling_mean_6", "same_month_last_year_pred": "demand_lag_12", "expanding_mean_pred": "expanding_mean"}
@@ -105,20 +106,12 @@ def higher_quantile(c: Column, q: float) -> Column:
     return F.element_at(a, F.ceil(F.lit(q) * (F.size(a) - 1)).cast("int") + 1)
 
 
-def higher_quantile_table(df: DataFrame, group: Sequence[str], value: str, q: float) -> DataFrame:
-    """The same by counting: distinct values with running counts, so no group is gathered in one array."""
-    counts = df.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count("*").alias("n"))
-    w = W.partitionBy(*group)
-    run = counts.withColumns({"cum": F.sum("n").over(w.orderBy(value)), "total": F.sum("n").over(w)})
-    return run.where(F.col("cum") >= F.ceil(F.lit(q) * (F.col("total") - 1)) + 1).groupBy(*group).agg(F.min(value).alias("buffer"), F.max("total").alias("n"))
-
-
 def pooled_buffer(errors: DataFrame, value: str, levels: Sequence[Sequence[str]], q: float, least: int = 200) -> DataFrame:
     """errors with a buffer from its finest group of at least `least` rows, else the coarser, else all; never negative."""
     out = errors
     picks = []
     for k, level in enumerate(levels):
-        t = higher_quantile_table(errors, level, value, q).withColumnRenamed("buffer", f"b{k}").withColumnRenamed("n", f"n{k}")
+        t = higher_quantiles(errors, level, value, q).withColumnRenamed("buffer", f"b{k}").withColumnRenamed("n", f"n{k}")
         out = out.join(t, list(level), "left") if level else out.join(F.broadcast(t), F.lit(True))
         picks.append(F.when(F.col(f"n{k}") >= least, F.col(f"b{k}")) if level else F.col(f"b{k}"))
     return out.withColumn("buffer", F.greatest(F.coalesce(*picks), F.lit(0.0))).drop(*(c for k in range(len(levels)) for c in (f"b{k}", f"n{k}")))

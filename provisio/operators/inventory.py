@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from provisio.operators.ordered import quantiles
 from provisio.functions import clip, ladder, last_wins, truthy
 
 
@@ -174,13 +175,13 @@ def credibility(metrics: DataFrame, item: str = "item_code", least: int = 5) ->
 def corrected(metrics: DataFrame, params: DataFrame, item: str = "item_code") -> DataFrame:
     """Classes and corrected rates: shrunk towards the item's mean, capped by the 95th percentile of uplift and by 8."""
     c = F.col
-    cap = params.agg(F.percentile("k", F.lit(0.9)).alias("k_cap"), F.percentile("k", F.lit(0.5)).alias("k_mid"))
+    cap = quantiles(params, [], "k", {"k_cap": 0.9, "k_mid": 0.5})
     j = metrics.join(params.select(item, "item_mean", "k"), item, "left").join(F.broadcast(cap), F.lit(True))
     k = F.coalesce(F.least("k", "k_cap"), c("k_mid"), F.lit(1.0))
     j = j.withColumn("shrunk", (c("item_mean") * k + c("demand_total")) / (k + c("held_days")))
     kind = ladder([(c("coverage") < 0.9, "NOT_VERIFIED"), (c("demand_total") <= 0, "DORMANT"), (c("zero_ratio") >= 0.5, "CENSORED")], "ACTIVE")
     j = j.withColumns({"demand_class": kind, "uplift": F.try_divide("shrunk", "naive_rate")})
-    top = j.where("demand_class = 'ACTIVE'").agg(F.percentile("uplift", F.lit(0.95)).alias("p95"))
+    top = quantiles(j.where("demand_class = 'ACTIVE'").select("uplift"), [], "uplift", {"p95": 0.95})
     j = j.join(F.broadcast(top), F.lit(True))
     rate = F.when(c("demand_class") == "CENSORED", F.least(c("shrunk"), c("naive_rate") * F.least(F.coalesce("p95", F.lit(8.0)), F.lit(8.0)))).when(c("demand_class") == "ACTIVE", c("available_rate")).otherwise(c("naive_rate"))
     return j.withColumn("corrected_rate", rate)

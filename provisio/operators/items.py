@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from provisio.operators.ordered import quantiles
 from provisio.functions import first_filled, flags, geometric_mean, join_unique, ladder, single_or_blank, split_codes, stable_id
 
 
@@ -74,10 +75,10 @@ def worklist(aliases: DataFrame, attributes: Sequence[str]) -> tuple[DataFrame,
     links = aliases.withColumn("representative_id", stable_id("REP-", F.col("strict_name")))
     names = links.groupBy("representative_id", "name").agg(F.sum("occurrences").alias("n"))
     best = names.groupBy("representative_id").agg(F.max_by("name", F.struct("n", -F.length("name"), "name")).alias("representative_name"))
-    agg = links.groupBy("representative_id").agg(F.sum("occurrences").alias("occurrences"), F.count("*").alias("aliases"), *(single_or_blank(F.col(a)).alias(a) for a in attributes), *(F.count_distinct(F.col(a)).alias(f"{a}_values") for a in attributes))
+    agg = links.groupBy("representative_id").agg(F.sum("occurrences").alias("occurrences"), F.count("*").alias("aliases"), *(single_or_blank(F.col(a)).alias(a) for a in attributes), *((F.min(a) < F.max(a)).alias(f"{a}_differs") for a in attributes))
     conflict = F.lit(False)
     for a in attributes:
-        conflict = conflict | (F.col(f"{a}_values") > 1)
+        conflict = conflict | F.coalesce(F.col(f"{a}_differs"), F.lit(False))
     return agg.join(best, "representative_id").withColumn("status", F.when(conflict, "conflict").otherwise("consistent")), links
 
 
@@ -99,7 +100,10 @@ def tiered_match(items: DataFrame, master: DataFrame, tiers: Sequence[tuple[str,
 
 def rollup_approval(links: DataFrame, item: str, rep: str, approved: str, axes: Sequence[str]) -> DataFrame:
     """An item is approved when all its representatives are and they agree on one tuple of axes."""
-    g = links.groupBy(item).agg(F.count_distinct(rep).alias("representatives"), F.count_distinct(F.when(F.col(approved), F.col(rep))).alias("approved_representatives"), F.count_distinct(F.struct(*axes)).alias("tuples"))
+    one = links.groupBy(item, rep, *axes).agg(F.max(F.col(approved).cast("int")).alias("__ok"))
+    pairs = one.groupBy(item, rep).agg(F.max("__ok").alias("__ok"))
+    g = pairs.groupBy(item).agg(F.count(rep).alias("representatives"), F.coalesce(F.sum(F.when(F.col(rep).isNotNull(), F.col("__ok"))), F.lit(0)).alias("approved_representatives"))
+    g = g.join(one.select(item, *axes).distinct().groupBy(item).agg(F.count("*").alias("tuples")), item)
     return g.withColumn("is_approved", (F.col("representatives") == F.col("approved_representatives")) & (F.col("tuples") == 1))
 
 
@@ -178,8 +182,9 @@ def analysed(rows: DataFrame) -> DataFrame:
 def novelty(rows: DataFrame) -> DataFrame:
     """1 over the root of how many articles tell of the same event on the same day."""
     key = F.concat_ws("|", "event_type", "event_country", F.col("date").cast("string"))
-    n = F.count("*").over(W.partitionBy("cluster_id"))
-    return rows.withColumn("cluster_id", key).withColumn("novelty", 1 / F.sqrt(n))
+    rows = rows.withColumn("cluster_id", key)
+    n = rows.groupBy("cluster_id").agg(F.count("*").alias("__n"))  # counted and joined back: a cluster that many articles share needn't meet in one task
+    return rows.join(n, "cluster_id").withColumn("novelty", 1 / F.sqrt("__n")).drop("__n")
 
 
 def recency(date: Column, half_life: float = 14.0) -> Column:
@@ -197,7 +202,7 @@ def article_scores(rows: DataFrame, mapping: DataFrame) -> DataFrame:
 def saturated(scored: DataFrame, q: float = 0.9) -> DataFrame:
     """Monthly sums by item and event, 1 - exp(-sum / scale), the scale being the event's q-quantile of positive sums; events become columns."""
     s = scored.groupBy(F.trunc("date", "MM").alias("month"), "stock_item_key", "event_type").agg(F.sum("score").alias("s"))
-    scale = s.where("s > 0").groupBy("event_type").agg(F.percentile("s", F.lit(q)).alias("scale"))
+    scale = quantiles(s.where("s > 0"), ["event_type"], "s", {"scale": q})
     r = s.join(F.broadcast(scale), "event_type").withColumn("risk", 1 - F.exp(-F.col("s") / F.col("scale")))
     return r.groupBy("month", "stock_item_key").pivot("event_type", ["demand_increase", "supply_decrease"]).agg(F.max("risk")).fillna(0.0, ["demand_increase", "supply_decrease"])
 

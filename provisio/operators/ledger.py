@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from provisio.functions import safe_divide
-from provisio.operators.analysis import running
+from provisio.operators.ordered import running
 
 TOLERANCE = 1e-9
 MOVES = ("purchase_in_qty", "transfer_in_qty", "return_in_qty", "transfer_out_qty", "consumption_qty", "return_out_qty", "disposal_qty", "auto_disposal_adjustment_qty", "correction_out_qty")

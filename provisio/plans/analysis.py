@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from provisio.operators import analysis as op
+from provisio.operators.ordered import quantiles
 from provisio.operators import contracts as rel
 from provisio.operators import inventory as inv
 from provisio.plans import bindings as b
@@ -116,9 +117,12 @@ def lt_lagged(spark, sf):
 def lt_pooling(spark, sf):
     from provisio.plans import ledger as led
 
-    led.fact(spark, sf).createOrReplaceTempView("pool_fact")
-    return spark.sql("""WITH g AS (SELECT CASE WHEN grouping(institution_code) = 0 AND grouping(item_code) = 0 THEN 'institution_item' WHEN grouping(item_code) = 0 THEN 'item' ELSE 'institution' END AS unit, institution_code, item_code, count(DISTINCT year_month) AS months, try_divide(stddev_samp(consumption_qty), avg(consumption_qty)) AS cv FROM pool_fact GROUP BY GROUPING SETS ((institution_code, item_code), (item_code), (institution_code)))
-      SELECT unit, count(*) AS groups, percentile(months, 0.5) AS median_months, round(avg(CAST(months >= 12 AS DOUBLE)), 6) AS share_12, round(percentile(cv, 0.5), 5) AS median_cv FROM g GROUP BY unit""")
+    fact = led.fact(spark, sf)
+    g = spark.sql("""SELECT CASE WHEN grouping(institution_code) = 0 AND grouping(item_code) = 0 THEN 'institution_item' WHEN grouping(item_code) = 0 THEN 'item' ELSE 'institution' END AS unit, count(DISTINCT year_month) AS months, try_divide(stddev_samp(consumption_qty), avg(consumption_qty)) AS cv
+      FROM {fact} GROUP BY GROUPING SETS ((institution_code, item_code), (item_code), (institution_code))""", fact=fact)
+    counts = g.groupBy("unit").agg(F.count("*").alias("groups"), F.round(F.avg((F.col("months") >= 12).cast("double")), 6).alias("share_12"))
+    middle = quantiles(g, ["unit"], "months", {"median_months": 0.5}).join(quantiles(g, ["unit"], "cv", {"median_cv": 0.5}), "unit", "left")
+    return counts.join(middle, "unit").select("unit", "groups", "median_months", "share_12", F.round("median_cv", 5).alias("median_cv"))
 
 
 @query("lt_abc_classes", "WITH g AS (SELECT l_partkey, sum(l_extendedprice) AS v FROM lineitem GROUP BY 1), s AS (SELECT *, sum(v) OVER (ORDER BY v DESC, l_partkey) / sum(v) OVER () AS share, row_number() OVER (ORDER BY v DESC, l_partkey) AS rank FROM g) SELECT l_partkey, round(v, 2) AS v, round(share, 6) AS share, CAST(rank AS INTEGER) AS rank, CASE WHEN share <= 0.8 THEN 'A' WHEN share <= 0.95 THEN 'B' ELSE 'C' END AS abc FROM s")

@@ -8,6 +8,7 @@ from provisio.functions import join_unique
 from provisio.operators import approval as op
 from provisio.operators import contracts as rel
 from provisio.operators import inventory as inv
+from provisio.operators.ordered import quantiles
 from provisio.plans import analysis as lt
 from provisio.plans import bindings as b
 from provisio.plans import features as fea
@@ -215,7 +216,9 @@ def trd_proxy(spark, sf):
 def trd_impact(spark, sf):
     f = prisk.fused(spark, sf)
     d = F.col("supply_risk") - F.col("base_supply")
-    return f.groupBy("month").agg(F.count_if(F.col("trade_risk") > 0).alias("exposed"), F.round(F.sum(d), 5).alias("total_delta"), F.round(F.percentile(F.when(F.col("trade_risk") > 0, d), F.lit(0.9)), 5).alias("delta_p90"))
+    g = f.groupBy("month").agg(F.count_if(F.col("trade_risk") > 0).alias("exposed"), F.round(F.sum(d), 5).alias("total_delta"))
+    high = quantiles(f.where("trade_risk > 0").select("month", d.alias("d")), ["month"], "d", {"delta_p90": 0.9})
+    return g.join(high, "month", "left").select("month", "exposed", "total_delta", F.round("delta_p90", 5).alias("delta_p90"))
 
 
 @query("news_volatility_partial", f"""WITH {pi.NEWS}, {fea.PRICES}, c AS (SELECT (month(date) - 1) AS k, ln(1 + count(*)) AS x FROM nn GROUP BY 1), m AS (SELECT (year(date) * 12 + month(date)) AS mm, month(date) - 1 AS k, stddev_samp(price) AS v FROM prices WHERE factor = 'Brand#12' GROUP BY 1, 2),

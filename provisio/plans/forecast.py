@@ -78,12 +78,6 @@ NAMES = ["last_month_pred", "rolling_mean_6_pred", "expanding_mean_pred"]
 GRID = "grid AS (SELECT a / 20.0::DOUBLE AS last_month_pred, c / 20.0::DOUBLE AS rolling_mean_6_pred, (20 - a - c) / 20.0::DOUBLE AS expanding_mean_pred FROM range(21) t(a), range(21) u(c) WHERE a + c <= 20)"
 
 
-@query("for_weight_grid", f"WITH n AS (SELECT count(*) AS n FROM lineitem), {GRID} SELECT {', '.join(f'round({n}, 6) AS {n}' for n in NAMES)}, n.n > 0 AS has_rows FROM grid, n")
-def for_grid(spark, sf):
-    some = b.table(spark, sf, "lineitem").agg((F.count("*") > 0).alias("has_rows"))
-    return op.weight_grid(spark, NAMES).select(*(F.round(n, 6).alias(n) for n in NAMES)).join(F.broadcast(some), F.lit(True))
-
-
 def best(spark, sf, group):
     rows = labelled(spark, sf).where("split = 'validation'")
     if group:
@@ -102,6 +96,14 @@ best AS (SELECT * FROM agg QUALIFY row_number() OVER ({part}ORDER BY round(wape,
 VALID = "SELECT * FROM base WHERE split = 'validation' AND target_next_month IS NOT NULL"
 
 
+@query("for_weight_grid", f"WITH {BASE}, {GRID}, {blend_sql('', VALID)} SELECT {', '.join(f'round({n}, 6) AS {n}' for n in NAMES)}, round(wape, 4) AS wape, round(bias_size, 4) AS bias_size, round(rmse, 4) AS rmse FROM agg")
+def for_grid(spark, sf):
+    """Every weighting in steps of a twentieth, with its errors over the validation rows."""
+    rows = labelled(spark, sf).where("split = 'validation'")
+    scores = op.blend_scores(rows, NAMES, "target_next_month", [], op.weight_grid(spark, NAMES))
+    return scores.select(*(F.round(n, 6).alias(n) for n in NAMES), *(F.round(c, 4).alias(c) for c in ("wape", "bias_size", "rmse")))
+
+
 @query("for_blend_selection", f"WITH {BASE}, {GRID}, {blend_sql('', VALID)} SELECT {', '.join(f'round({n}, 4) AS {n}' for n in NAMES)}, round(wape, 4) AS wape FROM best")
 def for_blend(spark, sf):
     return best(spark, sf, []).select(*(F.round(n, 4).alias(n) for n in NAMES), F.round("wape", 4).alias("wape"))

@@ -132,9 +132,8 @@ def rsk_levels(spark, sf):
 @query("inv_family_rollup", f"""WITH {LEVEL}, f AS (SELECT institution_code, item_code, sum(greatest(coalesce(month_end_stock, 0), 0)) AS available, sum(rop) AS rop, count(*) AS n FROM lp GROUP BY 1, 2)
 SELECT institution_code, item_code, available, n, CASE WHEN available < rop THEN 'BELOW' WHEN available < 1.2 * rop THEN 'WATCH' ELSE 'OK' END AS family_status FROM f""")
 def inv_family(spark, sf):
-    levels(spark, sf).createOrReplaceTempView("series_levels")
-    return spark.sql("""WITH f AS (SELECT institution_code, item_code, sum(greatest(current_stock, 0)) AS available, sum(reorder_point) AS rop, count(*) AS n FROM series_levels GROUP BY 1, 2)
-      SELECT institution_code, item_code, available, n, CASE WHEN available < rop THEN 'BELOW' WHEN available < 1.2 * rop THEN 'WATCH' ELSE 'OK' END AS family_status FROM f""")
+    return spark.sql("""WITH f AS (SELECT institution_code, item_code, sum(greatest(current_stock, 0)) AS available, sum(reorder_point) AS rop, count(*) AS n FROM {series_levels} GROUP BY 1, 2)
+      SELECT institution_code, item_code, available, n, CASE WHEN available < rop THEN 'BELOW' WHEN available < 1.2 * rop THEN 'WATCH' ELSE 'OK' END AS family_status FROM f""", series_levels=levels(spark, sf))
 
 
 @query("inv_lead_cap_effect", f"WITH {STATUS} SELECT cap, round(sum(1.2816 * sigma * sqrt(least(lag_days + 1, cap))), 3) AS safety_total, quantile_cont(lag_days + 1, 0.5) AS lead_p50, quantile_cont(lag_days + 1, 0.9) AS lead_p90 FROM st, (VALUES (30), (60), (90), (120)) v(cap) GROUP BY cap")

@@ -36,10 +36,16 @@ def itm_clean(spark, sf):
     return aliases(spark, sf).select("raw").distinct().withColumn("name", op.clean_name(F.col("raw")))
 
 
-@query("itm_wrapper_stripping", f"WITH {ALIASES} SELECT DISTINCT name, CASE WHEN name LIKE '[A] %' THEN name[5:] WHEN name LIKE '% #7' THEN trim(name[:-4]) ELSE name END AS product, name LIKE '[%' AS tagged FROM cl WHERE lower(name) NOT LIKE 'new %' AND lower(name) NOT LIKE '[a] new %'")
+def stripped_sql(c, rounds=3):
+    out = c
+    for p in op.WRAPPERS * rounds:
+        out = f"regexp_replace({out}, '(?i){p}', '')"
+    return out
+
+
+@query("itm_wrapper_stripping", f"WITH {ALIASES}, n AS (SELECT DISTINCT name, {stripped_sql('name')} AS bare FROM cl) SELECT name, CASE WHEN trim(bare) <> '' THEN trim(bare) ELSE name END AS product, name LIKE '[%' AS tagged FROM n")
 def itm_strip(spark, sf):
-    rows = cleaned(spark, sf).select("name").distinct().where("lower(name) not like 'new %' and lower(name) not like '[a] new %'")
-    return rows.select("name", op.strip_wrappers(F.col("name")).alias("product"), F.col("name").rlike(r"^\[").alias("tagged"))
+    return cleaned(spark, sf).select("name").distinct().select("name", op.strip_wrappers(F.col("name")).alias("product"), F.col("name").rlike(r"^\[").alias("tagged"))
 
 
 @query("itm_match_key", f"WITH {ALIASES} SELECT DISTINCT name, {KEY.format('name')} AS match_key FROM cl")
@@ -134,8 +140,8 @@ def itm_match(spark, sf):
 
 @query("itm_claims_unnest", "WITH g AS (SELECT p_brand, list_sort(list(DISTINCT p_type)) AS t FROM part GROUP BY 1) SELECT p_brand, CAST(i AS INTEGER) AS position, t[i] AS code, lower(t[i]) AS name FROM g, unnest(range(1, len(t) + 1)) AS u(i)")
 def itm_claims(spark, sf):
-    g = b.table(spark, sf, "part").groupBy("p_brand").agg(join_unique(F.col("p_type")).alias("codes")).withColumn("names", F.lower("codes"))
-    zipped = F.arrays_zip(F.split("codes", ";").alias("code"), F.split("names", ";").alias("name"))
+    g = b.table(spark, sf, "part").groupBy("p_brand").agg(F.array_sort(F.collect_set("p_type")).alias("codes"))
+    zipped = F.arrays_zip(F.col("codes").alias("code"), F.transform("codes", F.lower).alias("name"))
     return g.select("p_brand", F.posexplode(zipped).alias("p", "x")).select("p_brand", (F.col("p") + 1).cast("int").alias("position"), F.col("x.code").alias("code"), F.col("x.name").alias("name"))
 
 

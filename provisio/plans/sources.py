@@ -89,7 +89,10 @@ def evidence(spark, sf):
     return b.table(spark, sf, "pages").select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"), F.regexp_extract("url", "/([0-9]+)", 1).alias("target"))
 
 
-@query("src_evidence_visible_text")
+TAGS = r"(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->|<[^>]*>"
+
+
+@query("src_evidence_visible_text", f"SELECT page_id, trim(regexp_replace(regexp_replace(html, '{TAGS}', ' ', 'g'), '\\s+', ' ', 'g')) AS text FROM pages")
 def evidence_text(spark, sf):
     return b.table(spark, sf, "pages").select("page_id", src.visible_text(F.col("html")).alias("text"))
 

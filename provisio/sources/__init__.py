@@ -13,12 +13,14 @@ from pyspark.sql import types as T
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, which driver and executors share; one of our own where it is unset."""
+    """spark.checkpoint.dir, which driver and executors share. Where it is unset, one of our own in local mode, else an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
     there = spark.sparkContext._jsc.sc().getCheckpointDir()
     if not there.isDefined():
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="provisio-"))
         there = spark.sparkContext._jsc.sc().getCheckpointDir()
     return there.get().rstrip("/")
@@ -59,9 +61,10 @@ def fullest(df: DataFrame, keys: Sequence[str], tie: Sequence[Column]) -> DataFr
 
 
 def merged_cache(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Upsert: new rows win over old ones of the same key."""
+    """Upsert: new rows win over old ones of the same key; of several in one load, the greatest by the other columns in order."""
+    rest = [F.desc_nulls_last(c) for c in old.columns if c not in keys]
     both = old.withColumn("__load", F.lit(0)).unionByName(new.withColumn("__load", F.lit(1)), allowMissingColumns=True)
-    return newest(both, keys, [F.desc("__load")]).drop("__load")
+    return newest(both, keys, [F.desc("__load"), *rest]).drop("__load")
 
 
 def trade_flows(df: DataFrame) -> DataFrame:
