@@ -20,4 +20,4 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-from provisio.plans import analysis, approval, features, forecast, inventory, items, ledger, risk, selection, sources  # noqa: E402, F401
+from provisio.plans import analysis, approval, catalog, features, forecast, inventory, items, ledger, risk, selection, sources  # noqa: E402, F401
