@@ -95,6 +95,14 @@ def apply_weights(df: DataFrame, weights: DataFrame, group: Sequence[str], names
     return df.join(F.broadcast(w), list(group), "left").withColumn(into, F.greatest(pred, F.lit(0.0))).drop(*(f"__w_{n}" for n in names))
 
 
+def batch_scored(df: DataFrame, models: dict[str, object]) -> DataFrame:
+    """df with <name>_pred of each fitted model, not below 0; the models' own columns go."""
+    keep = list(df.columns)
+    for name, model in models.items():
+        df = model.transform(df).withColumn(f"{name}_pred", F.greatest("prediction", F.lit(0.0))).select(*(keep := [*keep, f"{name}_pred"]))
+    return df
+
+
 def scale_band(c: Column) -> Column:
     """Right-closed bands."""
     return ladder([(c <= b, f"le_{b}") for b in (0, 1, 5, 20, 100, 500)], "gt_500")

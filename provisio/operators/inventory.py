@@ -49,13 +49,14 @@ def gated_risks(df: DataFrame) -> DataFrame:
 
 
 def recommend(df: DataFrame, p: Policy = P) -> DataFrame:
-    """Target and order from predicted_usage (a month), current_stock, lead_time_days, on_order_qty, backorder_qty.
+    """Target and order from predicted_usage (a month), current_stock, lead_time_days, on_order_qty, backorder_qty, and review_period_days where it is there.
 
     With fused_risk, usage, lead time and safety grow with it up to a cap; without (null), three fixed-rate buffers
     apply. status 'DORMANT' or 'NOT_OPERATED' orders 0; 'DATA_MISSING' or 'STALE' orders null.
     """
     c, daily = F.col, F.greatest(F.col("predicted_usage"), F.lit(0.0)) / 30
-    lead, review, s = resolved_lead(c("lead_time_days"), p), F.lit(p.review_days), clip(F.col("fused_risk"), 0, 1)
+    lead, s = resolved_lead(c("lead_time_days"), p), clip(F.col("fused_risk"), 0, 1)
+    review = F.coalesce(c("review_period_days"), F.lit(p.review_days)) if "review_period_days" in df.columns else F.lit(p.review_days)
     protection = daily * (review + lead)
     base = protection * p.base_factor
     risky = daily * (1 + p.usage_uplift * s) * (review + lead * (1 + p.lead_factor * s) + p.lead_extra_days * s) * (1 + p.safety_base + p.safety_slope * s)

@@ -108,18 +108,18 @@ def mapping(spark, sf):
     return spark.sql(f"WITH {MAPPING.replace('FROM part)', 'FROM {part})')} SELECT * FROM mp".replace("p_size / 45.0", "cast(p_size / 45.0D as double)").replace("/ 10.0", "/ 10.0D"), part=b.table(spark, sf, "part"))
 
 
-KEY_PARTS = F.size(F.split("stock_item_key", "::"))
+KEY_SHAPE = "size(split(stock_item_key, '::')) < 3"
 
 
 @query("mat_approved_mapping", f"""WITH {MAPPING}, a AS (SELECT *, count(*) OVER (PARTITION BY stock_item_key, material) AS n FROM mp WHERE lower(trim(review_status)) = 'approved') SELECT p_partkey, stock_item_key, material FROM a WHERE n = 1 AND relation IN ('made_of', 'packed_in') AND len(string_split(stock_item_key, '::')) >= 3 AND weight > 0 AND weight <= 1 AND confidence BETWEEN 0 AND 1""")
 def mat_load(spark, sf):
-    rules = [(~F.col("relation").isin("made_of", "packed_in"), "relation"), (KEY_PARTS < 3, "key_shape"), *op.weight_rules(weight=(0.0, 1.0, False), confidence=(0.0, 1.0, True))]
+    rules = [(~F.col("relation").isin("made_of", "packed_in"), "relation"), (F.expr(KEY_SHAPE), "key_shape"), *op.weight_rules(weight=(0.0, 1.0, False), confidence=(0.0, 1.0, True))]
     return op.approved_load(mapping(spark, sf), "review_status", ["stock_item_key", "material"], rules, strict=False).select("p_partkey", "stock_item_key", "material")
 
 
 @query("mat_mapping_problems", f"""WITH {MAPPING}, a AS (SELECT *, count(*) OVER (PARTITION BY stock_item_key, material) AS n FROM mp), p AS (SELECT p_partkey, concat_ws(';', CASE WHEN relation NOT IN ('made_of', 'packed_in') THEN 'relation' END, CASE WHEN len(string_split(stock_item_key, '::')) < 3 THEN 'key_shape' END, CASE WHEN NOT (weight > 0 AND weight <= 1) THEN 'weight_range' END, CASE WHEN n > 1 THEN 'duplicate_key' END) AS problems FROM a) SELECT problems, count(*) AS rows FROM p GROUP BY 1""")
 def mat_problems(spark, sf):
-    rules = [(~F.col("relation").isin("made_of", "packed_in"), "relation"), (KEY_PARTS < 3, "key_shape"), *op.weight_rules(weight=(0.0, 1.0, False))]
+    rules = [(~F.col("relation").isin("made_of", "packed_in"), "relation"), (F.expr(KEY_SHAPE), "key_shape"), *op.weight_rules(weight=(0.0, 1.0, False))]
     return op.checked(mapping(spark, sf), ["stock_item_key", "material"], rules).groupBy("problems").agg(F.count("*").alias("rows"))
 
 

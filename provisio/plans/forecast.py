@@ -199,17 +199,21 @@ def for_folds(spark, sf):
     return m.join(F.broadcast(chosen), F.lit(True)).select("model", "n", F.round("wape", 5).alias("wape"), (F.col("model") == F.col("best")).alias("selected"))
 
 
+NUMBERS = ["demand_lag_1", "demand_lag_2", "demand_lag_3", "rolling_mean_3", "rolling_mean_6", "rolling_median_3", "expanding_mean", "forecast_month_of_year"]
+
+
+def training_rows(spark, sf):
+    """Labelled rows with the models' columns and weights."""
+    return labelled(spark, sf).select(*IDS, "split", "target_next_month", *(F.col(c).cast("double").alias(c) for c in NUMBERS)).withColumn("weight", F.when(F.col("split") == "historical", 0.5).otherwise(1.0))
+
+
 def _trained(spark, sf, estimator):
     """Fits on training rows and scores the validation rows; features are imputed with training medians."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.feature import Imputer, StringIndexer, VectorAssembler
-
-    num = ["demand_lag_1", "demand_lag_2", "demand_lag_3", "rolling_mean_3", "rolling_mean_6", "rolling_median_3", "expanding_mean", "forecast_month_of_year"]
-    rows = labelled(spark, sf).select(*IDS, "split", "target_next_month", *(F.col(c).cast("double").alias(c) for c in num)).withColumn("weight", F.when(F.col("split") == "historical", 0.5).otherwise(1.0))
-    stages = [Imputer(inputCols=num, outputCols=[f"{c}_i" for c in num], strategy="median"), StringIndexer(inputCol="item_code", outputCol="item_index", handleInvalid="keep"), VectorAssembler(inputCols=[*(f"{c}_i" for c in num), "item_index"], outputCol="features"), estimator]
-    model = Pipeline(stages=stages).fit(rows.where("split in ('historical', 'train')"))
-    scored = model.transform(rows.where("split = 'validation'"))
-    return scored.select(*IDS, "target_next_month", F.greatest("prediction", F.lit(0.0)).alias("model_pred"))
+    from provisio.plans.handoff import _pipeline
+
+    rows = training_rows(spark, sf)
+    model = _pipeline(estimator).fit(rows.where("split in ('historical', 'train')"))
+    return op.batch_scored(rows.where("split = 'validation'"), {"model": model}).select(*IDS, "target_next_month", "model_pred")
 
 
 @query("for_boosted_trees")
