@@ -105,15 +105,17 @@ def trd_ten(spark, sf):
     return ten(spark, sf).select("month", "hs_code", *(F.round(k, 5).alias(k) for k in (*op.COMPONENTS, "trade_score", "trade_confidence")))
 
 
-def _weights_sql() -> str:
+def weights_sql(source: str = "ten", prior: dict[str, float] | None = None) -> str:
+    """Common table expressions of the distribution weights; dr has a row per component."""
+    prior = prior or dict.fromkeys(op.COMPONENTS, 0.1)
     ranks = ", ".join(f"rank() OVER (ORDER BY {k}) + (count(*) OVER (PARTITION BY {k}) - 1) / 2.0 AS {k}" for k in op.COMPONENTS)
     rows = " UNION ALL ".join(
-        f"SELECT '{k}' AS component, (SELECT avg(CAST({k}_known AS DOUBLE)) FROM tn) AS availability, (SELECT coalesce(list_avg(list_filter([{', '.join(f'abs(corr({k}, {o}))' for o in op.COMPONENTS if o != k)}], lambda x: NOT isnan(x))), 1.0) FROM rk) AS mean_correlation, (SELECT stddev_pop({k}) FROM tn) AS spread" for k in op.COMPONENTS
+        f"SELECT '{k}' AS component, {prior[k]}::DOUBLE AS prior, (SELECT avg(CAST({k}_known AS DOUBLE)) FROM tn) AS availability, (SELECT coalesce(list_avg(list_filter([{', '.join(f'abs(corr({k}, {o}))' for o in op.COMPONENTS if o != k)}], lambda x: NOT isnan(x))), 1.0) FROM rk) AS mean_correlation, (SELECT stddev_pop({k}) FROM tn) AS spread" for k in op.COMPONENTS
     )
-    return f"tn AS (SELECT month, hs_code, {', '.join(f'round({k}, 9) AS {k}, {k}_known' for k in op.COMPONENTS)} FROM ten), rk AS (SELECT {ranks} FROM tn), dw AS ({rows}), dr AS (SELECT *, 0.1 * (0.5 + availability) * (0.5 + least(greatest(1 - mean_correlation, 0.05), 1)) * (0.5 + least(greatest(spread / nullif(max(spread) OVER (), 0), 0.05), 1)) AS raw FROM dw)"
+    return f"tn AS (SELECT month, hs_code, {', '.join(f'round({k}, 9) AS {k}, {k}_known' for k in op.COMPONENTS)} FROM {source}), rk AS (SELECT {ranks} FROM tn), dw AS ({rows}), dr AS (SELECT *, prior * (0.5 + availability) * (0.5 + least(greatest(1 - mean_correlation, 0.05), 1)) * (0.5 + least(greatest(spread / nullif(max(spread) OVER (), 0), 0.05), 1)) AS raw FROM dw)"
 
 
-@query("trd_distribution_weights", f"WITH {TEN}, {_weights_sql()} SELECT component, round(availability, 5) AS availability, round(mean_correlation, 5) AS mean_correlation, round(spread, 5) AS spread, round(raw / sum(raw) OVER (), 5) AS share FROM dr")
+@query("trd_distribution_weights", f"WITH {TEN}, {weights_sql()} SELECT component, round(availability, 5) AS availability, round(mean_correlation, 5) AS mean_correlation, round(spread, 5) AS spread, round(raw / sum(raw) OVER (), 5) AS share FROM dr")
 def trd_weights(spark, sf):
     rows = ten(spark, sf).select(*(F.round(k, 9).alias(k) for k in op.COMPONENTS), *(f"{k}_known" for k in op.COMPONENTS))
     w = op.distribution_weights(rows, dict.fromkeys(op.COMPONENTS, 0.1))
