@@ -89,3 +89,9 @@ def last_wins(pairs: Sequence[tuple[Column, object]], default: object = None) ->
 def flags(pairs: Sequence[tuple[Column, str]]) -> Column:
     """Labels of the true conditions, in order, as an array."""
     return F.filter(F.array(*(F.when(c, F.lit(v)) for c, v in pairs)), lambda x: x.isNotNull())
+
+
+def correlation(x: str, y: str) -> Column:
+    """Pearson's r over rows where both are known; null where one of them doesn't vary, for which corr() fails in ANSI mode."""
+    a, b = F.when(F.col(y).isNotNull(), F.col(x)), F.when(F.col(x).isNotNull(), F.col(y))
+    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))

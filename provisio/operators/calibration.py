@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from provisio.functions import correlation
+
 MOMENTS = ("w", "x", "y", "xx", "xy")
 CONSTANT = "constant"
 
@@ -123,6 +125,6 @@ def paired_lags(pairs: DataFrame, up: DataFrame, down: DataFrame, most: int = 6,
     """
     u = pairs.join(monthly_changes(up, "upstream"), "upstream").withColumnRenamed("change", "u").withColumn("lag", F.explode(F.sequence(F.lit(0), F.lit(most)))).withColumn("month", F.expr("add_months(month, lag)"))
     met = u.join(monthly_changes(down, "downstream").withColumnRenamed("change", "d"), ["downstream", "month"])
-    each = met.groupBy("upstream", "downstream", "assumed_lag", "lag").agg(F.corr("u", "d").alias("r"), F.count("*").alias("n")).where((F.col("n") >= least) & F.col("r").isNotNull() & ~F.isnan("r"))
+    each = met.groupBy("upstream", "downstream", "assumed_lag", "lag").agg(correlation("u", "d").alias("r"), F.count("*").alias("n")).where((F.col("n") >= least) & F.col("r").isNotNull())
     best = each.groupBy("upstream", "downstream", "assumed_lag").agg(F.max_by(F.struct("lag", "r", "n"), F.struct(F.round(F.abs("r"), digits), -F.col("lag"))).alias("b"))
     return best.select("upstream", "downstream", "assumed_lag", F.col("b.lag").alias("best_lag"), F.col("b.r").alias("r"), F.col("b.n").alias("n"), (F.col("b.lag") - F.col("assumed_lag")).alias("gap"))

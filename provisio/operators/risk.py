@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from provisio.functions import clip, flags, geometric_mean, ladder, noisy_or, split_codes
+from provisio.functions import clip, correlation, flags, geometric_mean, ladder, noisy_or, split_codes
 
 DAY = "unix_date(date)"
 
@@ -59,7 +59,7 @@ def lag_scan(up: DataFrame, down: DataFrame, most: int = 6, least: int = 12) ->
     """up, down (month, value): correlation of monthly changes at lags 0..most; best is the largest in size."""
     change = lambda df, n: df.withColumn(n, F.try_divide(F.col("value"), F.lag("value").over(W.orderBy("month"))) - 1).select("month", n)
     u = change(up, "u").withColumn("lag", F.explode(F.sequence(F.lit(0), F.lit(most)))).withColumn("month", F.expr("add_months(month, lag)"))
-    return u.join(change(down, "d"), "month").where("u is not null and d is not null").groupBy("lag").agg(F.corr("u", "d").alias("r"), F.count("*").alias("n")).where(F.col("n") >= least)
+    return u.join(change(down, "d"), "month").where("u is not null and d is not null").groupBy("lag").agg(correlation("u", "d").alias("r"), F.count("*").alias("n")).where(F.col("n") >= least)
 
 
 def trade_totals(flows: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from provisio.functions import correlation
 from provisio.operators import analysis as op
 from provisio.operators.ordered import quantiles
 from provisio.operators import contracts as rel
@@ -38,7 +39,7 @@ def lt_periods(spark, sf):
     x = leads(spark, sf)
     half = lambda cond, n: op.lead_summary(x.where(cond), ["p_brand"]).where("n >= 5").select("p_brand", F.col("p50").alias(n))
     j = half("receipt < '1998-01-01'", "m1").join(half("receipt >= '1998-01-01'", "m2"), "p_brand")
-    return j.agg(F.count("*").alias("items"), F.round(F.corr("m1", "m2"), 5).alias("r"))
+    return j.agg(F.count("*").alias("items"), F.round(correlation("m1", "m2"), 5).alias("r"))
 
 
 @query("lt_restock_gaps", "WITH e AS (SELECT DISTINCT l_partkey, l_shipdate::DATE AS d FROM lineitem WHERE l_linenumber <= 3), g AS (SELECT l_partkey, d, d - lag(d) OVER (PARTITION BY l_partkey ORDER BY d) AS gap FROM e) SELECT l_partkey, count(*) AS n, median(gap) AS median_gap FROM g WHERE gap BETWEEN 1 AND 365 GROUP BY 1")
@@ -110,7 +111,7 @@ def lt_lagged(spark, sf):
     m = leads(spark, sf).groupBy(F.trunc("receipt", "MM").alias("month")).agg(F.avg("lead").alias("mean_lead"))
     r = b.table(spark, sf, "lineitem").groupBy(F.trunc("l_shipdate", "MM").alias("month")).agg(F.avg("l_tax").alias("risk"))
     shifted = r.withColumn("lag", F.explode(F.sequence(F.lit(0), F.lit(3)))).withColumn("month", F.expr("add_months(month, lag)"))
-    return m.join(shifted, "month").groupBy("lag").agg(F.round(F.corr("mean_lead", "risk"), 5).alias("r"), F.count("*").alias("n"))
+    return m.join(shifted, "month").groupBy("lag").agg(F.round(correlation("mean_lead", "risk"), 5).alias("r"), F.count("*").alias("n"))
 
 
 @query("lt_pooling_units", f"WITH {b.FACT}, g AS (SELECT CASE WHEN grouping(institution_code) = 0 AND grouping(item_code) = 0 THEN 'institution_item' WHEN grouping(item_code) = 0 THEN 'item' ELSE 'institution' END AS unit, institution_code, item_code, count(DISTINCT year_month) AS months, stddev_samp(consumption_qty) / nullif(avg(consumption_qty), 0) AS cv FROM fact GROUP BY GROUPING SETS ((institution_code, item_code), (item_code), (institution_code)))\nSELECT unit, count(*) AS groups, median(months) AS median_months, round(avg(CAST(months >= 12 AS DOUBLE)), 6) AS share_12, round(median(cv), 5) AS median_cv FROM g GROUP BY 1")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from provisio.functions import join_unique
+from provisio.functions import correlation, join_unique
 from provisio.operators import approval as op
 from provisio.operators import contracts as rel
 from provisio.operators import inventory as inv
@@ -232,9 +232,9 @@ def news_partial(spark, sf, urls=900):
     c = iop.normalized_news(iop.news(b.table(spark, sf, "documents"), urls), ["date"]).groupBy((F.month("date") - 1).alias("k")).agg(F.log1p(F.count("*")).alias("x"))
     m = fea.prices(spark, sf).where("factor = 'Brand#12'").groupBy((F.year("date") * 12 + F.month("date")).alias("mm"), (F.month("date") - 1).alias("k")).agg(F.stddev_samp("price").alias("v"))
     j = m.join(F.broadcast(c), "k").withColumn("y", F.lead("v").over(W.orderBy("mm"))).where("y is not null")
-    r = j.agg(F.corr("x", "y").alias("xy"), F.corr("x", "v").alias("xv"), F.corr("y", "v").alias("yv"))
+    r = j.agg(correlation("x", "y").alias("xy"), correlation("x", "v").alias("xv"), correlation("y", "v").alias("yv"))
     x, v, y = F.col("xy"), F.col("xv"), F.col("yv")
-    return r.select(F.round((x - v * y) / F.sqrt((1 - v * v) * (1 - y * y)), 5).alias("partial_r"))
+    return r.select(F.round(F.try_divide(x - v * y, F.sqrt((1 - v * v) * (1 - y * y))), 5).alias("partial_r"))
 
 
 pi.whole("news_volatility_partial", news_partial)

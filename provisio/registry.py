@@ -20,4 +20,4 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-from provisio.plans import analysis, approval, calibration, catalog, features, forecast, handoff, inventory, items, ledger, risk, selection, signals, sources  # noqa: E402, F401
+from provisio.plans import agreement, analysis, approval, calibration, catalog, features, forecast, handoff, inventory, items, ledger, risk, selection, signals, sources  # noqa: E402, F401
