@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from provisio.llm import decontam, html_extract, langid, media, pieces, pii, quality, simhash, urlfilter, warc
+from provisio.llm import decontam, filteraudit, fingerprint, html_extract, langid, media, pieces, pii, quality, search, simhash, urlfilter, warc
 
 QUERIES = {
     "op1_main_text": html_extract.query,
@@ -15,8 +15,13 @@ QUERIES = {
     "op8_language": langid.query,
     "op9_simhash_pigeonring": simhash.query,
     "op10_prefix_decontamination": decontam.query,
+    "op11_term_owner_search": search.query,
+    "op12_removal_ranks": filteraudit.query,
+    "op13_scaled_fingerprints": fingerprint.query,
 }
 SQL = {
     "op2_arc_to_warc": warc.SQL,
     "op10_prefix_decontamination": decontam.SQL,
+    "op11_term_owner_search": search.SQL,
+    "op12_removal_ranks": filteraudit.SQL,
 }
