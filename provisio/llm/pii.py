@@ -7,7 +7,7 @@ gives the same leftmost, non-overlapping matches, as every match holds its ancho
 of digits, which one scan finds).
 
 The method adds two kinds. address is scheme://authority, where a user part, a dotted name or an IPv4
-address stands; punctuation and brackets that close the sentence around it are left outside, a port counts up to
+address stands (a name without a dot, an IPv6 address or four numbers of which one is over 255 gives none); punctuation and brackets that close the sentence around it are left outside, a port counts up to
 65535. account is the value behind an identifier cue, taken by the cue's own parser: an IBAN (with or without spaces) whose
 check digits hold, a social security number of allowed groups, a passport or account number of 6 to 20 characters and
 5 digits at least, a login of letters and digits behind a sign of assignment, a key or token with
@@ -15,7 +15,7 @@ letters and digits of 8 characters at least behind one, or of 20 without. Cues a
 are no values.
 
 Defined results: null and empty texts have no spans. Offsets count code points, ends are exclusive. Ties
-in start sort by end. Repeated rows repeat, very long texts are read whole, an empty table gives an empty result.
+in start sort by end. Repeated rows repeat, very long texts are read whole and in time that follows their length, whatever they hold, an empty table gives an empty result.
 Only doc_id and text are read, whatever other columns there are.
 """
 
@@ -58,7 +58,7 @@ NUMBER = re.compile(r"[A-Za-z]{0,4}[0-9](?:-?[A-Za-z0-9]){4,20}(?![A-Za-z0-9])")
 WORD = re.compile(r"[A-Za-z0-9](?:[A-Za-z0-9_.+/-]*[A-Za-z0-9_+/=-])?(?![A-Za-z0-9])")
 DATE = re.compile(r"[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}[-/.][0-9]{1,2}[-/.][0-9]{2,4}")
 LETTER = re.compile(r"[A-Za-z]")
-HOST = re.compile(r"(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z][A-Za-z0-9-]*[A-Za-z0-9]\.?\Z|[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+\Z")
+HOST = re.compile(r"(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z][A-Za-z0-9-]*[A-Za-z0-9]\.?\Z|(?P<quad>[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+)\Z")
 NOT_DIGIT = re.compile(r"[^0-9]")
 
 LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -114,22 +114,40 @@ def _digits(text: str) -> Iterator[tuple[str, int, int]]:
                 yield "card", at, card
 
 
+def _at_most(digits: str, most: int) -> bool:
+    """Whether a decimal number of any length is at most most."""
+    return int(digits.lstrip("0")[: len(str(most)) + 1] or "0") <= most
+
+
+def _host(host: str) -> bool:
+    """A dotted name, or four numbers up to 255."""
+    m = HOST.match(host)
+    return bool(m) and (not m.group("quad") or all(_at_most(p, 255) for p in host.split(".")))
+
+
+def _closed(own: str) -> str:
+    """own without the punctuation and the closing brackets that belong to the sentence around it."""
+    end, over = len(own), {")": own.count(")") - own.count("("), "]": own.count("]") - own.count("[")}
+    while end and (own[end - 1] in ".,;:!?'*&" or over.get(own[end - 1], 0) > 0):
+        if own[end - 1] in over:
+            over[own[end - 1]] -= 1
+        end -= 1
+    return own[:end]
+
+
 def _address(text: str, at: int, after: int, floor: int) -> tuple[int, int] | None:
     """at: where the colon of :// stands, after: where the authority starts."""
     scheme, found = SCHEME.search(text[max(floor, at - 16) : at]), AUTHORITY.match(text, after)
     if not scheme or not found:
         return None
-    own = found.group()
-    while own and (own[-1] in ".,;:!?'*&" or (own[-1] == ")" and own.count(")") > own.count("(")) or (own[-1] == "]" and own.count("]") > own.count("["))):
-        own = own[:-1]
+    own = _closed(found.group())
     user, _, place = own.rpartition("@")
     host, colon, port = place.partition(":")
-    if colon and not (port.isascii() and port.isdigit() and int(port[:6]) <= 65535):
-        if user or not HOST.match(host):
+    if colon and not (port.isascii() and port.isdigit() and _at_most(port, 65535)):
+        if user or not _host(host):
             return None
         own = host  # what stands behind the colon is no port
-    ok = HOST.match(host) and (not host[-1].isdigit() or all(int(p[:4]) <= 255 for p in host.split(".")))
-    return (at - len(scheme.group()), after + len(own)) if ok or (user and host) else None
+    return (at - len(scheme.group()), after + len(own)) if _host(host) or (user and host) else None
 
 
 def iban_ok(code: str) -> bool:
@@ -137,8 +155,8 @@ def iban_ok(code: str) -> bool:
     return 15 <= len(code) <= 34 and int("".join(str(int(c, 36)) for c in code[4:] + code[:4])) % 97 == 1
 
 
-def _account(text: str, kind: str, after: int) -> tuple[int, int] | None:
-    """The value behind a cue that ends at after."""
+def _account(text: str, kind: str, after: int, barren: list[int]) -> tuple[int, int] | None:
+    """The value behind a cue that ends at after. barren: from where to where a run is known to have no digit, so that cues within one run don't read it again."""
     if text[after : after + 1].isalnum() or text[after : after + 1] == "_":
         return None
     gap = GAP.match(text, after)
@@ -154,16 +172,22 @@ def _account(text: str, kind: str, after: int) -> tuple[int, int] | None:
     if kind == "ssn":
         m = SSN.match(text, at)
         return m and m.span()
-    m = (NUMBER if kind == "number" else WORD).match(text, at)
+    if kind == "number":
+        m = NUMBER.match(text, at)
+        return m.span() if m and not DATE.fullmatch(m.group()) and sum(map(str.isdigit, m.group())) >= 5 and 6 <= m.end() - at <= 24 else None
+    if barren[0] <= at < barren[1] or (kind == "login" and not assigned):
+        return None
+    m = WORD.match(text, at)
     if not m or DATE.fullmatch(m.group()):
         return None
-    digits, size, lettered = len(DIGITS.findall(m.group())) and sum(map(str.isdigit, m.group())), m.end() - m.start(), bool(LETTER.search(m.group()))
-    if kind == "number":
-        ok = digits >= 5 and 6 <= size <= 24
-    elif kind == "login":
-        ok = assigned and digits and size >= 4
+    if not DIGITS.search(text, at, m.end()):
+        barren[:] = m.span()
+        return None
+    size, lettered = m.end() - at, bool(LETTER.search(text, at, m.end()))
+    if kind == "login":
+        ok = size >= 4
     else:
-        ok = digits and ((assigned and size >= 8) or (size >= 20 and lettered)) and (lettered or size >= 12)
+        ok = ((assigned and size >= 8) or (size >= 20 and lettered)) and (lettered or size >= 12)
     return m.span() if ok else None
 
 
@@ -173,6 +197,7 @@ def spans(text: str | None, anchors: ahocorasick.Automaton) -> list[tuple[str, i
         return []
     out = list(_digits(text))
     mail = phone = address = account = 0
+    barren = [0, 0]
     for last, (kind, size) in anchors.iter(lowered(text)):
         at = last - size + 1
         if kind == "@":
@@ -188,7 +213,7 @@ def spans(text: str | None, anchors: ahocorasick.Automaton) -> list[tuple[str, i
             if at >= address and (found := _address(text, at, last + 1, address)):
                 out.append(("address", *found))
                 address = found[1]
-        elif at >= account and not text[at - 1 : at].isalnum() and (found := _account(text, kind, last + 1)):
+        elif at >= account and not text[at - 1 : at].isalnum() and (found := _account(text, kind, last + 1, barren)):
             out.append(("account", *found))
             account = found[1]
     return sorted(out, key=lambda s: (KINDS.index(s[0]), s[1], s[2]))
