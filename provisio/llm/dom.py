@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
-TOKEN = re.compile(r"""<!--(?P<comment>.*?)(?:-->|\Z)|<(?P<close>/)?(?P<tag>[A-Za-z][^\s/>]*)(?P<attrs>(?>[^>"']++|"[^"]*"|'[^']*'|["'])*+)>|<[!?/][^>]*(?:>|\Z)""", re.S)
+NAME = re.compile(r"<(/)?([A-Za-z])")
+NAME_END = re.compile(r"[\s/>]|\Z")
+TAG_END = re.compile(r"""(?>[^>"']++|"[^"]*"|'[^']*'|["'])*+>""")  # a quote without its like is a character
 ATTR = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "xmp"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
@@ -21,30 +24,78 @@ def attributes(text: str) -> dict[str, str]:
     return {k.lower(): html.unescape(a or b or c or "") for k, a, b, c in ATTR.findall(text)} if text.strip(" /") else {}
 
 
+class Tags:
+    """Where the tags of one source end, in time that follows its length, whatever it leaves open."""
+
+    def __init__(self, source: str):
+        self.source, self.name_end = source, -1
+        self.at: list[int] | None = None  # once a tag has been met that never ends: where angle brackets and quotes stand,
+        self.end: list[int] = []  # and where a tag ends that goes on there, or -1
+
+    def name(self, start: int) -> int:
+        """Where the name that starts here ends. A name that goes on from where one was read ends where that did."""
+        if not start <= self.name_end:
+            self.name_end = NAME_END.search(self.source, start).start()
+        return self.name_end
+
+    def close(self, start: int) -> int:
+        """Behind the bracket that ends the tag whose attributes start here, or -1."""
+        if self.at is None:
+            m = TAG_END.match(self.source, start)
+            if m:
+                return m.end()
+            self._look_ahead()
+        k = bisect_left(self.at, start)
+        return self.end[k] if k < len(self.end) else -1
+
+    def _look_ahead(self) -> None:
+        self.at = [m.start() for m in re.finditer(r"""[>"']""", self.source)]
+        self.end = [-1] * len(self.at)
+        later = {'"': -1, "'": -1}  # of each quote, the next one
+        for k in range(len(self.at) - 1, -1, -1):
+            c = self.source[self.at[k]]
+            if c == ">":
+                self.end[k] = self.at[k] + 1
+                continue
+            go_on = later[c] + 1 if later[c] >= 0 else k + 1
+            self.end[k] = self.end[go_on] if go_on < len(self.at) else -1
+            later[c] = k
+
+
 def events(source: str) -> Iterator[tuple[str, str, dict[str, str] | str]]:
     """("open", tag, attributes), ("close", tag, ""), ("text", text, ""), in order. Raw elements keep their text whole."""
-    at, n = 0, len(source)
-    while at < n:
-        m = TOKEN.search(source, at)
-        if not m:
-            yield "text", source[at:], ""
-            return
-        if m.start() > at:
-            yield "text", source[at : m.start()], ""
-        at = m.end()
-        tag = m.group("tag")
-        if not tag:
+    at = look = 0  # text is pending from at on
+    n, tags = len(source), Tags(source)
+    while (start := source.find("<", look)) >= 0:
+        m, end, token = NAME.match(source, start), -1, None
+        if source.startswith("<!--", start):
+            end = source.find("-->", start + 4)
+            end = n if end < 0 else end + 3
+        elif m:
+            name_end = tags.name(m.start(2))
+            end = tags.close(name_end)
+            token = source[m.start(2) : name_end].lower() if end >= 0 else None
+        if end < 0 and source[start + 1 : start + 2] in ("!", "?", "/"):
+            end = source.find(">", start) + 1 or n
+        if end < 0:  # no markup
+            look = start + 1
+            continue
+        if start > at:
+            yield "text", source[at:start], ""
+        at = look = end
+        if not token:
             continue
-        tag = tag.lower()
-        if m.group("close"):
-            yield "close", tag, ""
+        if m.group(1):
+            yield "close", token, ""
             continue
-        yield "open", tag, attributes(m.group("attrs"))
-        if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}\b[^>]*(?:>|\Z)", re.I).search(source, at)
-            yield "text", source[at : end.start() if end else n], ""
-            yield "close", tag, ""
-            at = end.end() if end else n
+        yield "open", token, attributes(source[name_end : end - 1])
+        if token in RAW:
+            over = re.compile(rf"</{re.escape(token)}\b[^>]*(?:>|\Z)", re.I).search(source, at)
+            yield "text", source[at : over.start() if over else n], ""
+            yield "close", token, ""
+            at = look = over.end() if over else n
+    if at < n:
+        yield "text", source[at:], ""
 
 
 class Page:
@@ -54,11 +105,18 @@ class Page:
         self.tags, self.attrs, self.parent, self.depth = ["#root"], [{}], [-1], [0]
         self.flow: list[tuple[int, str | None]] = []  # (node, text), or (node, None) for the edge of a block
         stack = [0]
+        opened: dict[str, list[int]] = {}  # of each tag, where it stands on the stack
+        scopes: list[int] = []
 
         def pop_to(k: int) -> None:
             for node in reversed(stack[k:]):
-                if self.tags[node] not in INLINE:
+                tag = self.tags[node]
+                if tag not in INLINE:
                     self.flow.append((node, None))
+                if node:
+                    opened[tag].pop()
+                    if tag in SCOPE:
+                        scopes.pop()
             del stack[k:]
 
         for kind, what, more in events(source):
@@ -66,13 +124,9 @@ class Page:
                 self.flow.append((stack[-1], html.unescape(what) if self.tags[stack[-1]] not in ("script", "style") and "&" in what else what))
             elif kind == "open":
                 ends = ENDS.get(what, set()) | ({"p"} if what in BLOCKS_END_P else set())
-                for k in range(len(stack) - 1, 0, -1) if ends else ():
-                    tag = self.tags[stack[k]]
-                    if tag in ends:
-                        pop_to(k)
-                        break
-                    if tag in SCOPE:
-                        break
+                nearest = max((opened[t][-1] for t in ends if opened.get(t)), default=0)
+                if nearest and nearest >= (scopes[-1] if scopes else 0):
+                    pop_to(nearest)
                 node = len(self.tags)
                 self.tags.append(what)
                 self.attrs.append(more)
@@ -81,12 +135,12 @@ class Page:
                 if what not in INLINE:
                     self.flow.append((node, None))
                 if what not in VOID:
+                    opened.setdefault(what, []).append(len(stack))
+                    if what in SCOPE:
+                        scopes.append(len(stack))
                     stack.append(node)
-            else:
-                for k in range(len(stack) - 1, 0, -1):
-                    if self.tags[stack[k]] == what:
-                        pop_to(k)
-                        break
+            elif opened.get(what):
+                pop_to(opened[what][-1])
         pop_to(0)
 
     def text(self, keep) -> str:
