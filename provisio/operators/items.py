@@ -10,8 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from provisio.operators.ordered import quantiles
-from provisio.functions import first_filled, flags, geometric_mean, join_unique, ladder, single_or_blank, split_codes, stable_id
+from provisio.functions import first_filled, flags, join_unique, ladder, single_or_blank, split_codes, stable_id
 
 
 def _nfkc(form: str):
@@ -149,19 +148,9 @@ def country_weights(flows: DataFrame, group: str, country: str, value: str, reac
 
 # ---- news
 
-def _word(*words: str) -> str:
-    """A pattern for whole words of lower-case text; letters are a-z and à-ÿ on every engine."""
-    return f"(^|[^a-zà-ÿ])({'|'.join(words)})([^a-zà-ÿ]|$)"
-
-
-COUNTRIES = (("us", _word("the")), ("de", _word("der")), ("fr", _word("le")), ("es", _word("el")))
-EVENTS = (("demand_increase", _word("unter", "have")), ("supply_decrease", _word("she", "nicht", "dans", "para")), ("price", _word("with", "mit", "avec")))
-
-
-def news(docs: DataFrame, urls: int | None = 900) -> DataFrame:
-    """Documents as articles: the first 120 characters are the title. A source has so many urls, as the queries' SQL has it, or with None one for each doc_id."""
-    number = F.col("doc_id") if urls is None else F.col("doc_id") % urls
-    return docs.select(F.col("doc_id").alias("article_id"), F.expr("date_add(date'2024-01-01', cast(doc_id % 366 as int))").alias("date"), F.substring("text", 1, 120).alias("title"), F.expr("substring(text, 121)").alias("summary"), "source", F.col("lang").alias("country"), F.concat(F.lit("http://"), "source", F.lit(".example/"), number).alias("url"))
+def news(docs: DataFrame) -> DataFrame:
+    """Documents as articles: the first 120 characters are the title, each has a url of its own."""
+    return docs.select(F.col("doc_id").alias("article_id"), F.expr("date_add(date'2024-01-01', cast(doc_id % 366 as int))").alias("date"), F.substring("text", 1, 120).alias("title"), "text", "source", F.concat(F.lit("http://"), "source", F.lit(".example/"), F.col("doc_id")).alias("url"))
 
 
 def normalized_news(rows: DataFrame, keep: Sequence[str] | None = None) -> DataFrame:
@@ -172,45 +161,4 @@ def normalized_news(rows: DataFrame, keep: Sequence[str] | None = None) -> DataF
     return rows.groupBy(ident.alias("ident")).agg(first.alias("first")).select("first.*")
 
 
-def analysed(rows: DataFrame) -> DataFrame:
-    text = F.lower(F.concat_ws(" ", "title", "summary"))
-    out = rows.withColumn("text", text)
-    event = ladder([(F.col("text").rlike(p), e) for e, p in EVENTS], "none")
-    return out.withColumns({"event_type": event, "event_country": ladder([(F.col("text").rlike(p), k) for k, p in COUNTRIES], "unknown"), "severity": ladder([(F.length("text") > 3000, 0.9), (F.length("text") > 1200, 0.7)], 0.4)})
-
-
-def novelty(rows: DataFrame) -> DataFrame:
-    """1 over the root of how many articles tell of the same event on the same day."""
-    key = F.concat_ws("|", "event_type", "event_country", F.col("date").cast("string"))
-    rows = rows.withColumn("cluster_id", key)
-    n = rows.groupBy("cluster_id").agg(F.count("*").alias("__n"))  # counted and joined back: a cluster that many articles share needn't meet in one task
-    return rows.join(n, "cluster_id").withColumn("novelty", 1 / F.sqrt("__n")).drop("__n")
-
-
-def recency(date: Column, half_life: float = 14.0) -> Column:
-    """Decay by the age at the month's end."""
-    return F.exp(-F.ln(F.lit(2.0)) * F.datediff(F.last_day(date), date) / half_life)
-
-
-def article_scores(rows: DataFrame, mapping: DataFrame) -> DataFrame:
-    """Articles meet the items of their country's mapping (country, stock_item_key, weight), the best weight of each; scores are geometric means."""
-    best = mapping.groupBy("country", "stock_item_key").agg(F.max("weight").alias("weight"))
-    j = rows.where(F.col("event_type").isin("demand_increase", "supply_decrease")).join(best, "country")
-    return j.withColumn("score", geometric_mean([F.col("severity"), F.col("novelty"), recency(F.col("date")), F.col("weight")]))
-
-
-def saturated(scored: DataFrame, q: float = 0.9) -> DataFrame:
-    """Monthly sums by item and event, 1 - exp(-sum / scale), the scale being the event's q-quantile of positive sums; events become columns."""
-    s = scored.groupBy(F.trunc("date", "MM").alias("month"), "stock_item_key", "event_type").agg(F.sum("score").alias("s"))
-    scale = quantiles(s.where("s > 0"), ["event_type"], "s", {"scale": q})
-    r = s.join(F.broadcast(scale), "event_type").withColumn("risk", 1 - F.exp(-F.col("s") / F.col("scale")))
-    return r.groupBy("month", "stock_item_key").pivot("event_type", ["demand_increase", "supply_decrease"]).agg(F.max("risk")).fillna(0.0, ["demand_increase", "supply_decrease"])
-
-
-def broadcast_sentinel(pivot: DataFrame, key: str, sentinel: str, columns: Sequence[str]) -> DataFrame:
-    """The sentinel's value of a month is a floor for all other items."""
-    s = pivot.where(F.col(key) == sentinel).select("month", *(F.col(c).alias(f"__{c}") for c in columns))
-    return pivot.where(F.col(key) != sentinel).join(F.broadcast(s), "month", "left").withColumns({c: F.greatest(F.col(c), F.coalesce(F.col(f"__{c}"), F.lit(0.0))) for c in columns}).drop(*(f"__{c}" for c in columns))
-
-
 __all__ = ["join_unique"]

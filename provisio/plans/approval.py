@@ -221,25 +221,6 @@ def trd_impact(spark, sf):
     return g.join(high, "month", "left").select("month", "exposed", "total_delta", F.round("delta_p90", 5).alias("delta_p90"))
 
 
-@query("news_volatility_partial", f"""WITH {pi.NEWS}, {fea.PRICES}, c AS (SELECT (month(date) - 1) AS k, ln(1 + count(*)) AS x FROM nn GROUP BY 1), m AS (SELECT (year(date) * 12 + month(date)) AS mm, month(date) - 1 AS k, stddev_samp(price) AS v FROM prices WHERE factor = 'Brand#12' GROUP BY 1, 2),
-j AS (SELECT x, v, lead(v) OVER (ORDER BY mm) AS y FROM m JOIN c USING (k)), r AS (SELECT corr(x, y) AS xy, corr(x, v) AS xv, corr(y, v) AS yv FROM j WHERE y IS NOT NULL)
-SELECT round((xy - xv * yv) / sqrt((1 - xv * xv) * (1 - yv * yv)), 5) AS partial_r FROM r""")
-def news_partial(spark, sf, urls=900):
-    from pyspark.sql import Window as W
-
-    from provisio.operators import items as iop
-
-    c = iop.normalized_news(iop.news(b.table(spark, sf, "documents"), urls), ["date"]).groupBy((F.month("date") - 1).alias("k")).agg(F.log1p(F.count("*")).alias("x"))
-    m = fea.prices(spark, sf).where("factor = 'Brand#12'").groupBy((F.year("date") * 12 + F.month("date")).alias("mm"), (F.month("date") - 1).alias("k")).agg(F.stddev_samp("price").alias("v"))
-    j = m.join(F.broadcast(c), "k").withColumn("y", F.lead("v").over(W.orderBy("mm"))).where("y is not null")
-    r = j.agg(correlation("x", "y").alias("xy"), correlation("x", "v").alias("xv"), correlation("y", "v").alias("yv"))
-    x, v, y = F.col("xy"), F.col("xv"), F.col("yv")
-    return r.select(F.round(F.try_divide(x - v * y, F.sqrt((1 - v * v) * (1 - y * y))), 5).alias("partial_r"))
-
-
-pi.whole("news_volatility_partial", news_partial)
-
-
 @query("lt_change_order", f"WITH {lt.LEAD}, d AS (SELECT l_orderkey, max(l_linenumber) > 4 AS changed, max(lead) AS lead FROM le GROUP BY 1) SELECT changed, count(*) AS n, median(lead) AS p50, round(quantile_cont(lead, 0.9), 5) AS p90 FROM d GROUP BY 1")
 def lt_change(spark, sf):
     d = lt.leads(spark, sf).groupBy("l_orderkey").agg((F.max("l_linenumber") > 4).alias("changed"), F.max("lead").alias("lead"))

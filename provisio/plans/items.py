@@ -272,74 +272,6 @@ def mat_diff(spark, sf):
 # ---- news
 
 
-
-def _ladder(rules, default):
-    return "CASE " + " ".join(f"WHEN regexp_matches(text, '{p}') THEN '{v}'" for v, p in rules) + f" ELSE '{default}' END"
-
-
-NEWS = """nw AS (SELECT doc_id AS article_id, DATE '2024-01-01' + CAST(doc_id % 366 AS INTEGER) AS date, text[:120] AS title, text[121:] AS summary, source, lang AS country, 'http://' || source || '.example/' || (doc_id % 900) AS url FROM documents),
-nn AS (SELECT * FROM nw WHERE trim(title) <> '' QUALIFY row_number() OVER (PARTITION BY url ORDER BY date, article_id) = 1),
-nt AS (SELECT *, lower(title || ' ' || summary) AS text FROM nn),
-na AS (SELECT *, """ + _ladder(op.EVENTS, "none") + """ AS event_type, """ + _ladder(op.COUNTRIES, "unknown") + """ AS event_country, CASE WHEN length(text) > 3000 THEN 0.9 WHEN length(text) > 1200 THEN 0.7 ELSE 0.4 END AS severity FROM nt),
-nv AS (SELECT *, 1 / sqrt(count(*) OVER (PARTITION BY event_type, event_country, date)) AS novelty, exp(-ln(2) * (last_day(date) - date) / 14) AS recency FROM na),
-mp AS (SELECT DISTINCT lang AS country, 'ITEM-' || (doc_id % 5) AS stock_item_key, (1 + doc_id % 5) / 5.0 AS weight FROM documents),
-sc AS (SELECT *, exp((ln(severity) + ln(novelty) + ln(recency) + ln(weight)) / 4) AS score FROM nv JOIN mp USING (country) WHERE event_type IN ('demand_increase', 'supply_decrease')),
-sm AS (SELECT date_trunc('month', date)::DATE AS month, stock_item_key, event_type, sum(score) AS s FROM sc GROUP BY 1, 2, 3),
-sk AS (SELECT event_type, quantile_cont(s, 0.9) AS scale FROM sm WHERE s > 0 GROUP BY 1),
-sv AS (SELECT month, stock_item_key, coalesce(max(1 - exp(-s / scale)) FILTER (WHERE event_type = 'demand_increase'), 0) AS demand_increase, coalesce(max(1 - exp(-s / scale)) FILTER (WHERE event_type = 'supply_decrease'), 0) AS supply_decrease FROM sm JOIN sk USING (event_type) GROUP BY 1, 2)"""
-
-
-def articles(spark, sf, urls=900):
-    """Texts are judged before the shuffle, which then carries none."""
-    rows = op.analysed(op.news(b.table(spark, sf, "documents"), urls))
-    return op.novelty(op.normalized_news(rows, ["article_id", "date", "country", "event_type", "event_country", "severity"]))
-
-
-def mapping(spark, sf):
-    return b.table(spark, sf, "documents").select(F.col("lang").alias("country"), F.concat(F.lit("ITEM-"), F.col("doc_id") % 5).alias("stock_item_key"), ((1 + F.col("doc_id") % 5) / 5.0).alias("weight")).distinct()
-
-
-@query("src_news_normalise", f"WITH {NEWS} SELECT article_id, date, url, length(title) AS title_chars FROM nn")
-def src_news(spark, sf, urls=900):
-    rows = op.news(b.table(spark, sf, "documents"), urls).withColumn("title_chars", F.length("title").cast("long"))
-    return op.normalized_news(rows, ["article_id", "date", "url", "title_chars"])
-
-
-@query("news_event_classifier", f"WITH {NEWS} SELECT article_id, event_type, event_country, CAST(severity AS DOUBLE) AS severity FROM na")
-def news_events(spark, sf, urls=900):
-    return articles(spark, sf, urls).select("article_id", "event_type", "event_country", "severity")
-
-
-@query("news_novelty_recency", f"WITH {NEWS} SELECT article_id, {S('novelty', 'recency')} FROM nv")
-def news_novelty(spark, sf, urls=900):
-    return articles(spark, sf, urls).select("article_id", *R("novelty"), F.round(op.recency(F.col("date")), 5).alias("recency"))
-
-
-@query("news_article_scores", f"WITH {NEWS} SELECT article_id, stock_item_key, {S('score')} FROM sc")
-def news_scores(spark, sf, urls=900):
-    return op.article_scores(articles(spark, sf, urls), mapping(spark, sf)).select("article_id", "stock_item_key", *R("score"))
-
-
-@query("news_saturating_monthly", f"WITH {NEWS} SELECT month, stock_item_key, {S('demand_increase', 'supply_decrease')} FROM sv")
-def news_monthly(spark, sf, urls=900):
-    return op.saturated(op.article_scores(articles(spark, sf, urls), mapping(spark, sf))).select("month", "stock_item_key", *R("demand_increase", "supply_decrease"))
-
-
-@query("news_supply_wide", f"WITH {NEWS} SELECT a.month, a.stock_item_key, round(greatest(a.supply_decrease, coalesce(z.supply_decrease, 0)), 5) AS supply_decrease FROM sv a LEFT JOIN sv z ON z.month = a.month AND z.stock_item_key = 'ITEM-0' WHERE a.stock_item_key <> 'ITEM-0'")
-def news_wide(spark, sf, urls=900):
-    m = op.saturated(op.article_scores(articles(spark, sf, urls), mapping(spark, sf)))
-    return op.broadcast_sentinel(m, "stock_item_key", "ITEM-0", ["supply_decrease"]).select("month", "stock_item_key", *R("supply_decrease"))
-
-
-def whole(name, run):
-    """The same query over every document: the url is made of the whole doc_id, so that only true repeats go."""
-    query(f"{name}_whole", SQL[name].replace("(doc_id % 900)", "doc_id"))(lambda spark, sf: run(spark, sf, None))
-
-
-for _name, _run in (("src_news_normalise", src_news), ("news_event_classifier", news_events), ("news_novelty_recency", news_novelty), ("news_article_scores", news_scores), ("news_saturating_monthly", news_monthly), ("news_supply_wide", news_wide)):
-    whole(_name, _run)
-
-
 @query("news_relevance_filter", "SELECT doc_id, regexp_matches(lower(text), 'license|token|theand') AS relevant FROM documents")
 def news_relevant(spark, sf):
     return b.table(spark, sf, "documents").select("doc_id", F.lower("text").rlike("license|token|theand").alias("relevant"))

@@ -30,6 +30,13 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df as a Parquet table in the shared folder, so that what reads it more than once doesn't make it again."""
+    path = new_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def scan_pipe(spark: SparkSession, path: str, columns: Sequence[str], optional: Sequence[str] = (), header_map: dict[str, str] | None = None) -> DataFrame:
     """Quote-aware pipe-delimited text with a header; newlines may stand inside quotes; a ragged row is an error.
     Headers are renamed; missing required columns raise, missing optional ones are null. Land it as Parquet once: such a file is one task."""
