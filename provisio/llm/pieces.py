@@ -238,19 +238,21 @@ class Lattice:
 
     @staticmethod
     def _long(start, end, logw, offset, which, base, share) -> None:
+        """Chunks whose weights would leave the range of floats, in logarithms. Edges in order of their end; plain numbers, as a node has few."""
         which = which[np.lexsort((offset[which], base[which]))]
-        alpha: dict[int, float] = {}
-        at = 0
-        while at < len(which):
-            stop, e = at, int(end[which[at]])
-            while stop < len(which) and end[which[stop]] == e:
-                stop += 1
-            own = which[at:stop]
-            terms = np.array([alpha.get(int(s), 0.0 if s == base[k] else -np.inf) for s, k in zip(start[own], own, strict=True)]) + logw[own]
-            top = terms.max()
-            alpha[e] = top + math.log(np.exp(terms - top).sum())
-            share[own] = np.exp(terms - alpha[e])
-            at = stop
+        ends = end[which]
+        cuts = [0, *(np.flatnonzero(ends[1:] != ends[:-1]) + 1).tolist(), len(which)]
+        starts, origins, weights, ends = start[which].tolist(), base[which].tolist(), logw[which].tolist(), ends.tolist()
+        alpha = dict.fromkeys(origins, 0.0)
+        out = [0.0] * len(which)
+        exp, log, never = math.exp, math.log, -math.inf
+        for a, b in zip(cuts, cuts[1:]):
+            terms = [alpha.get(s, never) + w for s, w in zip(starts[a:b], weights[a:b], strict=True)]
+            top = max(terms)
+            whole = top + log(sum([exp(t - top) for t in terms]))
+            alpha[ends[a]] = whole
+            out[a:b] = [exp(t - whole) for t in terms]
+        share[which] = out
 
     def encode(self, texts: list[str], keys: np.ndarray, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
         """(ids, how many for each text)."""

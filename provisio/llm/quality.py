@@ -1,6 +1,6 @@
 """Quality by hierarchical empirical Bayes.
 
-A logistic model, fitted on a bounded sample of labelled documents, gives each document's own evidence.
+A logistic model, fitted on a sample of labelled documents that is bounded in rows (LABELLED) and bytes (FIT_BYTES), gives each document's own evidence.
 Hosts and paths get posteriors by grouped sums of that evidence over all documents: the global rate is
 the prior of hosts, a host's posterior mean is the prior of its paths, and both priors have a strength
 (in documents) estimated from the spread of the groups by the method of moments. Sparse sites thus stay near
@@ -29,11 +29,13 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from provisio.llm.common import Sent, table, written
 
-LABELLED = 20_000  # the bound of the labelled sample
+LABELLED = 20_000  # the bound of the labelled sample: in documents
+FIT_BYTES = 1 << 28  # and in bytes of their words
 BUCKETS = 1 << 16
 SITES_BROADCAST = 100_000
 SALTS = 64
@@ -149,8 +151,8 @@ class Model:
         return float(np.clip(np.dot(self.beta, form) + self.words[own].sum(), -20, 20))
 
 
-def fitted(docs: DataFrame, labels: DataFrame, heads: tuple[str, ...] = ("quality", "toxic"), most: int = LABELLED) -> list[Model]:
-    """A model for each label column, on the most labelled documents of smallest hash (of one doc_id, those of smallest text digest)."""
+def fitted(docs: DataFrame, labels: DataFrame, heads: tuple[str, ...] = ("quality", "toxic"), most: int = LABELLED, most_bytes: int = FIT_BYTES) -> list[Model]:
+    """A model for each label column, on the most labelled documents of smallest hash (of one doc_id, those of smallest text digest), as far as they have most_bytes at most."""
     own = [F.col(h).cast("double").alias(h) for h in heads]
     labels = labels.select(F.col("doc_id").alias("__px_id"), *own).dropna().groupBy("__px_id").agg(*(F.round(F.avg(h)).alias(h) for h in heads))
     sample = labels.orderBy(F.xxhash64("__px_id"), "__px_id").limit(most)
@@ -163,7 +165,9 @@ def fitted(docs: DataFrame, labels: DataFrame, heads: tuple[str, ...] = ("qualit
             yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array([f for f, _ in found], pa.list_(pa.float64())), pa.array([np.sort(w).astype("<u2").tobytes() for _, w in found], pa.binary()), *b.columns[3:]], ["h", "d", "form", "words", *heads])
 
     found = rows.mapInArrow(bags, f"h long, d string, form array<double>, words binary, {', '.join(f'{h} double' for h in heads)}")
-    got = found.orderBy("h", "d", *heads).limit(most).drop("h", "d").toArrow()  # at most LABELLED rows of 2 * BUCKETS bytes
+    order = [F.col(c) for c in ("h", "d", *heads)]
+    size = F.sum(F.length("words").cast("long") + 8 * len(DENSE)).over(W.orderBy(*order).rowsBetween(W.unboundedPreceding, 0))  # over at most LABELLED rows
+    got = found.orderBy(*order).limit(most).withColumn("__px_size", size).where(F.col("__px_size") <= most_bytes).orderBy(*order).drop("h", "d", "__px_size").toArrow()
     n = got.num_rows
     forms = got.column("form").combine_chunks().flatten().to_numpy().reshape(n, -1) if n else np.zeros((0, len(DENSE)))
     bags_ = got.column("words").to_pylist()

@@ -5,9 +5,10 @@ from __future__ import annotations
 import random
 import time
 
+import numpy as np
 import pytest
 
-from provisio.llm import dom, pii
+from provisio.llm import dom, pieces, pii
 
 
 def addresses(text, anchors):
@@ -71,3 +72,20 @@ def test_tags_end_outside_quotes():
     ):
         got = list(dom.events(source))
         assert [e[:2] for e in got] == [e[:2] for e in want], source
+
+
+def test_a_long_text_without_a_space_takes_linear_time():
+    lattice, rng = pieces.Lattice.load(pieces.default_model()), random.Random(2)
+    line = "".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/") for _ in range(400_000))
+    began = time.process_time()
+    ids, n = lattice.encode([line], np.array([7]))
+    assert time.process_time() - began < 16 and lattice.decode(ids) == line
+
+
+def test_the_labelled_sample_is_bounded_in_bytes(spark):
+    from provisio.llm import quality
+
+    docs = spark.createDataFrame([(k, f"good words number{k} here" if k % 2 else f"bad thing{k} !! # $") for k in range(60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2, 0) for k in range(60)], "doc_id long, quality int, toxic int")
+    whole, same, few, none = (quality.fitted(docs, labels, ("quality",), most_bytes=b)[0] for b in (1 << 28, 60 * (2 * 5 + 72), 500, 0))
+    assert np.array_equal(whole.beta, same.beta) and not np.array_equal(whole.beta, few.beta) and none.words.sum() == 0
