@@ -14,7 +14,7 @@ import pytest
 from provisio.registry import QUERIES, SQL
 
 SF = "/root/testdata/sf0.001"
-SKIP = {"for_boosted_trees", "for_tweedie", "lt_long_lead_classifier", "for_hyper_grid", "for_batch_scoring"}  # trained models: tests of their own
+SKIP = {"for_fold_training", "for_tuned_parameters", "for_history_weight_models", "for_boosted_trees", "for_tweedie", "lt_long_lead_classifier", "for_hyper_grid", "for_batch_scoring"}  # trained models: tests of their own
 
 
 @pytest.fixture(scope="module")
