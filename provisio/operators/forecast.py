@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from provisio.operators.ordered import higher_quantiles
 from provisio.functions import ladder
+from provisio.operators.ordered import running
+from provisio.sources import stored
 
 BASELINES = {"last_month_pred": "demand_lag_1", "rolling_mean_3_pred": "rolling_mean_3", "rolling_median_3_pred": "rolling_median_3", "rolling_mean_6_pred": "rolling_mean_6", "same_month_last_year_pred": "demand_lag_12", "expanding_mean_pred": "expanding_mean"}
 METRICS = ("n", "actual_sum", "pred_sum", "mae", "rmse", "rmsle", "mape", "smape", "wape", "bias", "bias_pct", "zero_rate")
@@ -115,12 +116,22 @@ def higher_quantile(c: Column, q: float) -> Column:
 
 
 def pooled_buffer(errors: DataFrame, value: str, levels: Sequence[Sequence[str]], q: float, least: int = 200) -> DataFrame:
-    """errors with a buffer from its finest group of at least `least` rows, else the coarser, else all; never negative."""
-    out = errors
-    picks = []
+    """errors with a buffer from its finest group of at least `least` rows, else the coarser, else all; never negative.
+
+    errors should be written, as they are read twice. The values of all levels are counted in one pass with grouping sets, and one range partitioning ranks them all.
+    """
+    every = list(dict.fromkeys(k for level in levels for k in level))
+    known = errors.where(F.col(value).isNotNull())
+    counts = known.groupBy(*every, value).agg(F.count("*").alias("__n"))  # combined before it is dealt out to the levels
+    of_level = F.explode(F.array(*(F.struct(F.lit(k).alias("__level"), *(F.col(x) if x in level else F.lit(None).cast(known.schema[x].dataType).alias(x) for x in every)) for k, level in enumerate(levels))))
+    dealt = counts.select(of_level.alias("g"), value, "__n").select("g.*", value, "__n").groupBy("__level", *every, value).agg(F.sum("__n").alias("__n"))
+    run = running(dealt, "__n", [F.col(value)], ["__level", *every])
+    found = run.where(F.col("__cum") >= F.ceil(F.lit(q) * (F.col("__all") - 1)) + 1).groupBy("__level", *every).agg(F.min(value).alias("buffer"), F.max("__all").alias("n"))
+    found = stored(found, "pooled-buffers")
+    out, picks = errors, []
     for k, level in enumerate(levels):
-        t = higher_quantiles(errors, level, value, q).withColumnRenamed("buffer", f"b{k}").withColumnRenamed("n", f"n{k}")
-        out = out.join(t, list(level), "left") if level else out.join(F.broadcast(t), F.lit(True))
+        t = found.where(F.col("__level") == k).select(*level, F.col("buffer").alias(f"b{k}"), F.col("n").alias(f"n{k}"))
+        out = out.join(t, list(level), "left") if level else out.join(F.broadcast(t), F.lit(True), "left")  # one row
         picks.append(F.when(F.col(f"n{k}") >= least, F.col(f"b{k}")) if level else F.col(f"b{k}"))
     return out.withColumn("buffer", F.greatest(F.coalesce(*picks), F.lit(0.0))).drop(*(c for k in range(len(levels)) for c in (f"b{k}", f"n{k}")))
 

@@ -8,6 +8,7 @@ from provisio.operators import forecast as op
 from provisio.plans import bindings as b
 from provisio.plans import features as fea
 from provisio.registry import query
+from provisio.sources import stored
 
 IDS, ID = fea.IDS, fea.ID
 PREDS = list(op.BASELINES)
@@ -36,6 +37,16 @@ def patterns(spark, sf):
     return op.demand_patterns(base(spark, sf).where("year_month < '2000-07-01'"), fea.KEY, "demand")
 
 
+def kept(spark, sf):
+    """The series with predictions and split, written: what needs them more than once reads them here."""
+    return stored(base(spark, sf).select(*IDS, "demand", "split", "target_next_month", *PREDS), "forecast-base")
+
+
+def with_patterns(rows):
+    """Rows of kept() with their series' demand pattern."""
+    return rows.join(op.demand_patterns(rows.where("year_month < '2000-07-01'"), fea.KEY, "demand").select(*fea.KEY, "demand_pattern"), fea.KEY)
+
+
 def rounded(df):
     return df.withColumns({m: F.round(m, 5) for m in op.METRICS if m != "n"})
 
@@ -78,10 +89,8 @@ NAMES = ["last_month_pred", "rolling_mean_6_pred", "expanding_mean_pred"]
 GRID = "grid AS (SELECT a / 20.0::DOUBLE AS last_month_pred, c / 20.0::DOUBLE AS rolling_mean_6_pred, (20 - a - c) / 20.0::DOUBLE AS expanding_mean_pred FROM range(21) t(a), range(21) u(c) WHERE a + c <= 20)"
 
 
-def best(spark, sf, group):
-    rows = labelled(spark, sf).where("split = 'validation'")
-    if group:
-        rows = rows.join(patterns(spark, sf).select(*fea.KEY, "demand_pattern"), fea.KEY)
+def best(spark, rows, group):
+    rows = rows.where("split = 'validation' and target_next_month is not null")
     return op.best_blend(op.blend_scores(rows, NAMES, "target_next_month", group, op.weight_grid(spark, NAMES)), NAMES, group)
 
 
@@ -106,22 +115,22 @@ def for_grid(spark, sf):
 
 @query("for_blend_selection", f"WITH {BASE}, {GRID}, {blend_sql('', VALID)} SELECT {', '.join(f'round({n}, 4) AS {n}' for n in NAMES)}, round(wape, 4) AS wape FROM best")
 def for_blend(spark, sf):
-    return best(spark, sf, []).select(*(F.round(n, 4).alias(n) for n in NAMES), F.round("wape", 4).alias("wape"))
+    return best(spark, base(spark, sf), []).select(*(F.round(n, 4).alias(n) for n in NAMES), F.round("wape", 4).alias("wape"))
 
 
 @query("for_pattern_blend_applied", f"""WITH {PAT}, {GRID}, {blend_sql('demand_pattern', VALID.replace('FROM base', 'FROM base JOIN (SELECT institution_code, item_code, demand_pattern FROM pat) q USING (institution_code, item_code)'))}
 SELECT year_month, institution_code, item_code, round(greatest(coalesce(w.last_month_pred, 1) * r.last_month_pred + coalesce(w.rolling_mean_6_pred, 0) * r.rolling_mean_6_pred + coalesce(w.expanding_mean_pred, 0) * r.expanding_mean_pred, 0), 4) AS ensemble_pred
 FROM base r JOIN (SELECT institution_code, item_code, demand_pattern FROM pat) q USING (institution_code, item_code) LEFT JOIN best w USING (demand_pattern) WHERE split = 'test'""")
 def for_pattern_blend(spark, sf):
-    rows = base(spark, sf).where("split = 'test'").join(patterns(spark, sf).select(*fea.KEY, "demand_pattern"), fea.KEY)
-    return op.apply_weights(rows, best(spark, sf, ["demand_pattern"]), ["demand_pattern"], NAMES, [1, 0, 0]).select(*IDS, F.round("ensemble_pred", 4).alias("ensemble_pred"))
+    rows = with_patterns(kept(spark, sf))
+    return op.apply_weights(rows.where("split = 'test'"), best(spark, rows, ["demand_pattern"]), ["demand_pattern"], NAMES, [1, 0, 0]).select(*IDS, F.round("ensemble_pred", 4).alias("ensemble_pred"))
 
 
 @query("for_pattern_router", f"""WITH {PAT}, l AS ({' UNION ALL '.join(f"SELECT demand_pattern, '{p}' AS model, target_next_month AS y, {p} AS p FROM base JOIN (SELECT institution_code, item_code, demand_pattern FROM pat) q USING (institution_code, item_code) WHERE split = 'validation' AND target_next_month IS NOT NULL" for p in PREDS)}),
 m AS (SELECT demand_pattern, model, 100 * sum(abs(p - y)) / nullif(sum(abs(y)), 0) AS wape FROM l GROUP BY 1, 2)
 SELECT demand_pattern, replace(model, '_pred', '') AS model, round(wape, 4) AS wape FROM m QUALIFY row_number() OVER (PARTITION BY demand_pattern ORDER BY round(wape, 6) NULLS LAST, model) = 1""")
 def for_router(spark, sf):
-    rows = labelled(spark, sf).where("split = 'validation'").join(patterns(spark, sf).select(*fea.KEY, "demand_pattern"), fea.KEY)
+    rows = with_patterns(kept(spark, sf)).where("split = 'validation' and target_next_month is not null")
     long = op.long_predictions(rows, PREDS, ["demand_pattern", "target_next_month"])
     y, p = F.col("target_next_month"), F.col("pred")
     m = long.groupBy("demand_pattern", "model").agg((100 * F.try_divide(F.sum(F.abs(p - y)), F.sum(F.abs(y)))).alias("wape"))
@@ -139,8 +148,8 @@ g1 AS (SELECT institution_code, demand_pattern, list_sort(list(round(err, 6))) A
 SELECT year_month, institution_code, item_code, round(greatest(coalesce(CASE WHEN len(g1.a) >= 100 THEN g1.a[CAST(ceil(0.9 * (len(g1.a) - 1)) AS INTEGER) + 1] END, CASE WHEN len(g2.a) >= 100 THEN g2.a[CAST(ceil(0.9 * (len(g2.a) - 1)) AS INTEGER) + 1] END, g3.a[CAST(ceil(0.9 * (len(g3.a) - 1)) AS INTEGER) + 1]), 0), 5) AS buffer
 FROM e LEFT JOIN g1 USING (institution_code, demand_pattern) LEFT JOIN g2 USING (demand_pattern) CROSS JOIN g3""")
 def for_buffer(spark, sf):
-    rows = labelled(spark, sf).where("split = 'validation'").join(patterns(spark, sf).select(*fea.KEY, "demand_pattern"), fea.KEY)
-    rows = rows.withColumn("err", F.round(F.col("target_next_month") - F.col("rolling_mean_6_pred"), 6))
+    rows = with_patterns(kept(spark, sf)).where("split = 'validation' and target_next_month is not null")
+    rows = stored(rows.select(*IDS, "demand_pattern", F.round(F.col("target_next_month") - F.col("rolling_mean_6_pred"), 6).alias("err")), "forecast-errors")
     return op.pooled_buffer(rows, "err", [["institution_code", "demand_pattern"], ["demand_pattern"], []], 0.9, 100).select(*IDS, F.round("buffer", 5).alias("buffer"))
 
 

@@ -20,4 +20,4 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-from provisio.plans import agreement, analysis, approval, calibration, catalog, features, forecast, handoff, inventory, items, ledger, names, news, resolution, risk, selection, signals, sources, training  # noqa: E402, F401
+from provisio.plans import agreement, analysis, approval, calibration, catalog, features, forecast, handoff, inventory, items, landing, ledger, names, news, resolution, risk, selection, signals, sources, training  # noqa: E402, F401
