@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from provisio.operators.ordered import quantiles
 from provisio.functions import clip, correlation, flags, geometric_mean, ladder, noisy_or, split_codes
 
 DAY = "unix_date(date)"
@@ -114,8 +115,10 @@ def propagate_trade(scores: DataFrame, paths: DataFrame, observed: DataFrame) ->
 
 
 def positive_quantile(df: DataFrame, group: Sequence[str], value: str, q: float, default: float, least: int = 10) -> DataFrame:
-    some = F.when(F.col(value) > 0, F.col(value))
-    return df.groupBy(*group).agg(F.count(some).alias("n"), F.when(F.count(some) >= least, F.percentile(some, F.lit(q))).otherwise(F.lit(default)).alias("threshold"))
+    """The exact quantile of each group's positive values, or the default of a group that has fewer than `least`. Values are range-partitioned."""
+    counted = df.groupBy(*group).agg(F.count_if(F.col(value) > 0).alias("n"))
+    high = quantiles(df.where(F.col(value) > 0).select(*group, value), group, value, {"high": q})
+    return counted.join(high, list(group), "left").select(*group, "n", F.when(F.col("n") >= least, F.col("high")).otherwise(F.lit(default)).alias("threshold"))
 
 
 def chronological(df: DataFrame, month: str, test: int, validation: int) -> DataFrame:

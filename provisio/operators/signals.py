@@ -128,21 +128,22 @@ def distribution_weights(df: DataFrame, prior: dict[str, float]) -> DataFrame:
 
 
 def floored(raw: Sequence[float], least: float = 0.03) -> list[float]:
-    """Shares of raw of at least `least` each; what the floor takes is shared out among the others."""
-    left, out, mass = {k: max(v, 0.0) for k, v in enumerate(raw)}, [0.0] * len(raw), 1.0
-    while left:
-        total = sum(left.values())
-        share = {k: mass * v / total if total > 0 else mass / len(left) for k, v in left.items()}
-        low = [k for k, v in share.items() if v < least]
-        if not low:
-            for k, v in share.items():
-                out[k] = v
-            break
-        for k in low:
-            out[k] = least
-            del left[k]
-        mass -= least * len(low)
-    return out
+    """Shares of raw of at least `least` each, the others in proportion to raw.
+
+    The smallest shares take the floor. How many: the fewest for which the next one, scaled to the mass that is left, is no less than the floor.
+    """
+    v = np.maximum(np.asarray(raw, float), 0.0)
+    n = len(v)
+    order = np.argsort(v, kind="stable")
+    rising = v[order]
+    tails = np.cumsum(rising[::-1])[::-1]
+    if not n or not tails[0] or n * least > 1:
+        return [1 / n] * n
+    mass = 1 - least * np.arange(n)
+    m = int(np.argmax(mass * rising >= least * tails))
+    out = np.full(n, least)
+    out[order[m:]] = mass[m] * rising[m:] / tails[m]
+    return out.tolist()
 
 
 # ---- rules for supply-risk records. Conditions are SQL over the record's columns; a null counts as not broken.

@@ -115,11 +115,15 @@ def weights_sql(source: str = "ten", prior: dict[str, float] | None = None) -> s
     return f"tn AS (SELECT month, hs_code, {', '.join(f'round({k}, 9) AS {k}, {k}_known' for k in op.COMPONENTS)} FROM {source}), rk AS (SELECT {ranks} FROM tn), dw AS ({rows}), dr AS (SELECT *, prior * (0.5 + availability) * (0.5 + least(greatest(1 - mean_correlation, 0.05), 1)) * (0.5 + least(greatest(spread / nullif(max(spread) OVER (), 0), 0.05), 1)) AS raw FROM dw)"
 
 
-@query("trd_distribution_weights", f"WITH {TEN}, {weights_sql()} SELECT component, round(availability, 5) AS availability, round(mean_correlation, 5) AS mean_correlation, round(spread, 5) AS spread, round(raw / sum(raw) OVER (), 5) AS share FROM dr")
+FLOOR = """f0 AS (SELECT *, raw / sum(raw) OVER () AS share FROM dr), f1 AS (SELECT *, row_number() OVER (ORDER BY share, component) - 1 AS m, sum(share) OVER (ORDER BY share, component ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS tail FROM f0),
+f2 AS (SELECT min_by((1 - 0.03 * m) / tail, m) AS factor, min(m) AS m FROM f1 WHERE (1 - 0.03 * m) * share >= 0.03 * tail)"""
+
+
+@query("trd_distribution_weights", f"WITH {TEN}, {weights_sql()}, {FLOOR} SELECT component, round(availability, 5) AS availability, round(mean_correlation, 5) AS mean_correlation, round(spread, 5) AS spread, round(share, 5) AS share, round(CASE WHEN f1.m < f2.m THEN 0.03 ELSE share * factor END, 5) AS weight FROM f1, f2")
 def trd_weights(spark, sf):
     rows = ten(spark, sf).select(*(F.round(k, 9).alias(k) for k in op.COMPONENTS), *(f"{k}_known" for k in op.COMPONENTS))
     w = op.distribution_weights(rows, dict.fromkeys(op.COMPONENTS, 0.1))
-    return w.select("component", *(F.round(c, 5).alias(c) for c in ("availability", "mean_correlation", "spread", "share")))
+    return w.select("component", *(F.round(c, 5).alias(c) for c in ("availability", "mean_correlation", "spread", "share", "weight")))
 
 
 # Made supply-risk records in which every rule is broken somewhere. The expressions run in both engines.

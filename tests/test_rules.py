@@ -28,6 +28,10 @@ def test_weights_keep_their_floor():
     assert signals.floored([1, 1, 1, 1]) == [0.25] * 4
     got = signals.floored([10, 0.001, 5, 0.0])
     assert sum(got) == pytest.approx(1) and got[1] == got[3] == 0.03 and got[0] == pytest.approx(2 * got[2])
+    for raw in ([1, 2, 3, 0.1, 0.05, 40], [5.0, 5.0, 1e-9], [3, 1]):
+        got, total = signals.floored(raw, 0.1), sum(raw)
+        free = [k for k, w in enumerate(got) if w > 0.1 + 1e-12]
+        assert abs(sum(got) - 1) < 1e-12 and min(got) >= 0.1 - 1e-12 and len({round(got[k] / raw[k] * total, 9) for k in free}) <= 1
     assert signals.floored([0, 0]) == [0.5, 0.5]
 
 
