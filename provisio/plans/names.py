@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from provisio.operators import aliases as al
 from provisio.operators import claims as cl
 from provisio.plans import bindings as b
 from provisio.registry import query
@@ -43,3 +44,50 @@ def dictionaries(spark, sf):
 def itm_claimed(spark, sf):
     """Only distinct names are parsed."""
     return cl.parsed(made_names(spark, sf).select("name", "context").distinct(), *dictionaries(spark, sf)).drop("tokens")
+
+
+# Made raw names: what stands before and behind a part's name, the beginning of its code, and what its record says. # is p_size; a missing column is blank.
+CASES = [
+    dict(before="1) [visit] (free) ", after=" syringe 3ml 23g #ea - rental (branch office)", product=" syringe 3ml 23g #ea", tags="visit;free;rental;branch", klass="RENTAL_PROGRAM", family="DISPOSABLE_SYRINGE", subtype="WITH_NEEDLE", unit="EA", group="MED_SUPPLY", method="family:DISPOSABLE_SYRINGE", confidence=0.95, pack="#", pack_unit="ea", spec="3ML", material="PP;PE"),
+    dict(before="[promo] ", after=" gauze 10cm x 5 sterile", product=" gauze 10cm x 5 sterile", tags="promo", klass="PROMOTIONAL_USE", family="MEDICAL_GAUZE", subtype="STERILE", unit="SHEET", intrinsic="MED_SUPPLY", group="PROMO", method="operational:promo", confidence=0.99, spec="10CMX5", material="COTTON"),
+    dict(before="", after=" wheelchair (rental)", product=" wheelchair", tags="rental", klass="RENTAL_PROGRAM", intrinsic="UNCLASSIFIED", group="RENTAL", method="operational:rental_asset", confidence=0.98),
+    dict(before="", after=" tablet #mg (salt) 30tab", product=" tablet #mg (salt) 30tab", group="MED_ORAL", method="dosage_form:oral", confidence=0.86, form="tablet", strengths="#mg", pack="30", pack_unit="tab", details="salt"),
+    dict(before="", after=" tablet case", code="USE", product=" tablet case", group="UNCLASSIFIED", method="no_rule", confidence=0.0),
+    dict(before="", after=" culture badge", product=" culture badge", group="UNCLASSIFIED", method="no_rule", confidence=0.0),
+    dict(before="", after=" culture media #mg", product=" culture media #mg", group="LAB_REAGENT", method="pattern:culture_media", confidence=0.90, strengths="#mg"),
+    dict(before="(*free) 3: ", after=" herb extract", code="omd", product=" herb extract", tags="free", group="KM_EXTRACT", method="pattern:km_extract", confidence=0.90),
+    dict(before="", after=" herb extract", product=" herb extract", group="KM_HERB", method="pattern:km_herb", confidence=0.88),
+    dict(before="", after=" odd thing", code="OOM", product=" odd thing", group="UNCLASSIFIED", method="code_hint:unresolved", confidence=0.20),
+    dict(before="", after=" waste drum #L", product=" waste drum #L", family="MEDICAL_WASTE_CONTAINER", subtype="RIGID_DRUM", unit="EA", group="MED_SUPPLY", method="family:MEDICAL_WASTE_CONTAINER", confidence=0.95, spec="#L"),
+    dict(before="", after=" diesel syringe", product=" diesel syringe", group="FUEL", method="pattern:fuel", confidence=0.98),
+    dict(before="", after=" inj", product=" inj", group="MED_INJECT", method="dosage_form:injection_suffix", confidence=0.82, form="injection"),
+    dict(before="", after=" ice cream", product=" ice cream", group="UNCLASSIFIED", method="no_rule", confidence=0.0),
+    dict(before="", after=" cream 0.5% 2 bottle", product=" cream 0.5% 2 bottle", group="MED_TOPICAL", method="dosage_form:topical", confidence=0.86, form="cream", strengths="0.5%", pack="2", pack_unit="bottle"),
+]
+
+
+def _case(column, default="''", quoted=True):
+    """A CASE over the kinds of made names; text columns may hold #."""
+    text = lambda v: "replace('" + v + "', '#', concat('', p_size))" if quoted else str(v)
+    return "CASE k " + " ".join(f"WHEN {i} THEN {text(c[column])}" for i, c in enumerate(CASES) if column in c) + f" ELSE {default} END"
+
+
+RAW = f"""pk AS (SELECT p_partkey, p_name, p_size, CAST(p_partkey % {len(CASES)} AS INTEGER) AS k FROM {{part}}),
+rn AS (SELECT *, {_case('before')} || p_name || '  ' || ltrim({_case('after')}) AS raw, {_case('code')} || concat('', p_partkey) AS code FROM pk)"""
+
+
+def _record_sql():
+    cols = {"operational_tags": _case("tags"), "operational_class": _case("klass", "'GENERAL'"), "family_id": _case("family"), "subtype_id": _case("subtype"), "standard_unit": _case("unit"), "intrinsic_group": f"coalesce(nullif({_case('intrinsic')}, ''), {_case('group')})", "group_id": _case("group"), "classification_method": _case("method"), "classification_confidence": _case("confidence", "0.0", False), "dosage_form": _case("form"), "strengths": _case("strengths"), "pack_quantity": _case("pack"), "pack_unit": _case("pack_unit"), "specification": _case("spec"), "material": _case("material"), "details": _case("details")}
+    return f"SELECT raw, code, trim(regexp_replace(raw, '\\s+', ' ', 'g')) AS cleaned_name, p_name || {_case('product')} AS product_name, " + ", ".join(f"{v} AS {k}" for k, v in cols.items()) + " FROM rn"
+
+
+@query("itm_alias_records", f"""WITH {RAW.replace('{part}', 'part')}, li AS (SELECT l_partkey, l_suppkey AS institution_id, count(*) AS occurrences, sum(l_quantity) AS usage, min(CAST(l_shipdate AS DATE)) AS first_date, max(CAST(l_shipdate AS DATE)) AS last_date FROM lineitem GROUP BY 1, 2),
+re AS ({_record_sql()}) SELECT institution_id, re.*, CASE WHEN intrinsic_group IN ('FUEL', 'UNCLASSIFIED') THEN 'f' ELSE 't' END AS forecastable_default, CASE WHEN group_id IN ('FUEL', 'UNCLASSIFIED', 'PROMO', 'RENTAL') THEN 'f' ELSE 't' END AS forecastable, CASE WHEN family_id <> '' THEN 'family_candidate' WHEN intrinsic_group <> 'UNCLASSIFIED' THEN 'group_candidate' ELSE 'unresolved' END AS status,
+  occurrences, usage, first_date, last_date FROM rn JOIN re USING (raw, code) JOIN li ON l_partkey = p_partkey""")
+def itm_records(spark, sf):
+    """Names are parsed once each; counts of their use are joined to them."""
+    named = spark.sql(f"WITH {RAW} SELECT p_partkey, raw, code FROM rn", part=b.table(spark, sf, "part"))
+    li = b.table(spark, sf, "lineitem").select("l_partkey", F.col("l_suppkey").alias("institution_id"), "l_quantity", F.col("l_shipdate").cast("date").alias("date"))
+    used = li.groupBy("l_partkey", "institution_id").agg(F.count("*").alias("occurrences"), F.sum("l_quantity").alias("usage"), F.min("date").alias("first_date"), F.max("date").alias("last_date"))
+    record = al.records(named.select("raw", "code").distinct(), None).drop("family_name")
+    return used.join(named, F.col("l_partkey") == F.col("p_partkey")).drop("l_partkey", "p_partkey").join(record, ["raw", "code"])
