@@ -11,7 +11,9 @@ the calibration fold, as the cut with the best balanced accuracy there.
 
 Defined results: null urls and urls without :// have empty host and path; the model reads the whole url, and
 one without characters scores 0. With one class only, or none, every score is 0. Scores at the threshold are
-allowed. Repeated rows count each time. Only page_id and url are read.
+allowed. Repeated rows count each time. Very long urls are read whole, an empty table gives an empty result. Only page_id and url are read,
+whatever other columns there are. The threshold lies between two scores of a grid of hundredths, of several equally good ones at the middle
+one; scores beyond ten, either way, count as ten there, and only there.
 """
 
 from __future__ import annotations

@@ -89,3 +89,10 @@ def test_the_labelled_sample_is_bounded_in_bytes(spark):
     labels = spark.createDataFrame([(k, k % 2, 0) for k in range(60)], "doc_id long, quality int, toxic int")
     whole, same, few, none = (quality.fitted(docs, labels, ("quality",), most_bytes=b)[0] for b in (1 << 28, 60 * (2 * 5 + 72), 500, 0))
     assert np.array_equal(whole.beta, same.beta) and not np.array_equal(whole.beta, few.beta) and none.words.sum() == 0
+
+
+def test_probabilities_at_the_edge(spark):
+    from provisio.llm import quality
+
+    rows = spark.createDataFrame([(1, 0.5, 0.49999), (2, 0.5, 0.5), (3, 0.49999, 0.0), (4, 1.0, 0.0), (5, None, 0.0)], "k int, __px_good double, __px_toxic double")
+    assert [r.k for r in rows.where(quality.ACCEPTED).orderBy("k").collect()] == [1, 4]
