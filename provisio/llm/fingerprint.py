@@ -169,7 +169,7 @@ def placed(docs: DataFrame, rows: int = RANGE_ROWS) -> DataFrame:
     else:
         targets = place("doc_id")
     dealt = text.select(F.posexplode(targets).alias("nth", "range"), "doc_id", "text").select("range", (F.col("nth") > 0).alias("guest"), "doc_id", "text")
-    return dealt.repartition("range").sortWithinPartitions("range", "guest", F.col("doc_id").desc_nulls_last(), "text")
+    return dealt.repartitionById(max(1, len(heads)), F.col("range").cast("int")).sortWithinPartitions("range", "guest", F.col("doc_id").desc_nulls_last(), "text")
 
 
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
