@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from provisio.functions import ladder
+from provisio.sources import stored
 
 # Units as they are written and as they are told, marks of companies, notes and ingredients.
 NUMBER = r"\d+(?:[.,]\d+)*"
@@ -26,6 +27,7 @@ COMPANY = r"(?i)\b(?:co\.,?\s*ltd|ltd|inc|corp|gmbh|pharma?|laborator(?:y|ies))\
 CORPORATE = r"(?i),?\s*\b(?:co\.,?\s*ltd\.?|ltd\.?|inc\.?|corp\.?|gmbh)"
 NOTE = r"(?i)\b(?:with|without|for|free|note|new|old|use)\b"
 INGREDIENT_LIKE = r"(?i)(?:acid|ine|ate|ide|sodium|potassium|calcium)$"
+CLAIMS = "array<struct<priority:int,shorter:int,start:int,end:int,kind:string,value:string,source:string,score:int>>"
 # What a name is about decides how its measures are read.
 MEDICATION, TOPICAL, NEEDLE, SUPPLY = "medication", "topical", "needle", "supply"
 
@@ -66,9 +68,9 @@ def claimed(text: Column, pattern: str, kind: Column | str, priority: int, value
 
     def claim(raw: Column, i: Column) -> Column:
         own = F.regexp_extract(raw, f"(?i){inner}", 0) if inner else raw
-        start = length(F.slice(between, F.lit(1), i + 1)) + length(F.slice(hits, F.lit(1), i)) + F.instr(raw, own) - 1
-        end = start + F.length(own)
-        return span(priority, start, end, kind, value(raw if whole else own), source, score(start, end) if score else F.lit(0))
+        at = length(F.slice(between, F.lit(1), i + 1)) + length(F.slice(hits, F.lit(1), i)) + F.instr(raw, own) - 1
+        # bound once, as the places of a claim are read many times
+        return F.transform(F.array(at), lambda start: span(priority, start, start + F.length(own), kind, value(raw if whole else own), source, score(start, start + F.length(own)) if score else F.lit(0)))[0]
 
     found = F.transform(hits, claim)
     return found if when is None else F.when(when, found).otherwise(F.slice(found, 1, 0))
@@ -82,9 +84,7 @@ def span(priority: int, start: Column, end: Column, kind: Column | str, value: C
 
 def scheduled(all_claims: Column) -> Column:
     """The claims that stand, by start: each in order of priority, length and start, unless it meets one that stands."""
-    ordered = F.array_sort(all_claims)
-    none = F.slice(ordered, 1, 0)
-    kept = F.aggregate(ordered, none, lambda s, c: F.when(F.exists(s, lambda k: (c["start"] < k["end"]) & (k["start"] < c["end"])), s).otherwise(F.array_append(s, c)))
+    kept = F.aggregate(F.array_sort(all_claims), F.array().cast(CLAIMS), lambda s, c: F.when(F.exists(s, lambda k: (c["start"] < k["end"]) & (k["start"] < c["end"])), s).otherwise(F.array_append(s, c)))
     return F.array_sort(kept, lambda a, b: a["start"] - b["start"])
 
 
@@ -175,7 +175,7 @@ def parsed(names: DataFrame, dictionary: DataFrame, makers: DataFrame) -> DataFr
     """names (name, context), distinct; dictionary (alias, canonical); makers (maker). Attributes of each name, what is left, and how far it can be matched. Null names go, a null context is none."""
     names = names.where("name is not null").select("name", F.coalesce("context", F.lit("")).alias("context"))
     ingredient, maker = dictionary_claims(names.where(F.col("context").isin(MEDICATION, TOPICAL)), dictionary), maker_claims(names, makers)
-    empty = F.array().cast("array<struct<priority:int,shorter:int,start:int,end:int,kind:string,value:string,source:string,score:int>>")
+    empty = F.array().cast(CLAIMS)
     rows = names.join(ingredient, "name", "left").join(maker, "name", "left").withColumns({"found": F.coalesce("found", empty), "makers": F.coalesce("makers", empty), "parts": brackets(F.col("name"))})
     drug = F.col("context").isin(MEDICATION, TOPICAL)
     within = lambda c: F.exists("parts", lambda p: (p["start"] < c["start"]) & (c["end"] < p["end"]))
@@ -185,7 +185,7 @@ def parsed(names: DataFrame, dictionary: DataFrame, makers: DataFrame) -> DataFr
     of_marks = F.transform(F.filter("parts", lambda p: bare(p) & p["inside"].rlike(COMPANY)), lambda p: span(91, p["start"], p["end"], "manufacturer", company(p["inside"]), "company_mark", F.lit(0)))
     unmapped = F.transform(F.filter("parts", lambda p: bare(p) & ~p["inside"].rlike(COMPANY) & F.trim(p["inside"]).rlike(INGREDIENT_LIKE)), lambda p: span(100, p["start"], p["end"], "ingredient", F.concat(F.lit("UNMAPPED::"), F.upper(F.regexp_replace(p["inside"], r"\s+", ""))), "unmapped"))
     rows = rows.withColumn("tokens", scheduled(F.concat(measured(F.col("name"), F.col("context")), "found", "makers", of_marks, F.when(drug, unmapped).otherwise(empty))))
-    return rows.select("name", "context", "tokens", *told())
+    return stored(rows.select("name", "context", "parts", "tokens"), "name-claims").select("name", "context", "tokens", *told())
 
 
 def told() -> list[Column]:
