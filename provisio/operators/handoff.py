@@ -28,9 +28,10 @@ def topic_documents(grams: DataFrame, key: str, text: str, topics: Sequence[str]
 
 
 def fresh(url: Column, observed: Column) -> Column:
-    """Whether the year in the url's path, if there is one, isn't older than the year before."""
-    year = F.regexp_extract(url, "/((?:19|20)[0-9]{2})/", 1)
-    return (year == "") | (year.cast("int") >= F.year(observed) - 1)
+    """Whether the greatest year in the url's path, if there is one, isn't older than the year before. Years are whole runs of four digits from 2000 on."""
+    path = F.regexp_extract(url, "^[^/?#]*//[^/?#]*([^?#]*)", 1)
+    year = F.array_max(F.transform(F.regexp_extract_all(path, F.lit(r"(?<![0-9])(20[0-9]{2})(?![0-9])"), 1), lambda y: y.cast("int")))
+    return F.coalesce(year >= F.year(observed) - 1, F.lit(True))
 
 
 def title_of(html: Column, url: Column, least: int = 3) -> Column:
@@ -57,12 +58,12 @@ def official_csv(spark: SparkSession, path: str, required: Sequence[str], least:
     there = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = there.getFileSystem(spark._jsc.hadoopConfiguration())
     files = [there] if fs.getFileStatus(there).isFile() else [s.getPath() for s in fs.listStatus(there) if s.getPath().getName().startswith("part-")]
-    for one in files[:1]:
+    for one in files:  # four bytes of each part
         stream = fs.open(one)
         head = bytes(b for b in (stream.read() for _ in range(4)) if 0 <= b < 256)
         stream.close()
         if head in SIGNATURES:
-            raise ValueError(f"{path} is a {SIGNATURES[head]} file")
+            raise ValueError(f"{one.getName()} of {path} is a {SIGNATURES[head]} file")
     for encoding in ENCODINGS:
         df = spark.read.csv(path, header=True, encoding=encoding)
         df = df.toDF(*(c.removeprefix("﻿") for c in df.columns))

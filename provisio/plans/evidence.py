@@ -54,7 +54,7 @@ def evidence_candidates(spark, sf):
 
 
 CONCEPTS = """ci AS (SELECT CAST(p_partkey AS BIGINT) AS representative_item_id, upper(p_name) || ' #' || p_size AS name, CASE CAST(p_partkey % 5 AS INTEGER) WHEN 0 THEN p_type WHEN 1 THEN 'UNSPECIFIED_ITEM' WHEN 2 THEN ' ' WHEN 3 THEN NULL ELSE p_brand END AS family, CASE WHEN p_partkey % 4 < 2 THEN 'family of ' || p_brand WHEN p_partkey % 4 = 2 THEN '' END AS family_name,
-  CASE WHEN p_partkey % 3 = 0 THEN 'name_rule' WHEN p_partkey % 3 = 1 THEN 'structured' END AS family_source, CASE WHEN p_partkey % 7 < 5 THEN p_type ELSE '' END AS subtype, CASE WHEN p_partkey % 7 < 3 THEN p_size || 'mm' END AS specification, CASE WHEN p_partkey % 2 = 0 THEN 'EA' ELSE ' ' END AS unit, CASE WHEN p_partkey % 8 = 3 THEN 'many' ELSE '' || p_size END AS occurrence_count, CASE WHEN p_partkey % 9 > 0 THEN p_size * 2.5 END AS usage_sum FROM {part})"""
+  CASE WHEN p_partkey % 3 = 0 THEN 'name_rule' WHEN p_partkey % 3 = 1 THEN 'structured' END AS family_source, CASE WHEN p_partkey % 7 < 5 THEN p_type ELSE '' END AS subtype, CASE WHEN p_partkey % 7 < 3 THEN p_size || 'mm' END AS specification, CASE WHEN p_partkey % 2 = 0 THEN 'EA' ELSE ' ' END AS unit, CASE WHEN p_partkey % 8 = 3 THEN 'many' ELSE '' || p_size END AS occurrence_count, CASE WHEN p_partkey % 9 > 0 THEN CAST(p_size * 2.5 AS DOUBLE) END AS usage_sum FROM {part})"""
 RULES = [("FASTENER", "Fasteners", "gear|bolt"), ("FLAT", "Flat parts", "ring[0-9]|plate"), ("TOOL", "Tools", "anvil|gear")]
 _CONCEPTS = """cf AS (SELECT *, CASE WHEN trim(family) NOT IN ('', 'UNSPECIFIED_ITEM') THEN trim(family) END AS f, regexp_replace(lower(name), '[^0-9a-z]+', '', 'g') AS concept_match_key FROM ci), cp AS (SELECT *, CASE f WHEN 'PROMO' THEN 'GIFT' WHEN 'SMALL' THEN 'SIZED' WHEN 'LARGE' THEN 'SIZED' ELSE f END AS p, CASE WHEN regexp_matches(concept_match_key, 'gear|bolt') THEN 1 WHEN regexp_matches(concept_match_key, 'ring[0-9]|plate') THEN 2 WHEN regexp_matches(concept_match_key, 'anvil') THEN 3 ELSE 4 END AS r FROM cf),
 co AS (SELECT * EXCLUDE (f, p, r), coalesce(p, ['FASTENER', 'FLAT', 'TOOL', 'UNRESOLVED_PARENT'][r]) AS parent_concept_id, CASE WHEN p IS NULL THEN ['Fasteners', 'Flat parts', 'Tools', 'UNRESOLVED'][r] WHEN p = 'SIZED' THEN 'Sized items' ELSE coalesce(nullif(family_name, ''), p) END AS parent_concept_name, CASE WHEN p IS NULL THEN CASE WHEN r < 4 THEN 'concept_dictionary' ELSE 'unresolved' END WHEN family_source = 'name_rule' THEN 'name_rule_family' ELSE 'structured_family' END AS parent_concept_source FROM cp),
@@ -71,6 +71,6 @@ def concept_rows(spark, sf):
     return concepts(spark, sf)
 
 
-@query("itm_concept_totals", "WITH " + CONCEPTS.format(part="part") + f", {_CONCEPTS} SELECT parent_concept_id, arg_min(parent_concept_name, representative_item_id) AS parent_concept_name, arg_min(parent_concept_source, representative_item_id) AS parent_concept_source, count(*) AS child_count, sum(coalesce(TRY_CAST(occurrence_count AS DOUBLE), 0)) AS occurrence_count, sum(coalesce(CAST(usage_sum AS DOUBLE), 0)) AS usage_sum FROM ck GROUP BY 1")
+@query("itm_concept_totals", "WITH " + CONCEPTS.format(part="part") + f", {_CONCEPTS} SELECT parent_concept_id, arg_min(parent_concept_name, representative_item_id) AS parent_concept_name, arg_min(parent_concept_source, representative_item_id) AS parent_concept_source, count(*) AS child_count, sum(coalesce(TRY_CAST(occurrence_count AS DOUBLE), 0)) AS occurrence_count, sum(coalesce(usage_sum, 0)) AS usage_sum FROM ck GROUP BY 1")
 def concept_sums(spark, sf):
     return op.concept_totals(concepts(spark, sf))

@@ -75,10 +75,10 @@ gr AS (SELECT CAST(p_partkey AS BIGINT) AS drug_code, CASE WHEN p_partkey % 5 =
 
 
 @query("mat_fallback_groups", "WITH " + DRUGS.format(part="part") + """, sz AS (SELECT ingredient_code, count(*) AS n FROM dr WHERE several = FALSE AND ingredient_code <> '' GROUP BY 1), x AS (SELECT dr.*, item_group, coalesce(n >= 3 AND several = FALSE, FALSE) AS one, coalesce(usage_division, '') AS u, coalesce(drug_kind, '') AS k FROM dr LEFT JOIN sz USING (ingredient_code) LEFT JOIN gr USING (drug_code))
-SELECT drug_code, ingredient_code, several, usage_division, drug_kind, CASE WHEN one THEN 1 WHEN u <> '' OR k <> '' THEN 2 WHEN coalesce(item_group, '') <> '' THEN 3 ELSE 0 END AS tier, CASE WHEN one THEN 'ING:' || ingredient_code WHEN u <> '' OR k <> '' THEN 'USE:' || u || '/' || k WHEN coalesce(item_group, '') <> '' THEN 'GRP:' || item_group ELSE 'UNASSIGNED' END AS group_id FROM x""")
+SELECT drug_code, ingredient_code, usage_division, drug_kind, CASE WHEN one THEN 1 WHEN u <> '' OR k <> '' THEN 2 WHEN coalesce(item_group, '') <> '' THEN 3 ELSE 0 END AS tier, CASE WHEN one THEN 'ING:' || ingredient_code WHEN u <> '' OR k <> '' THEN 'USE:' || u || '/' || k WHEN coalesce(item_group, '') <> '' THEN 'GRP:' || item_group ELSE 'UNASSIGNED' END AS group_id FROM x""")
 def fallback_groups(spark, sf):
     rows = {n: spark.sql(f"WITH {DRUGS} SELECT * FROM {n}", part=b.table(spark, sf, "part")) for n in ("dr", "gr")}
-    return op.fallback_groups(rows["dr"], rows["gr"], 3)
+    return op.fallback_groups(rows["dr"], rows["gr"], 3).drop("several")
 
 
 ATTACH = """ai AS (SELECT CAST(p_partkey AS BIGINT) AS representative_item_id, CASE WHEN p_partkey % 3 = 0 THEN p_type END AS ingredient_ids, p_name AS ingredient_names FROM {part}),
@@ -96,8 +96,8 @@ NAMED = "nm AS (SELECT CAST(p_partkey AS BIGINT) AS p_partkey, CASE WHEN p_partk
 
 
 @query("mat_medical_steps", "WITH " + NAMED.format(part="part") + """, x AS (SELECT *, CASE WHEN has_ingredient THEN 'ingredient' WHEN material_code = 'PROMO' THEN 'hard_code' WHEN material_code = 'SMALL' AND NOT regexp_matches(coalesce(name, ''), 'GEAR|BOLT') THEN 'guard_without_word'
-  WHEN (material_code IS NULL OR material_code = 'LARGE') AND regexp_matches(coalesce(name, ''), 'RING|PLATE|WIDGET') AND NOT regexp_matches(name, 'GEAR|BOLT') THEN 'promotional_word' ELSE 'default' END AS medical_step FROM nm) SELECT *, medical_step IN ('ingredient', 'default') AS is_medical FROM x""")
+  WHEN (material_code IS NULL OR material_code = 'LARGE') AND regexp_matches(coalesce(name, ''), 'RING|PLATE|WIDGET') AND NOT regexp_matches(name, 'GEAR|BOLT') THEN 'promotional_word' ELSE 'default' END AS medical_step FROM nm) SELECT p_partkey, name, material_code, medical_step, medical_step IN ('ingredient', 'default') AS is_medical FROM x""")
 def medical_steps(spark, sf):
     rows = spark.sql(f"WITH {NAMED} SELECT * FROM nm", part=b.table(spark, sf, "part"))
     classes = spark.createDataFrame([("PROMO", "hard"), ("SMALL", "guard"), ("LARGE", "open")], "code string, kind string")
-    return op.medical(rows, classes, "gear|bolt", "ring|plate|widget")
+    return op.medical(rows, classes, "gear|bolt", "ring|plate|widget").drop("has_ingredient")

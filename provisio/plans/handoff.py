@@ -22,8 +22,8 @@ Q = lambda ws: "[" + ", ".join(f"'{w}'" for w in ws) + "]"
 t AS (SELECT conv_id, snippet, list_intersect(ws, {Q(TOPICS)}) AS t, list_has_any(ws, {Q(RISKS)}) AS r FROM w),
 f AS (SELECT conv_id, array_to_string(list_sort(list(DISTINCT topic)), ';') AS topics, coalesce(array_to_string(list_sort(list(DISTINCT topic) FILTER (WHERE r)), ';'), '') AS risky_topics FROM (SELECT conv_id, r, unnest(t) AS topic FROM t) GROUP BY 1),
 s AS (SELECT conv_id, least(count(DISTINCT snippet), 12) AS snippets, min(snippet) AS first_snippet FROM t WHERE len(t) > 0 GROUP BY 1),
-d AS (SELECT doc_id AS conv_id, lang, 'http://' || source || '.example/' || (2020 + doc_id % 6) || '/' || doc_id AS url FROM documents WHERE lang <> 'es')
-SELECT conv_id, topics, risky_topics, snippets, first_snippet, url FROM f JOIN s USING (conv_id) JOIN d USING (conv_id) WHERE risky_topics <> '' AND CAST(regexp_extract(url, '/((?:19|20)[0-9]{{2}})/', 1) AS INTEGER) >= 2023""")
+d AS (SELECT doc_id AS conv_id, lang, 'http://' || source || '.example/' || (2020 + doc_id % 6) || '/' || doc_id AS url, greatest(2020 + doc_id % 6, CASE WHEN doc_id BETWEEN 2000 AND 2099 THEN doc_id ELSE 0 END) AS y FROM documents WHERE lang <> 'es')
+SELECT conv_id, topics, risky_topics, snippets, first_snippet, url FROM f JOIN s USING (conv_id) JOIN d USING (conv_id) WHERE risky_topics <> '' AND y >= 2023""")
 def src_topics(spark, sf):
     """Conversations as the rows of documents, joined with a table of contents that is filtered by language and by the year in its urls."""
     d = b.table(spark, sf, "documents")
