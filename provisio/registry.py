@@ -20,4 +20,4 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-from provisio.plans import agreement, analysis, approval, calibration, catalog, evidence, exposure, features, forecast, gates, handoff, inventory, items, landing, ledger, names, news, panels, resolution, risk, selection, signals, sources, training  # noqa: E402, F401
+from provisio.plans import agreement, analysis, approval, calibration, catalog, evidence, exposure, features, forecast, gates, handoff, inventory, items, landing, ledger, names, news, panels, resolution, risk, runreport, selection, signals, sources, training  # noqa: E402, F401
