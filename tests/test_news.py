@@ -79,7 +79,7 @@ def test_sums_without_pairs_equal_those_of_all_pairs(spark):
     cues = [w for b in sg.BRANCHES for w in b[1]]
     words = [*cues * 3, *sg.NEGATION, *(a for a, _ in op.COUNTRIES), "plain", "words"]
     docs = [(k, rng.choice([None, "", *(" ".join(rng.choices(words, k=rng.randint(1, 6))) for _ in range(30))]), rng.choice(["src0", "src3", "src8", "src12", "x"]), datetime.date(2024, 1 + k % 3, 1 + k % 4)) for k in range(500)]
-    items = [(f"i{k}", f"M{k % 9}; M{k % 4};M1", rng.choice([None, "", "D1"]), rng.choice(["factory", "policy", "none", None]), rng.choice([0.0, 0.3, 1.0]), rng.choice([None, -1.0, 0.5, 2.0]), rng.choice([None, *cues[:3]]), k % 2 == 0) for k in range(12)] + [("i1", "M1", None, None, 0.9, 1.0, cues[5], True)]
+    items = [(f"i{k}", f"M{k % 9}; M{k % 4};M1", rng.choice([None, "", "D1"]), rng.choice(["factory", "policy", "none", None]), rng.choice([0.0, 0.3, 1.0]), rng.choice([None, -1.0, 0.5, 2.0]), rng.choice([None, *cues[:3]]), k % 2 == 0) for k in range(12)] + [("i1", "M1", None, None, 0.9, 1.0, cues[5], True), ("i2", None, "D1", None, 0.7, None, cues[0], True), ("i3", None, "D1", "factory", 0.4, 0.5, None, False)]
     news = spark.createDataFrame(docs, "article_id long, text string, source string, date date")
     mapping = spark.createDataFrame(items, "item string, material_codes string, demand_codes string, related_material string, weight double, exposure double, term string, approved boolean")
     weights = {"us": 0.9, "de": 0.0}
