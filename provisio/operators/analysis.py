@@ -46,11 +46,14 @@ def target_encode(train: DataFrame, apply_to: DataFrame, key: str, target: str,
     return out.withColumn("encoded", F.coalesce((F.col("m") * F.col("n") + F.col("grand") * prior) / (F.col("n") + prior), F.col("grand"))).drop("m", "n", "grand")
 
 
-def abc(df: DataFrame, key: str, value: str) -> DataFrame:
-    """Pareto classes of keys by their summed value."""
-    g = running(df.groupBy(key).agg(F.sum(value).alias("v")), "v", [F.desc("v"), F.col(key)])
+def abc(df: DataFrame, key: str, value: str, units: int = 100) -> DataFrame:
+    """Pareto classes of keys by their summed value, the smaller key first where sums are equal.
+
+    Values are summed as whole numbers of 1 / units (cents), so that sums, ties and shares don't hang on the order of addition."""
+    whole = F.round(F.col(value) * units).cast("long")
+    g = running(df.groupBy(key).agg(F.sum(whole).alias("__v")), "__v", [F.desc("__v"), F.col(key)])
     share = F.col("__cum") / F.col("__all")
-    return g.select(key, "v", share.alias("share"), F.col("__pos").cast("int").alias("rank"), ladder([(share <= 0.8, "A"), (share <= 0.95, "B")], "C").alias("abc"))
+    return g.select(key, (F.col("__v") / units).alias("v"), share.alias("share"), F.col("__pos").cast("int").alias("rank"), ladder([(share <= 0.8, "A"), (share <= 0.95, "B")], "C").alias("abc"))
 
 
 def average_rank(df: DataFrame, value: str, into: str = "rank_share") -> DataFrame:

@@ -126,7 +126,7 @@ def lt_pooling(spark, sf):
     return counts.join(middle, "unit").select("unit", "groups", "median_months", "share_12", F.round("median_cv", 5).alias("median_cv"))
 
 
-@query("lt_abc_classes", "WITH g AS (SELECT l_partkey, sum(l_extendedprice) AS v FROM lineitem GROUP BY 1), s AS (SELECT *, sum(v) OVER (ORDER BY v DESC, l_partkey) / sum(v) OVER () AS share, row_number() OVER (ORDER BY v DESC, l_partkey) AS rank FROM g) SELECT l_partkey, round(v, 2) AS v, round(share, 6) AS share, CAST(rank AS INTEGER) AS rank, CASE WHEN share <= 0.8 THEN 'A' WHEN share <= 0.95 THEN 'B' ELSE 'C' END AS abc FROM s")
+@query("lt_abc_classes", "WITH g AS (SELECT l_partkey, sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS c FROM lineitem GROUP BY 1), s AS (SELECT *, sum(c) OVER (ORDER BY c DESC, l_partkey) / sum(c) OVER () AS share, row_number() OVER (ORDER BY c DESC, l_partkey) AS rank FROM g) SELECT l_partkey, round(c / 100, 2) AS v, round(share, 6) AS share, CAST(rank AS INTEGER) AS rank, CASE WHEN share <= 0.8 THEN 'A' WHEN share <= 0.95 THEN 'B' ELSE 'C' END AS abc FROM s")
 def lt_abc(spark, sf):
     return op.abc(b.table(spark, sf, "lineitem"), "l_partkey", "l_extendedprice").select("l_partkey", F.round("v", 2).alias("v"), F.round("share", 6).alias("share"), "rank", "abc")
 
