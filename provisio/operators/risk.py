@@ -63,10 +63,17 @@ def lag_scan(up: DataFrame, down: DataFrame, most: int = 6, least: int = 12) ->
     return u.join(change(down, "d"), "month").where("u is not null and d is not null").groupBy("lag").agg(correlation("u", "d").alias("r"), F.count("*").alias("n")).where(F.col("n") >= least)
 
 
+MEASURES = ("import_value", "import_weight", "export_value", "export_weight")
+
+
+def country_flows(flows: DataFrame) -> DataFrame:
+    """flows (month, hs_code, country_code, import_value, import_weight, export_value, export_weight) summed by month, code and country."""
+    return flows.groupBy("month", "hs_code", "country_code").agg(*(F.sum(c).alias(c) for c in MEASURES))
+
+
 def trade_totals(flows: DataFrame) -> DataFrame:
-    """flows (month, hs_code, country_code, import_value, import_weight, export_value, export_weight) summed by month and code."""
-    names = ("import_value", "import_weight", "export_value", "export_weight")
-    t = flows.groupBy("month", "hs_code").agg(*(F.sum(c).alias(c) for c in names))
+    """The same flows summed by month and code."""
+    t = flows.groupBy("month", "hs_code").agg(*(F.sum(c).alias(c) for c in MEASURES))
     return t.withColumns({"unit_value": F.try_divide("import_value", "import_weight"), "net_import": F.greatest(F.col("import_value") - F.col("export_value"), F.lit(0.0))})
 
 

@@ -77,9 +77,10 @@ def calibration_rows(spark, sf):
     """Components with next month's fall of imports as the outcome, weighted by the root of the suppliers, in chronological splits. Written once, as every candidate reads it."""
     w = W.partitionBy("hs_code").orderBy("month")
     later = F.lead("import_value_yoy").over(w)
-    outcome = pr.trade(spark, sf).select("month", "hs_code", F.round(F.when(later.isNotNull(), F.least(F.greatest(-later, F.lit(0.0)), F.lit(1.0))), 9).alias("y"), F.sqrt(F.greatest("suppliers", F.lit(1))).alias("w"))
-    parts = rk.chronological(pr.totals(spark, sf), "month", TEST, VALIDATION).select("month", "hs_code", "split")
-    out = ps.ten(spark, sf).join(parts, ["month", "hs_code"]).join(outcome, ["month", "hs_code"], "left").select("month", "hs_code", "split", "y", "w", *(F.round(k, 9).alias(k) for k in sig.COMPONENTS), *(f"{k}_known" for k in sig.COMPONENTS))
+    f = pr.flows(spark, sf)
+    outcome = pr.trade(spark, sf, f).select("month", "hs_code", F.round(F.when(later.isNotNull(), F.least(F.greatest(-later, F.lit(0.0)), F.lit(1.0))), 9).alias("y"), F.sqrt(F.greatest("suppliers", F.lit(1))).alias("w"))
+    parts = rk.chronological(rk.trade_totals(f), "month", TEST, VALIDATION).select("month", "hs_code", "split")
+    out = ps.ten(spark, sf, f).join(parts, ["month", "hs_code"]).join(outcome, ["month", "hs_code"], "left").select("month", "hs_code", "split", "y", "w", *(F.round(k, 9).alias(k) for k in sig.COMPONENTS), *(f"{k}_known" for k in sig.COMPONENTS))
     path = new_path(spark, "calibration")
     out.write.parquet(path)
     return spark.read.schema(out.schema).parquet(path)

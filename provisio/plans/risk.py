@@ -8,6 +8,7 @@ from provisio.operators import risk as op
 from provisio.plans import bindings as b
 from provisio.plans import features as fea
 from provisio.registry import query
+from provisio.sources import stored
 
 PF = fea.PRICES + """,
 r AS (SELECT *, date - DATE '1970-01-01' AS dn, price / lag(price) OVER (PARTITION BY factor ORDER BY date) - 1 AS r FROM prices),
@@ -98,10 +99,17 @@ def com_unit_price(spark, sf):
 
 
 def flows(spark, sf):
+    """Flows of each month, code and country. Every reader needs them at most that fine, so they are summed while lineitem passes once and written: a row per month, code and country, whatever lineitem's size.
+
+    Orders meet their customers first, so lineitem is dealt out once for both, and names of codes come last.
+    """
     li, p, s, o, c = (b.table(spark, sf, t) for t in ("lineitem", "part", "supplier", "orders", "customer"))
-    j = li.join(p, li["l_partkey"] == p["p_partkey"]).join(s, li["l_suppkey"] == s["s_suppkey"]).join(o, li["l_orderkey"] == o["o_orderkey"]).join(c, o["o_custkey"] == c["c_custkey"])
+    buyers = o.join(c, o["o_custkey"] == c["c_custkey"]).select("o_orderkey", "c_nationkey")
+    j = li.select("l_orderkey", "l_partkey", "l_suppkey", F.trunc("l_shipdate", "MM").alias("month"), "l_quantity", "l_extendedprice").join(buyers, F.col("l_orderkey") == F.col("o_orderkey")).join(s, F.col("l_suppkey") == s["s_suppkey"])
     out = F.when(F.col("c_nationkey") != F.col("s_nationkey"), F.col("l_quantity") / 2).otherwise(0.0)
-    return j.select(F.trunc("l_shipdate", "MM").alias("month"), F.col("p_type").alias("hs_code"), F.col("s_nationkey").cast("string").alias("country_code"), F.when(F.col("l_quantity") > 3, F.col("l_extendedprice")).otherwise(0.0).alias("import_value"), F.col("l_quantity").alias("import_weight"), out.alias("export_weight"), (out * 1000).alias("export_value"))
+    rows = j.select("l_partkey", "month", F.col("s_nationkey").cast("string").alias("country_code"), F.when(F.col("l_quantity") > 3, F.col("l_extendedprice")).otherwise(0.0).alias("import_value"), F.col("l_quantity").alias("import_weight"), out.alias("export_weight"), (out * 1000).alias("export_value"))
+    coded = rows.join(p.select("p_partkey", F.col("p_type").alias("hs_code")), F.col("l_partkey") == F.col("p_partkey"))
+    return stored(op.country_flows(coded), "flows")
 
 
 FLOWS = """flows AS (SELECT date_trunc('month', l_shipdate)::DATE AS month, p_type AS hs_code, CAST(s_nationkey AS VARCHAR) AS country_code, CASE WHEN l_quantity > 3 THEN l_extendedprice ELSE 0 END AS import_value, l_quantity AS import_weight, CASE WHEN c_nationkey <> s_nationkey THEN l_quantity / 2 ELSE 0 END AS export_weight, CASE WHEN c_nationkey <> s_nationkey THEN l_quantity / 2 ELSE 0 END * 1000 AS export_value
@@ -120,8 +128,8 @@ def totals(spark, sf):
     return op.trade_totals(flows(spark, sf))
 
 
-def trade(spark, sf):
-    f = flows(spark, sf)
+def trade(spark, sf, f=None):
+    f = flows(spark, sf) if f is None else f
     t = op.trade_totals(f)
     y = op.year_ago(t, ["import_value", "unit_value"]).select("month", "hs_code", "import_value_yoy", "unit_value_yoy")
     return op.trade_components(op.trade_windows(t).join(y, ["month", "hs_code"]).join(op.concentration(f, t), ["month", "hs_code"]))
@@ -148,7 +156,8 @@ def trd_year(spark, sf):
 
 @query("trd_concentration", f"WITH {TRADE} SELECT month, hs_code, {S('top1', 'hhi', 'coverage')}, suppliers FROM tc")
 def trd_concentration(spark, sf):
-    return op.concentration(flows(spark, sf), totals(spark, sf)).select("month", "hs_code", *R("top1", "hhi", "coverage"), "suppliers")
+    f = flows(spark, sf)
+    return op.concentration(f, op.trade_totals(f)).select("month", "hs_code", *R("top1", "hhi", "coverage"), "suppliers")
 
 
 @query("trd_component_scores", f"WITH {TRADE} SELECT month, hs_code, {S('fall_risk', 'concentration_risk', 'volatility_risk', 'price_risk', 'trade_score', 'trade_confidence')} FROM ts")

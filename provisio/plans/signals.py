@@ -9,7 +9,7 @@ from provisio.operators import signals as op
 from provisio.plans import bindings as b
 from provisio.plans import risk as pr
 from provisio.registry import query
-from provisio.sources import guarded_write, new_path
+from provisio.sources import guarded_write, new_path, stored
 
 Q = lambda ws: "[" + ", ".join(f"'{w}'" for w in ws) + "]"
 
@@ -90,8 +90,8 @@ v5 AS (SELECT month, hs_code, least(greatest(-import_weight_yoy, 0) / 0.3, 1) +
 ten AS (SELECT month, hs_code, """ + ", ".join(f"coalesce({k}0, 0) AS {k}, {k}0 IS NOT NULL AS {k}_known" for k in op.COMPONENTS) + " FROM v5)"
 
 
-def ten(spark, sf):
-    f = pr.flows(spark, sf)
+def ten(spark, sf, f=None):
+    f = pr.flows(spark, sf) if f is None else f
     t = rk.trade_totals(f).withColumn("net_volume", F.greatest(F.col("import_weight") - F.col("export_weight"), F.lit(0.0)))
     on = ["month", "hs_code"]
     change = lambda df, cs: rk.year_ago(df, cs).select(*on, *(f"{c}_yoy" for c in cs))
@@ -121,7 +121,7 @@ f2 AS (SELECT min_by((1 - 0.03 * m) / tail, m) AS factor, min(m) AS m FROM f1 WH
 
 @query("trd_distribution_weights", f"WITH {TEN}, {weights_sql()}, {FLOOR} SELECT component, round(availability, 5) AS availability, round(mean_correlation, 5) AS mean_correlation, round(spread, 5) AS spread, round(share, 5) AS share, round(CASE WHEN f1.m < f2.m THEN 0.03 ELSE share * factor END, 5) AS weight FROM f1, f2")
 def trd_weights(spark, sf):
-    rows = ten(spark, sf).select(*(F.round(k, 9).alias(k) for k in op.COMPONENTS), *(f"{k}_known" for k in op.COMPONENTS))
+    rows = stored(ten(spark, sf).select(*(F.round(k, 9).alias(k) for k in op.COMPONENTS), *(f"{k}_known" for k in op.COMPONENTS)), "ten")  # ranked and read several times
     w = op.distribution_weights(rows, dict.fromkeys(op.COMPONENTS, 0.1))
     return w.select("component", *(F.round(c, 5).alias(c) for c in ("availability", "mean_correlation", "spread", "share", "weight")))
 

@@ -2,10 +2,33 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
+import pytest
+
+from provisio import registry  # noqa: F401  the plans come from it
 from provisio.operators import analysis
+from provisio.plans import calibration, risk, signals
+
+SF = "/root/testdata/sf0.001"
 
 
 def test_equal_sums_tie_whatever_the_order_of_addition(spark):
     rows = [(2, 0.1), (2, 0.2), (2, 0.3), (1, 0.3), (1, 0.2), (1, 0.1)]  # as doubles 0.6000000000000001 and 0.6
     got = analysis.abc(spark.createDataFrame(rows, "k int, v double").coalesce(1), "k", "v").orderBy("rank").collect()
     assert [(r.k, r.v, r.share, r.rank, r.abc) for r in got] == [(1, 0.6, 0.5, 1, "A"), (2, 0.6, 1.0, 2, "C")]
+
+
+@pytest.mark.parametrize("made", [risk.trade, risk.totals, signals.ten, calibration.calibration_rows])
+def test_trade_reads_stored_flows_only(spark, made):
+    assert not [f for f in made(spark, SF).inputFiles() if "lineitem" in f]
+
+
+def test_flows_are_summed_by_month_code_and_country(spark):
+    cols = "month date, hs_code string, country_code string, import_value double, import_weight double, export_value double, export_weight double"
+    day = dt.date(2024, 1, 1)
+    raw = spark.createDataFrame([(day, "a", "1", 10.0, 2.0, 1.0, 1.0), (day, "a", "1", 5.0, 1.0, 0.0, 0.0), (day, "a", "2", 5.0, 2.0, 0.0, None), (day, "b", None, 1.0, 1.0, 0.0, 0.0)], cols)
+    summed = risk.op.country_flows(raw)
+    assert summed.count() == 3
+    get = lambda f: sorted((r.hs_code, r.top1, r.suppliers, r.coverage, t.import_weight, t.export_weight) for r in risk.op.concentration(f, risk.op.trade_totals(f)).collect() for t in risk.op.trade_totals(f).collect() if t.hs_code == r.hs_code)
+    assert get(summed) == get(raw) == [("a", 0.75, 2, 1.0, 5.0, 1.0), ("b", 1.0, 1, 1.0, 1.0, 0.0)]
