@@ -285,9 +285,8 @@ def news_synthetic(spark, sf):
 
 @query("news_code_overlap", "WITH c AS (SELECT p_partkey, unnest([p_type, split_part(p_name, ' ', 1), split_part(p_name, ' ', 2)]) AS code FROM part), d AS (SELECT p_brand, unnest(list_distinct([p_type, split_part(p_name, ' ', 2)])) AS code FROM part) SELECT p_brand, count(DISTINCT c.p_partkey) AS items FROM (SELECT DISTINCT * FROM d) d JOIN c USING (code) GROUP BY 1")
 def news_overlap(spark, sf):
-    """Set overlap as an equality join on exploded codes."""
     p = b.table(spark, sf, "part")
     word = lambda k: F.element_at(F.split("p_name", " "), k)
-    c = p.select("p_partkey", F.explode(split_codes(F.concat_ws(";", "p_type", word(1), word(2)))).alias("code"))
-    d = p.select("p_brand", F.explode(split_codes(F.concat_ws(";", "p_type", word(2)))).alias("code")).distinct()
-    return d.join(c, "code").groupBy("p_brand").agg(F.count_distinct("p_partkey").alias("items"))
+    items = p.select("p_partkey", split_codes(F.concat_ws(";", "p_type", word(1), word(2))).alias("codes"))
+    owners = p.select("p_brand", F.explode(split_codes(F.concat_ws(";", "p_type", word(2)))).alias("code"))
+    return op.code_overlap(items, "p_partkey", owners, "p_brand").withColumnRenamed("n", "items")

@@ -7,7 +7,7 @@ import datetime as dt
 import pytest
 
 from provisio import registry  # noqa: F401  the plans come from it
-from provisio.operators import analysis
+from provisio.operators import analysis, items
 from provisio.plans import calibration, risk, signals
 
 SF = "/root/testdata/sf0.001"
@@ -32,3 +32,9 @@ def test_flows_are_summed_by_month_code_and_country(spark):
     assert summed.count() == 3
     get = lambda f: sorted((r.hs_code, r.top1, r.suppliers, r.coverage, t.import_weight, t.export_weight) for r in risk.op.concentration(f, risk.op.trade_totals(f)).collect() for t in risk.op.trade_totals(f).collect() if t.hs_code == r.hs_code)
     assert get(summed) == get(raw) == [("a", 0.75, 2, 1.0, 5.0, 1.0), ("b", 1.0, 1, 1.0, 1.0, 0.0)]
+
+
+def test_overlap_counts_an_item_once_however_many_codes_and_rows_it_has(spark):
+    rows = spark.createDataFrame([(1, ["a", "b"]), (1, ["b", "c"]), (2, ["a", "b"]), (3, ["b", "a"]), (4, ["z"])], "item int, codes array<string>")
+    owners = spark.createDataFrame([("x", "a"), ("x", "b"), ("x", "a"), ("y", "c"), ("w", "q")], "owner string, code string")
+    assert {r.owner: r.n for r in items.code_overlap(rows, "item", owners, "owner").collect()} == {"x": 3, "y": 1}
