@@ -89,15 +89,18 @@ def resolved_codes(rows: DataFrame, key: str, fields: Sequence[str], rules: Data
     """rows with codes, basis, level and confidence by a rule table (level, field, value, codes, basis, confidence, blocks, promotes).
 
     A rule fits a row whose field has its value ('*' fits any that is not blank); the one of the lowest level counts, then the smallest codes. codes are ;-joined and may hold {name of a field}, which the row fills in. A rule that blocks leaves the row
-    unmapped, whatever rules of higher levels say. Of rules that promote, the first puts its codes in the place of generic codes of the result, unless it blocks. All rules meet rows in one equality join on (field, value).
+    unmapped, whatever rules of higher levels say. Of rules that promote, the first puts its codes in the place of generic codes of the result, unless it blocks. All rules meet the distinct values of the fields in one equality join on (field, value);
+    rows take what their values found, also where they share a key.
     """
     filled = lambda f: F.coalesce(F.trim(F.col(f)), F.lit(""))
     said = F.array(*(F.struct(F.lit(f).alias("field"), v.alias("value")) for f in fields for v in (filled(f), F.when(filled(f) != "", "*"))))
-    long = rows.select(key, F.explode(F.filter(said, lambda x: F.coalesce(x["value"], F.lit("")) != "")).alias("x")).select(key, "x.*")
+    rows_said = rows.withColumn("__said", F.struct(*(filled(f).alias(f) for f in fields)))
+    kinds = rows_said.select("__said").distinct().select("__said", *(F.col("__said")[f].alias(f) for f in fields))
+    long = kinds.select("__said", F.explode(F.filter(said, lambda x: F.coalesce(x["value"], F.lit("")) != "")).alias("x")).select("__said", "x.*")
     met = long.join(rules, ["field", "value"])
     best = lambda keep: F.min(F.when(keep, F.struct("level", "codes", "basis", "confidence", "blocks")))
-    found = met.groupBy(key).agg(best(~F.col("promotes")).alias("r"), best(F.col("promotes")).alias("p"))
-    out = rows.join(found, key, "left")
+    found = met.groupBy("__said").agg(best(~F.col("promotes")).alias("r"), best(F.col("promotes")).alias("p"))
+    out = rows_said.join(found, "__said", "left")
 
     def told(codes: Column) -> Column:
         for f in fields:

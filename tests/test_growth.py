@@ -7,7 +7,7 @@ import datetime as dt
 import pytest
 
 from provisio import registry  # noqa: F401  the plans come from it
-from provisio.operators import analysis, items
+from provisio.operators import analysis, items, resolution
 from provisio.plans import calibration, risk, signals
 
 SF = "/root/testdata/sf0.001"
@@ -38,3 +38,10 @@ def test_overlap_counts_an_item_once_however_many_codes_and_rows_it_has(spark):
     rows = spark.createDataFrame([(1, ["a", "b"]), (1, ["b", "c"]), (2, ["a", "b"]), (3, ["b", "a"]), (4, ["z"])], "item int, codes array<string>")
     owners = spark.createDataFrame([("x", "a"), ("x", "b"), ("x", "a"), ("y", "c"), ("w", "q")], "owner string, code string")
     assert {r.owner: r.n for r in items.code_overlap(rows, "item", owners, "owner").collect()} == {"x": 3, "y": 1}
+
+
+def test_rules_meet_values_not_keys(spark):
+    rows = spark.createDataFrame([(1, "A"), (1, "B"), (2, " "), (3, None)], "id int, family string")
+    rules = spark.createDataFrame([(1, "family", "A", "X", "own", 0.9, False, False), (2, "family", "*", "{family}", "any", 0.5, False, False)], "level int, field string, value string, codes string, basis string, confidence double, blocks boolean, promotes boolean")
+    got = resolution.resolved_codes(rows, "id", ["family"], rules).collect()
+    assert sorted((r.id, r.family or "", r.material_codes, r.mapping_basis) for r in got) == [(1, "A", "X", "own"), (1, "B", "B", "any"), (2, " ", "", "unmapped"), (3, "", "", "unmapped")]
