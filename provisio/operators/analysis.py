@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from provisio.functions import ladder
 from provisio.operators.ordered import running
+from provisio.sources import stored
 
 
 def lead_days(receipt: Column, due: Column, low: int = 0, high: int = 365) -> Column:
@@ -39,9 +40,9 @@ def shrunk_quantile(df: DataFrame, group: str, value: str, q: float = 0.75, leas
 
 
 def target_encode(train: DataFrame, apply_to: DataFrame, key: str, target: str, prior: float = 20.0) -> DataFrame:
-    """Smoothed means from the training rows; unseen keys get the overall mean."""
+    """Smoothed means from the training rows; unseen keys get the overall mean. The keys' means are written first, so that the planner knows their size and rows are dealt out by key only where keys are many."""
     grand = train.agg(F.avg(target).alias("grand"))
-    g = train.groupBy(key).agg(F.avg(target).alias("m"), F.count(target).alias("n"))
+    g = stored(train.groupBy(key).agg(F.avg(target).alias("m"), F.count(target).alias("n")), "means")
     out = apply_to.join(g, key, "left").join(F.broadcast(grand), F.lit(True))
     return out.withColumn("encoded", F.coalesce((F.col("m") * F.col("n") + F.col("grand") * prior) / (F.col("n") + prior), F.col("grand"))).drop("m", "n", "grand")
 

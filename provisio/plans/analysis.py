@@ -15,6 +15,7 @@ from provisio.plans import forecast as fo
 from provisio.plans import inventory as pinv
 from provisio.plans import risk as prisk
 from provisio.registry import query
+from provisio.sources import stored
 
 R = lambda *cs: [F.round(c, 5).alias(c) for c in cs]
 S = lambda *cs: ", ".join(f"round({c}, 5) AS {c}" for c in cs)
@@ -99,6 +100,7 @@ def lt_classifier(spark, sf):
     from pyspark.ml.functions import vector_to_array
 
     x = leads(spark, sf).withColumns({"label": (F.col("lead") > 180).cast("double"), "month": F.month("receipt"), "log_price": F.log1p("l_extendedprice")})
+    x = stored(x.select("l_orderkey", "l_linenumber", "p_brand", "l_quantity", "receipt", "lead", "label", "month", "log_price"), "leads")  # the fit reads it many times
     train = x.where("receipt < '1999-01-01'")
     make = VectorAssembler(inputCols=["encoded", "month", "log_price", "l_quantity"], outputCol="features")
     model = GBTClassifier(maxIter=5, maxDepth=3, seed=1).fit(make.transform(op.target_encode(train, train, "p_brand", "lead")))
