@@ -11,6 +11,7 @@ from provisio.plans import bindings as b
 from provisio.plans import features as fea
 from provisio.plans import signals as ps
 from provisio.registry import query
+from provisio.sources import stored
 
 GAPS = "e AS (SELECT DISTINCT l_partkey, l_shipdate::DATE AS d FROM lineitem), g0 AS (SELECT l_partkey, d, d - lag(d) OVER (PARTITION BY l_partkey ORDER BY d) AS gap FROM e), g AS (SELECT *, d - DATE '1970-01-01' AS day FROM g0 WHERE gap BETWEEN 1 AND 365)"
 
@@ -34,7 +35,7 @@ r AS (SELECT rank() OVER (ORDER BY early) + (count(*) OVER (PARTITION BY early)
 SELECT count(*) AS items, round(corr(x, y), 5) AS rho FROM r""")
 def lt_halves(spark, sf):
     """Whether a part's gaps in the first half of the history tell those in the second."""
-    h = op.halves(gaps(spark, sf), "l_partkey", "gap", "day")
+    h = stored(op.halves(stored(gaps(spark, sf), "gaps"), "l_partkey", "gap", "day"), "halves")  # both are read several times
     rho = op.spearman(h, "early", "late")
     return h.agg(F.count("*").alias("items")).withColumn("rho", F.round(F.lit(rho).cast("double"), 5))
 
