@@ -8,6 +8,7 @@ from provisio.functions import join_unique, split_codes, stable_id
 from provisio.operators import items as op
 from provisio.plans import bindings as b
 from provisio.registry import SQL, query
+from provisio.sources import stored
 
 R = lambda *cs: [F.round(c, 5).alias(c) for c in cs]
 S = lambda *cs: ", ".join(f"round({c}, 5) AS {c}" for c in cs)
@@ -162,7 +163,9 @@ def itm_clusters(spark, sf):
 
 @query("cls_local_rollup", f"WITH {WORK} SELECT item_code, count(DISTINCT representative_id) AS representatives, count(DISTINCT representative_id) FILTER (WHERE status = 'consistent') AS approved_representatives, count(DISTINCT row(lk.p_type, lk.p_brand)) AS tuples, count(DISTINCT representative_id) = count(DISTINCT representative_id) FILTER (WHERE status = 'consistent') AND count(DISTINCT row(lk.p_type, lk.p_brand)) = 1 AS is_approved FROM lk JOIN wk USING (representative_id) GROUP BY 1")
 def cls_rollup(spark, sf):
-    w, links = work(spark, sf)
+    raw = aliases(spark, sf).groupBy("item_code", "raw", "p_type", "p_brand").agg(F.count("*").alias("occurrences"))  # institutions don't matter here, and a part has few raw names
+    named = raw.withColumn("name", op.clean_name(F.col("raw"), None)).withColumn("strict_name", op.match_key(F.col("name"))).drop("raw")
+    w, links = op.worklist(stored(named, "names"), ["p_type", "p_brand"])
     j = links.join(w.select("representative_id", (F.col("status") == "consistent").alias("ok")), "representative_id")
     return op.rollup_approval(j, "item_code", "representative_id", "ok", ["p_type", "p_brand"])
 
