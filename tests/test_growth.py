@@ -6,7 +6,7 @@ import datetime as dt
 
 import pytest
 
-from provisio import registry  # noqa: F401  the plans come from it
+from provisio import registry
 from provisio.operators import analysis, items, resolution
 from provisio.plans import calibration, risk, signals
 
@@ -45,3 +45,8 @@ def test_rules_meet_values_not_keys(spark):
     rules = spark.createDataFrame([(1, "family", "A", "X", "own", 0.9, False, False), (2, "family", "*", "{family}", "any", 0.5, False, False)], "level int, field string, value string, codes string, basis string, confidence double, blocks boolean, promotes boolean")
     got = resolution.resolved_codes(rows, "id", ["family"], rules).collect()
     assert sorted((r.id, r.family or "", r.material_codes, r.mapping_basis) for r in got) == [(1, "A", "X", "own"), (1, "B", "B", "any"), (2, " ", "", "unmapped"), (3, "", "", "unmapped")]
+
+
+@pytest.mark.parametrize("name", ["cls_local_rollup", "lt_split_half", "lt_long_lead_classifier", "for_hyper_grid"])
+def test_what_is_read_often_is_written_once(spark, name):
+    assert not [f for f in registry.QUERIES[name](spark, SF).inputFiles() if "lineitem" in f]
